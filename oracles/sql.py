@@ -547,6 +547,7 @@ def _bodies() -> dict[str, str]:
         "d13_sales_measures_global": f"SELECT {SALES} FROM m_items",
         "d13_propensity_measures_global": f"SELECT {PROPENSITY} FROM c360",
         "d14_measures_with_filter": high_low,
+        "d14_group_by_all": high_low,
         "d15_segment_summary": (
             "SELECT segment, count(*) AS customers, round(avg(propensity_score), 4) AS avg_score FROM scores GROUP BY segment"
         ),
@@ -599,6 +600,11 @@ def _bodies() -> dict[str, str]:
         "f01_top_customers_by_value": (
             "SELECT user_id, frequency, monetary_total, aov FROM feat ORDER BY monetary_total DESC, user_id LIMIT 5"
         ),
+        "f01_top_drivers": (
+            "SELECT feature, round(mean_abs_contribution, 6) AS mean_abs_contribution FROM contributions"
+            " ORDER BY contributions.mean_abs_contribution DESC, feature LIMIT 5"
+        ),
+        "f01_latest_evaluations": " UNION ALL ".join([evaluation] * 5),
         "f02_multi_key_sort": "SELECT * FROM category_kpi ORDER BY revenue DESC, category",
         "f03_sort_by_ordinal": "SELECT segment, count(*) AS customers FROM scores GROUP BY segment ORDER BY 2, 1",
         "g01_layer_row_counts": (
@@ -611,6 +617,10 @@ def _bodies() -> dict[str, str]:
         "r01_endpoint_calls_per_minute": f"SELECT *, calls > 2000 AS over_limit FROM ({calls('event_type', 'minute')})",
         "r01_users_over_daily_limit": daily_over,
         "r01_stream_users_over_daily_limit": daily_over,
+        "r01_stream_closed_windows": (
+            f"SELECT * FROM ({calls('user_id', 'day')}) WHERE CAST(period_start AS TIMESTAMP) + INTERVAL 1 DAY"
+            " <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+        ),
         "h01_sql_masks": (
             "SELECT user_id, substr(email, 1, 2) || '***' || regexp_extract(email, '(@.*)$', 1) AS email,"
             " '******' || right(mobile, 4) AS mobile, region = 'South' AS visible FROM regions"
@@ -625,6 +635,10 @@ def _bodies() -> dict[str, str]:
             " ORDER BY propensity_score DESC, user_id LIMIT 5"
         ),
         "h02_sql_search_products": f"SELECT * EXCLUDE (query, place) FROM ({search_sql('ring', False)}) WHERE place <= 8",
+        "h02_sql_profile_lateral": (
+            "SELECT r.request_id, p.* FROM m_requests r JOIN profiles p ON p.user_id = r.user_id"
+        ),
+        "h02_sql_category_lateral": "SELECT * FROM category_kpi",
         "h04_standard_scores": "SELECT user_id, "
         + ", ".join(f"round(z_{n}, 6) AS z_{n}" for n in STANDARD)
         + " FROM zscores",

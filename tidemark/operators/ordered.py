@@ -65,20 +65,35 @@ def global_rank(
 
 
 def rank_in_group(
-    df: DataFrame, group: str, order: Sequence[Column], rank: str = "rank", total: str = "total"
+    df: DataFrame,
+    group: str,
+    values: Sequence,
+    order: Sequence[Column],
+    rank: str = "rank",
+    total: str = "total",
 ) -> DataFrame:
-    """Rank inside each group, for few and large groups.
+    """Rank inside each group, for a known short list of group ``values``.
 
     The group leads the global order, so a group that holds most of the rows is spread
-    over many slices; its first global rank is subtracted afterwards.
+    over many slices. The groups' sizes come back as one row, and the sizes of earlier
+    groups are subtracted from the global rank. A value outside the list is an error.
     """
-    ranked = global_rank(df, [F.col(group), *order], "__rank", "__total")
-    starts = ranked.groupBy(group).agg(
-        F.min("__rank").alias("__first"), F.count(F.lit(1)).alias(total)
-    )
-    return ranked.join(starts, group).select(
-        *df.columns, (F.col("__rank") - F.col("__first") + 1).alias(rank), total
+    unknown = F.raise_error(F.concat(F.lit(f"unexpected {group}: "), F.col(group).cast("string")))
+    spot = F.coalesce(
+        *[F.when(F.col(group) == value, F.lit(i)) for i, value in enumerate(values)], unknown.cast("int")
     )
+    ranked = global_rank(df.withColumn("__spot", spot), [F.col("__spot"), *order], "__rank", "__total")
+    names = [f"group{i}" for i in range(len(values))]
+    counts = [F.count_if(F.col("__spot") == i).alias(name) for i, name in enumerate(names)]
+    sizes = ranked.agg(F.struct(*counts)).scalar()
+    earlier, size = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    before = F.lit(0).cast("bigint")
+    for i, name in enumerate(names):
+        here = F.col("__spot") == i
+        earlier = F.when(here, before).otherwise(earlier)
+        size = F.when(here, sizes[name]).otherwise(size)
+        before = before + sizes[name]
+    return ranked.select(*df.columns, (F.col("__rank") - earlier).alias(rank), size.alias(total))
 
 
 def running_totals(df: DataFrame, order: Sequence[Column], amounts: Sequence[str]) -> DataFrame:

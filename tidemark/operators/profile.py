@@ -11,7 +11,6 @@ TABLE_ROW = ":table"
 _CELLS = {
     "row_count": "bigint",
     "null_count": "bigint",
-    "distinct_count": "bigint",
     "min_number": "double",
     "max_number": "double",
     "min_text": "string",
@@ -21,14 +20,22 @@ _CELLS = {
 }
 
 
-def profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
-    """Counts, NULLs, distinct values, range, mean and deviation of every column.
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """Exact distinct values per column.
 
-    All columns are measured in one aggregation and the single result row is unfolded.
-    Exact distinct counts shuffle each column's values; ``approximate_distinct`` keeps
-    them in fixed-size sketches for very wide or long tables.
+    Rows are unfolded to (column, value) and made distinct by both, so neither a frequent
+    value nor a column with many values lands in one task.
     """
-    distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
+    names = [F.col(name).cast("string").alias(name) for name in df.columns]
+    pairs = df.select(*names).unpivot([], df.columns, "column_name", "value")
+    found = pairs.where(F.col("value").isNotNull()).distinct()
+    return found.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Rows, NULLs, distinct values, range, mean and deviation of every column."""
+    total = F.col("__rows")
+    measures = [F.count(F.lit(1)).alias("__rows")]
 
     def row(name: str, **known) -> Column:
         cells = [F.lit(name).alias("column_name")]
@@ -36,12 +43,10 @@ def profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
             cells.append(known.get(cell, F.lit(None)).cast(kind).alias(cell))
         return F.struct(*cells)
 
-    total = F.col("__rows")
-    measures = [F.count(F.lit(1)).alias("__rows")]
     rows = [row(TABLE_ROW, row_count=total, null_count=F.lit(0))]
     for field in df.schema.fields:
         column = F.col(field.name)
-        parts = {"filled": F.count(column), "distinct_count": distinct(column)}
+        parts = {"filled": F.count(column)}
         if isinstance(field.dataType, T.NumericType):
             number = column.cast("double")
             parts["min_number"], parts["max_number"] = F.min(number), F.max(number)
@@ -53,4 +58,8 @@ def profile(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
         known = {part: F.col(f"`{field.name}:{part}`") for part in parts}
         null_count = total - known.pop("filled")
         rows.append(row(field.name, row_count=total, null_count=null_count, **known))
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    summary = df.agg(*measures).select(F.inline(F.array(*rows)))
+    # Both sides have one row per column of the table.
+    joined = summary.join(F.broadcast(_distinct_counts(df)), "column_name", "left")
+    empty = F.when(F.col("column_name") != TABLE_ROW, F.lit(0))
+    return joined.withColumn("distinct_count", F.coalesce("distinct_count", empty))

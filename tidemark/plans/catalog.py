@@ -181,8 +181,8 @@ def _(lake):
 @query("a11_append_evaluation")
 def _(lake):
     store = _store(lake, "evaluations")
-    row = publish.evaluation_summary(retail.verdicts(lake.spark, lake.folder)).withColumn(
-        "evaluated_at", F.current_timestamp()
+    row = publish.evaluation_row(
+        publish.evaluation_summary(retail.verdicts(lake.spark, lake.folder))
     )
     store.append("results", row)
     table = store.append("results", row)
@@ -495,6 +495,16 @@ def _(lake):
     return questions.segment_comparison(lake.c360())
 
 
+@query("d14_group_by_all")
+def _(lake):
+    lake.c360().createOrReplaceTempView("customer_360")
+    return lake.spark.sql(
+        "SELECT segment, count(DISTINCT user_id) AS customers,"
+        " CAST(sum(monetary_total) AS DOUBLE) / count(monetary_total) AS avg_lifetime_value"
+        " FROM customer_360 WHERE segment ILIKE '%High%' OR segment ILIKE '%Low%' GROUP BY ALL"
+    )
+
+
 @query("d15_segment_summary")
 def _(lake):
     return kpis.segment_summary(lake.scores())
@@ -597,6 +607,23 @@ def _(lake):
     return top_n(wanted, [F.col("monetary_total").desc(), F.col("user_id")], 5)
 
 
+@query("f01_top_drivers")
+def _(lake):
+    drivers = propensity.term_contributions(lake.features())
+    top = top_n(drivers, [F.col("mean_abs_contribution").desc(), F.col("feature")], 5)
+    return _rounded(top, 6, "mean_abs_contribution")
+
+
+@query("f01_latest_evaluations")
+def _(lake):
+    store = _store(lake, "evaluations")
+    summary = publish.evaluation_summary(retail.verdicts(lake.spark, lake.folder))
+    for _ in range(6):
+        table = store.append("results", publish.evaluation_row(summary))
+    latest = publish.latest_evaluations(table).drop("evaluated_at")
+    return _rounded(latest, 9, "groundedness", "correctness", "safety")
+
+
 @query("f02_multi_key_sort")
 def _(lake):
     return lake.category_kpis().orderBy(F.col("revenue").desc(), "category")
@@ -655,6 +682,15 @@ def _(lake):
     return calls.where(F.col("calls") > 5)
 
 
+@query("r01_stream_closed_windows")
+def _(lake):
+    stream = gateway_streams.parquet_stream(lake.spark, lake.folder, "events")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return gateway_streams.closed_windows(
+        stream, F.col("user_id"), "1 day", "10 minutes", _store(lake, "limits"), "calls"
+    )
+
+
 # --- Functions and model -------------------------------------------------------------
 
 
@@ -709,6 +745,24 @@ def _(lake):
     )
 
 
+@query("h02_sql_profile_lateral")
+def _(lake):
+    _sql_functions(lake)
+    retail.requests(lake.spark, lake.folder).createOrReplaceTempView("lookup_requests")
+    return lake.spark.sql(
+        "SELECT r.request_id, p.* FROM lookup_requests AS r, LATERAL get_customer_profile(r.user_id) AS p"
+    )
+
+
+@query("h02_sql_category_lateral")
+def _(lake):
+    _sql_functions(lake)
+    lake.category_kpis().createOrReplaceTempView("asked_categories")
+    return lake.spark.sql(
+        "SELECT p.* FROM asked_categories AS a, LATERAL get_category_performance(a.category) AS p"
+    )
+
+
 @query("h04_standard_scores")
 def _(lake):
     df = propensity.standard_scores(lake.features())

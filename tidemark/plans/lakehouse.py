@@ -16,20 +16,22 @@ class Lakehouse:
     Projections of source tables stay lazy. Tables that many jobs read (joined items,
     features, training set, scores) are written to the shared folder at first use, as a
     replace-table statement would, so no job repeats the joins and aggregations behind
-    them.
+    them. Tables with one row per customer are bucketed by customer.
     """
 
     def __init__(self, spark: SparkSession, folder: str, root: str | None = None):
         self.spark = spark
         self.folder = folder
         self.store = TableStore(spark, root or run_dir(spark, "tables"))
-        self._written: set[str] = set()
+        self._written: dict[str, DataFrame] = {}
 
-    def _table(self, name: str, build) -> DataFrame:
+    def _table(self, name: str, build, key: str | None = None) -> DataFrame:
         if name not in self._written:
-            self.store.replace(name, build())
-            self._written.add(name)
-        return self.store.read(name)
+            if key:
+                self._written[name] = self.store.replace_bucketed(name, build(), key)
+            else:
+                self._written[name] = self.store.replace(name, build())
+        return self._written[name]
 
     def users(self) -> DataFrame:
         return retail.users(self.spark, self.folder)
@@ -60,13 +62,14 @@ class Lakehouse:
         )
 
     def features(self) -> DataFrame:
-        return self._table("customer_features", self.build_features)
+        return self._table("customer_features", self.build_features, key="user_id")
 
     def training(self) -> DataFrame:
         """Training set with the portable label draw."""
         return self._table(
             "training_dataset",
             lambda: propensity.training_dataset(self.features(), portable=True),
+            key="user_id",
         )
 
     def scores(self) -> DataFrame:
@@ -74,6 +77,7 @@ class Lakehouse:
         return self._table(
             "customer_nbo_scores",
             lambda: propensity.score_table(self.training(), propensity.TRUE_PROPENSITY),
+            key="user_id",
         )
 
     def c360(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.operators.curve import ranking_report
 from tidemark.plans.propensity import KEY, LABEL, model_features, numeric_features, score_table
+from tidemark.session import write_and_read
 
 # The model's settings.
 TREES = 400
@@ -66,16 +67,18 @@ def drivers(model: PipelineModel, held_out: DataFrame, sample: int = DRIVER_SAMP
     once per feature, that feature's value being exchanged around the sample; one
     prediction pass scores all repetitions.
     """
-    names = model_features(numeric_features(held_out))
-    names = [n for n in names if n != "is_train"]
-    chosen = (
-        numeric_features(held_out)
-        .orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)
-        .limit(sample)
-        .withColumn("spot", F.row_number().over(W.orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)))
+    names = [name for name in model_features(held_out) if name != "is_train"]
+    place = W.orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)
+    drawn = numeric_features(held_out.select(KEY, *names)).orderBy(
+        F.xxhash64(F.col(KEY), F.lit("drivers")), KEY
+    ).limit(sample)
+    # At most ``sample`` rows from here on, so the unpartitioned windows stay small.
+    chosen = write_and_read(
+        drawn.withColumn("spot", F.row_number().over(place)).withColumn(
+            "size", F.count(F.lit(1)).over(W.partitionBy())
+        ),
+        "driver-sample",
     )
-    size = F.count(F.lit(1)).over(W.partitionBy())
-    chosen = chosen.withColumn("size", size)
     repeated = chosen.select(
         "*", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("turn", "feature")
     ).withColumn("donor_spot", 1 + F.pmod(F.col("spot") + F.col("turn"), F.col("size")))

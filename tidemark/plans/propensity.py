@@ -170,7 +170,7 @@ def stratified_split(
     else:
         place = F.xxhash64(F.col(KEY), F.lit(f"{seed}-split"))
     ranked = rank_in_group(
-        training.withColumn("__place", place), LABEL, [F.col("__place"), F.col(KEY)]
+        training.withColumn("__place", place), LABEL, [0, 1], [F.col("__place"), F.col(KEY)]
     )
     cut = F.floor(F.col("total") * train_percent / 100)
     return ranked.withColumn("is_train", F.col("rank") <= cut).drop("__place", "rank", "total")

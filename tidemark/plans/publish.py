@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import top_n
 from tidemark.operators.upsert import upsert
 
 SERVING_COLUMNS = ["propensity_score", "segment", "decile"]
@@ -68,6 +69,15 @@ def merge_statement(staging: str, target: str) -> str:
     )
 
 
+def evaluation_row(summary: DataFrame) -> DataFrame:
+    """The summary with the time of the evaluation, as appended to the history."""
+    return summary.withColumn("evaluated_at", F.current_timestamp())
+
+
+def latest_evaluations(history: DataFrame, n: int = 5) -> DataFrame:
+    return top_n(history, [F.col("evaluated_at").desc()], n)
+
+
 def evaluation_summary(verdicts: DataFrame) -> DataFrame:
     """Number of judged cases and the share of each verdict."""
     return verdicts.agg(

@@ -50,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused folder below the shared folder, grouped by application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tidemark/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_and_read(df, purpose: str):

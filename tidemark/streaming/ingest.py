@@ -14,13 +14,20 @@ from tidemark.plans.features import customer_features
 from tidemark.sources.tables import TableStore
 
 
-def json_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+FILES_PER_BATCH = 10_000
+
+
+def json_stream(
+    spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
     """New files of a landing folder, with their source path and the time of ingest.
 
-    The schema is given, not inferred; a file is read once, whatever number of runs.
+    The schema is given, not inferred; a file is read once, whatever number of runs. A
+    large backlog is worked off in micro-batches of bounded size.
     """
     return (
         spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
         .json(folder)
         .select(
             "*",
@@ -64,7 +71,8 @@ class Medallion:
     def stream_of(self, table: str) -> DataFrame:
         """The bronze table as a stream of its new rows."""
         schema = self.store.read(table).schema
-        return self.spark.readStream.schema(schema).parquet(self.store.path(table))
+        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+        return reader.parquet(self.store.path(table))
 
     def split(self, bronze: str, rules: Sequence[quality.Rule] | None = None, mode: str = "complete") -> None:
         """Send new bronze rows to silver and quarantine, and count violations per rule.
