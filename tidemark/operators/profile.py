@@ -32,34 +32,36 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
     return found.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Rows, NULLs, distinct values, range, mean and deviation of every column."""
-    total = F.col("__rows")
-    measures = [F.count(F.lit(1)).alias("__rows")]
+def _summary(field: T.StructField) -> Column:
+    """Counts, range and moments of one column, in the cells all columns share."""
+    column = F.col(field.name)
+    cells = {"row_count": F.count(F.lit(1)), "null_count": F.count_if(column.isNull())}
+    if isinstance(field.dataType, T.NumericType):
+        number = column.cast("double")
+        cells["min_number"], cells["max_number"] = F.min(number), F.max(number)
+        cells["mean"], cells["stddev"] = F.avg(number), F.stddev_samp(number)
+    else:
+        cells["min_text"], cells["max_text"] = F.min(column), F.max(column)
+    return _cells(cells).alias(field.name)
+
+
+def _cells(known: dict[str, Column]) -> Column:
+    empty = F.lit(None)
+    return F.struct(*[known.get(name, empty).cast(kind).alias(name) for name, kind in _CELLS.items()])
 
-    def row(name: str, **known) -> Column:
-        cells = [F.lit(name).alias("column_name")]
-        for cell, kind in _CELLS.items():
-            cells.append(known.get(cell, F.lit(None)).cast(kind).alias(cell))
-        return F.struct(*cells)
 
-    rows = [row(TABLE_ROW, row_count=total, null_count=F.lit(0))]
-    for field in df.schema.fields:
-        column = F.col(field.name)
-        parts = {"filled": F.count(column)}
-        if isinstance(field.dataType, T.NumericType):
-            number = column.cast("double")
-            parts["min_number"], parts["max_number"] = F.min(number), F.max(number)
-            parts["mean"], parts["stddev"] = F.avg(number), F.stddev_samp(number)
-        else:
-            parts["min_text"] = F.min(column).cast("string")
-            parts["max_text"] = F.max(column).cast("string")
-        measures += [value.alias(f"{field.name}:{part}") for part, value in parts.items()]
-        known = {part: F.col(f"`{field.name}:{part}`") for part in parts}
-        null_count = total - known.pop("filled")
-        rows.append(row(field.name, row_count=total, null_count=null_count, **known))
-    summary = df.agg(*measures).select(F.inline(F.array(*rows)))
+def profile(df: DataFrame) -> DataFrame:
+    """Rows, NULLs, distinct values, range, mean and deviation of every column.
+
+    One aggregation measures all columns; its single row is unfolded to one row per
+    column and one for the table.
+    """
+    table = _cells({"row_count": F.count(F.lit(1)), "null_count": F.lit(0)}).alias(TABLE_ROW)
+    names = [*df.columns, TABLE_ROW]
+    measured = df.agg(*[_summary(field) for field in df.schema.fields], table)
+    summary = measured.unpivot([], [F.col(f"`{name}`") for name in names], "column_name", "cells")
     # Both sides have one row per column of the table.
     joined = summary.join(F.broadcast(_distinct_counts(df)), "column_name", "left")
     empty = F.when(F.col("column_name") != TABLE_ROW, F.lit(0))
-    return joined.withColumn("distinct_count", F.coalesce("distinct_count", empty))
+    counted = F.coalesce("distinct_count", empty).alias("distinct_count")
+    return joined.select("column_name", "cells.*", counted)

@@ -50,11 +50,13 @@ def engagement_features(events: DataFrame, count_name: str, value_name: str) ->
 
 def occasion_features(users: DataFrame, ref: Column, birthday: bool = True, leap: str = "today") -> DataFrame:
     """Countdown to the next anniversary and birthday, and a milestone flag."""
-    columns = {"days_to_anniversary": days_to_recurrence(F.col("anniversary_date"), ref, leap)}
+    day = F.col("__ref")
+    columns = {"days_to_anniversary": days_to_recurrence(F.col("anniversary_date"), day, leap)}
     if birthday:
-        columns["days_to_birthday"] = days_to_recurrence(F.col("date_of_birth"), ref, leap)
+        columns["days_to_birthday"] = days_to_recurrence(F.col("date_of_birth"), day, leap)
     columns["has_milestone"] = F.col("milestone_date").isNotNull().cast("int")
-    return users.select("user_id", *[value.alias(name) for name, value in columns.items()])
+    dated = users.withColumn("__ref", ref)
+    return dated.select("user_id", *[value.alias(name) for name, value in columns.items()])
 
 
 def customer_features(
@@ -82,13 +84,15 @@ def customer_features(
             engagement_features(wishlists, "wishlist_count", "wishlist_value"), "user_id", "left"
         )
     joined = joined.join(occasion_features(users, ref, full, leap), "user_id", "left")
+    joined = joined.withColumn("feature_asof_date", ref)
+    as_of = F.col("feature_asof_date")
 
     def filled(name: str, default: int = 0) -> Column:
         return F.coalesce(F.col(name), F.lit(default))
 
     columns = {
-        "recency_days": F.datediff(ref, F.col("last_order_date")),
-        "tenure_days": F.datediff(ref, F.col("first_order_date")),
+        "recency_days": F.datediff(as_of, F.col("last_order_date")),
+        "tenure_days": F.datediff(as_of, F.col("first_order_date")),
         "frequency": F.col("frequency"),
         "monetary_total": F.col("monetary_total"),
         "aov": F.round("aov", 2),
@@ -105,5 +109,5 @@ def customer_features(
     if full:
         columns["days_to_birthday"] = filled("days_to_birthday", NO_DATE_DAYS)
     columns["has_milestone"] = filled("has_milestone")
-    columns["feature_asof_date"] = ref
+    columns["feature_asof_date"] = as_of
     return joined.select("user_id", *[value.alias(name) for name, value in columns.items()])

@@ -78,9 +78,10 @@ def standard_scores(features: DataFrame, null_as_zero: bool = False) -> DataFram
     row = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     scores = {}
     for name in STANDARD_WEIGHTS:
-        z = (_scaled_input(name) - row[f"{name}_mean"]) / F.nullif(row[f"{name}_std"], F.lit(0.0))
+        mean, std = F.col(f"__stats.{name}_mean"), F.col(f"__stats.{name}_std")
+        z = (_scaled_input(name) - mean) / F.nullif(std, F.lit(0.0))
         scores[f"z_{name}"] = F.coalesce(z, F.lit(0.0)) if null_as_zero else z
-    return features.withColumns(scores)
+    return features.withColumn("__stats", row).withColumns(scores).drop("__stats")
 
 
 def latent_terms() -> dict[str, Column]:
@@ -183,6 +184,7 @@ def term_contributions(features: DataFrame) -> DataFrame:
         *[value.alias(name) for name, value in terms.items()]
     )
     means = scored.agg(F.struct(*[F.avg(name).alias(name) for name in terms])).scalar()
-    return scored.agg(
-        *[F.avg(F.abs(F.col(name) - means[name])).alias(name) for name in terms]
+    centred = scored.withColumn("__means", means)
+    return centred.agg(
+        *[F.avg(F.abs(F.col(name) - F.col(f"__means.{name}"))).alias(name) for name in terms]
     ).unpivot([], list(terms), "feature", "mean_abs_contribution")
