@@ -316,7 +316,11 @@ def guard_sql(table: str, keys: str) -> str:
             "regexp_matches(text, '(^|[^0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}([^0-9]|$)')",
             "card_number",
         ),
-        ("regexp_matches(text, '(^|[^0-9])[0-9]{4} [0-9]{4} [0-9]{4}([^0-9]|$)')", "national_id"),
+        (
+            "regexp_matches(text, '(^|^[ -]|[^0-9 -]|[^0-9][ -])[0-9]{4} [0-9]{4} [0-9]{4}"
+            "([^0-9 -]|[ -]([^0-9]|$)|$)')",
+            "national_id",
+        ),
     ]
     checks += [(f"contains(lower(text), '{word}')", f"keyword:{word}") for word in KEYWORDS]
     cases = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in checks)

@@ -12,10 +12,13 @@ BANNED_KEYWORDS = ["password", "credit card number", "aadhaar"]
 
 # Only ASCII classes, so every regex engine agrees. One character before the @ is enough to
 # find an address, and keeps the scan linear. A number may not touch a further digit; the
-# digit in front is tested after the first group, so other characters fail at once.
+# digit in front is tested after the first group, so other characters fail at once. A
+# national id is not part of a longer row of digit groups, such as a card number.
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]"
 CARD_PATTERN = r"[0-9]{4}(?<![0-9]{5})[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"
-NATIONAL_ID_PATTERN = r"[0-9]{4}(?<![0-9]{5}) [0-9]{4} [0-9]{4}(?![0-9])"
+NATIONAL_ID_PATTERN = (
+    r"[0-9]{4}(?<![0-9]{5})(?<![0-9][ -][0-9]{4}) [0-9]{4} [0-9]{4}(?![ -]?[0-9])"
+)
 TWELVE_DIGITS = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
 
 
