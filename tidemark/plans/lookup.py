@@ -15,6 +15,7 @@ from tidemark.functions.states import (
     recommended_offer,
 )
 from tidemark.operators.ordered import top_n, top_per_group
+from tidemark.operators.skew import lookup_join
 
 # Fixed values.
 SEARCH_RESULTS = 8
@@ -153,11 +154,11 @@ _ANSWERS = {
 
 
 def answer_requests(requests: DataFrame, features: DataFrame, scores: DataFrame) -> DataFrame:
-    """Answers to many lookup requests (request_id, fn, user_id) with one join.
+    """Answers to many lookup requests (request_id, fn, user_id) with one lookup join.
 
     Every request row gets the columns of its function, the others staying NULL, and
-    ``found`` tells whether the function would have returned a row. A customer asked
-    for very often only widens the request side, which a skewed join may split.
+    ``found`` tells whether the function would have returned a row. One customer may be
+    asked for in any share of the requests.
     """
     unknown = scores.select("user_id", F.lit(True).alias("has_score"), "propensity_score", "segment", "decile")
     known = (
@@ -166,7 +167,7 @@ def answer_requests(requests: DataFrame, features: DataFrame, scores: DataFrame)
         .withColumn("lifetime_value", F.col("monetary_total"))
     )
     offers = known.select("*", *_offer_columns())
-    answered = requests.join(offers, "user_id", "left")
+    answered = lookup_join(requests, offers, "user_id")
     has_score = F.coalesce("has_score", F.lit(False))
     has_features = F.coalesce("has_features", F.lit(False))
     found = (

@@ -29,6 +29,7 @@ DRAW_STEPS = 100000
 
 KEY = "user_id"
 LABEL = "label_conversion"
+LABEL_VALUES = [0, 1]
 TRUE_PROPENSITY = "propensity_true"
 FEATURES = [
     "recency_days",
@@ -164,17 +165,28 @@ def stratified_split(
     """Add ``is_train``: the first share of each label's rows in keyed-hash order.
 
     Each label keeps its share exactly (rounded down), and the same key always falls on
-    the same place in the order.
+    the same place in the order. Only label, hash and key are ranked; the last place that
+    belongs to each label's share comes back as one row, and the full rows are marked by
+    comparing with it, without being moved.
     """
     if portable:
         place = portable_hash(F.col(KEY), F.lit(f"{seed}-split"))
     else:
         place = F.xxhash64(F.col(KEY), F.lit(f"{seed}-split"))
-    ranked = rank_in_group(
-        training.withColumn("__place", place), LABEL, [0, 1], [F.col("__place"), F.col(KEY)]
+    spot = F.struct(place.alias("place"), F.col(KEY).alias("key"))
+    narrow = training.select(LABEL, spot.alias("spot"))
+    ranked = rank_in_group(narrow, LABEL, LABEL_VALUES, [F.col("spot")])
+    inside = F.col("rank") <= F.floor(F.col("total") * train_percent / 100)
+    last = [
+        F.max(F.when(inside & (F.col(LABEL) == value), F.col("spot"))).alias(f"label{value}")
+        for value in LABEL_VALUES
+    ]
+    edges = ranked.agg(F.struct(*last)).scalar()
+    edge = F.coalesce(
+        *[F.when(F.col(LABEL) == value, F.col(f"__edges.label{value}")) for value in LABEL_VALUES]
     )
-    cut = F.floor(F.col("total") * train_percent / 100)
-    return ranked.withColumn("is_train", F.col("rank") <= cut).drop("__place", "rank", "total")
+    marked = training.withColumn("__edges", edges)
+    return marked.withColumn("is_train", F.coalesce(spot <= edge, F.lit(False))).drop("__edges")
 
 
 def term_contributions(features: DataFrame) -> DataFrame:
