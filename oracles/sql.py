@@ -617,6 +617,15 @@ def _bodies() -> dict[str, str]:
             f" UNION ALL SELECT 'orders_quarantine', count(*) FROM m_raw WHERE ({GOOD}) IS NOT TRUE"
             " UNION ALL SELECT 'customer_features', count(*) FROM feat"
         ),
+        "g01_sql_layer_counts": (
+            f"SELECT 'orders_clean' AS layer, count(*) AS rows FROM m_raw WHERE {GOOD}"
+            f" UNION ALL SELECT 'orders_quarantine', count(*) FROM m_raw WHERE ({GOOD}) IS NOT TRUE"
+            " UNION ALL SELECT 'customer_features', count(*) FROM feat"
+            " UNION ALL SELECT 'customer_nbo_scores', count(*) FROM scores"
+        ),
+        "c06_sql_scalar_counts": (
+            "SELECT (SELECT count(*) FROM feat) AS feature_rows, (SELECT count(*) FROM scores) AS scored_rows"
+        ),
         "r01_user_calls_per_minute": f"SELECT *, calls > 60 AS over_limit FROM ({calls('user_id', 'minute')})",
         "r01_endpoint_calls_per_minute": f"SELECT *, calls > 2000 AS over_limit FROM ({calls('event_type', 'minute')})",
         "r01_users_over_daily_limit": daily_over,

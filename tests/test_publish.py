@@ -26,6 +26,17 @@ def test_upsert_again_changes_nothing(spark):
     assert once.exceptAll(twice).count() == 0 and once.count() == twice.count() == 3
 
 
+def test_sync_serving_keeps_old_rows_and_old_versions(spark, lake, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    gone = spark.sql("SELECT -1 AS user_id, 0.5D AS propensity_score, 'Low' AS segment, 1 AS decile, current_timestamp() AS scored_at")
+    store.write_version("scores", 1, gone)
+    for _ in range(2):
+        table = publish.sync_serving(store, "scores", lake.scores())
+        assert table.count() == lake.scores().count() + 1
+    assert store.latest_version("scores") == 3
+    assert store.read_version("scores", 1).count() == 1
+
+
 def test_sync_check(lake):
     rows = publish.sync_check(lake.scores()).collect()
     assert sum(r.customers for r in rows) == rows[0].synced_rows == lake.scores().count()
@@ -42,9 +53,11 @@ def test_store(spark, tmp_path):
     assert store.replace("t", spark.range(2).withColumn("more", F.lit("x"))).columns == ["id", "more"]
     store.append("t", spark.range(1).withColumn("more", F.lit("y")))
     assert store.read("t").count() == 3
-    first = store.write_version("v", "1", spark.range(2))
-    second = store.write_version("v", "2", first.withColumn("id", F.col("id") + 10))
+    first = store.write_version("v", 9, spark.range(2))
+    second = store.write_version("v", 10, first.withColumn("id", F.col("id") + 10))
     assert sorted(r.id for r in second.collect()) == [10, 11]
+    assert store.latest_version("v") == 10
+    assert store.read_version("v", 9).count() == 2
 
 
 def test_profile(spark):

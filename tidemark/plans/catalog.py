@@ -17,6 +17,7 @@ from tidemark.operators.profile import profile
 from tidemark.plans import features as feat
 from tidemark.plans import gateway, governance, kpis, lookup, model, propensity, publish, questions
 from tidemark.plans.lakehouse import Lakehouse, open_lakehouse
+from tidemark.plans.views import register_views
 from tidemark.session import run_dir
 from tidemark.sources import retail
 from tidemark.sources.tables import TableStore, scan
@@ -165,10 +166,8 @@ def _synced(lake: Lakehouse) -> DataFrame:
 @query("a09_upsert_scores")
 def _(lake):
     store = _store(lake, "serving")
-    store.write_version("scores", "1", _old_serving(lake))
-    table = store.write_version(
-        "scores", "2", publish.sync_scores(store.read("scores/version=1"), lake.scores())
-    )
+    store.write_version("scores", 1, _old_serving(lake))
+    table = publish.sync_serving(store, "scores", lake.scores())
     fresh = F.col("scored_at") > F.to_timestamp(F.lit(_OLD_STAMP))
     return table.withColumn("refreshed", fresh).drop("scored_at")
 
@@ -655,6 +654,26 @@ def _events(lake: Lakehouse) -> DataFrame:
     return scan(lake.spark, lake.folder, "events")
 
 
+@query("g01_sql_layer_counts")
+def _(lake):
+    register_views(lake)
+    return lake.spark.sql(
+        "SELECT 'orders_clean' AS layer, count(*) AS rows FROM orders_clean"
+        " UNION ALL SELECT 'orders_quarantine', count(*) FROM orders_quarantine"
+        " UNION ALL SELECT 'customer_features', count(*) FROM customer_features"
+        " UNION ALL SELECT 'customer_nbo_scores', count(*) FROM customer_nbo_scores"
+    )
+
+
+@query("c06_sql_scalar_counts")
+def _(lake):
+    register_views(lake)
+    return lake.spark.sql(
+        "SELECT (SELECT count(*) FROM customer_features) AS feature_rows,"
+        " (SELECT count(*) FROM customer_360 WHERE segment IS NOT NULL) AS scored_rows"
+    )
+
+
 @query("r01_user_calls_per_minute")
 def _(lake):
     calls = gateway.calls_per_window(_events(lake), F.col("user_id"), "1 minute")

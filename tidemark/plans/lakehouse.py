@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import features, kpis, lookup, propensity
@@ -24,14 +26,16 @@ class Lakehouse:
         self.folder = folder
         self.store = TableStore(spark, root or run_dir(spark, "tables"))
         self._written: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()
 
     def _table(self, name: str, build, key: str | None = None) -> DataFrame:
-        if name not in self._written:
-            if key:
-                self._written[name] = self.store.replace_bucketed(name, build(), key)
-            else:
-                self._written[name] = self.store.replace(name, build())
-        return self._written[name]
+        with self._lock:
+            if name not in self._written:
+                if key:
+                    self._written[name] = self.store.replace_bucketed(name, build(), key)
+                else:
+                    self._written[name] = self.store.replace(name, build())
+            return self._written[name]
 
     def users(self) -> DataFrame:
         return retail.users(self.spark, self.folder)

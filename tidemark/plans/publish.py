@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import top_n
 from tidemark.operators.upsert import upsert
+from tidemark.sources.tables import TableStore
 
 SERVING_COLUMNS = ["propensity_score", "segment", "decile"]
 
@@ -35,6 +36,17 @@ def sync_scores(existing: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def sync_serving(store: TableStore, name: str, scores: DataFrame) -> DataFrame:
+    """Write the next version of a serving table from its newest one and new scores.
+
+    Readers keep the old version until the new one is complete.
+    """
+    version = store.latest_version(name)
+    return store.write_version(
+        name, version + 1, sync_scores(store.read_version(name, version), scores)
+    )
+
+
 def sync_check(serving: DataFrame) -> DataFrame:
     """Rows per segment with the total and mean score of the whole table."""
     whole = serving.agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,8 +17,8 @@ class TableStore:
     """Parquet tables below one shared folder.
 
     ``replace`` overwrites a table (its schema may change), ``append`` adds rows, and
-    ``write_version`` puts a new version beside the old ones, for jobs that read the
-    version they replace.
+    ``write_version`` puts a new numbered version beside the old ones, for jobs that read
+    the version they replace.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -57,7 +58,17 @@ class TableStore:
         df.write.mode("append").parquet(self.path(name))
         return self.read(name)
 
-    def write_version(self, name: str, version: str, df: DataFrame) -> DataFrame:
+    def write_version(self, name: str, version: int, df: DataFrame) -> DataFrame:
         versioned = f"{name}/version={version}"
         df.write.mode("errorifexists").parquet(self.path(versioned))
         return self.read(versioned)
+
+    def latest_version(self, name: str) -> int:
+        """Number of the newest version; an error when there is none.
+
+        Only the folder names are needed: ``version`` is a partition column.
+        """
+        return self.read(name).agg(F.max("version")).first()[0]
+
+    def read_version(self, name: str, version: int) -> DataFrame:
+        return self.read(f"{name}/version={version}")

@@ -37,6 +37,14 @@ def json_stream(
     )
 
 
+def inferred_schema(spark: SparkSession, folder: str, sample: float = 0.01) -> StructType:
+    """Schema guessed from a share of the records landed so far, for first contact.
+
+    A guess may change with the sample, so a table's ingest should keep the first one.
+    """
+    return spark.read.option("samplingRatio", sample).json(folder).schema
+
+
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived to a parquet table, exactly once, and stop."""
     return (
