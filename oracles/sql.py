@@ -32,6 +32,71 @@ def hash32(*parts: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+# Constants of the 32-bit Murmur3 hash.
+MURMUR_C1, MURMUR_C2 = 0xCC9E2D51, 0x1B873593
+MURMUR_M1, MURMUR_M2 = 0x85EBCA6B, 0xC2B2AE35
+MURMUR_N = 0xE6546B64
+MURMUR_SEED = 42
+WORD = 2**32
+
+
+def _apply(source: str, expression: str) -> str:
+    """One step on the running value ``h``; steps nest, so each value is computed once."""
+    return f"SELECT user_id, CAST({expression} AS UBIGINT) AS h FROM ({source})"
+
+
+def _rotated(value: str, bits: int) -> str:
+    return f"(({value} << {bits}) % {WORD}) + ({value} >> {32 - bits})"
+
+
+def _rotate_number(value: int, bits: int) -> int:
+    return ((value << bits) | (value >> (32 - bits))) % WORD
+
+
+def _murmur_block(source: str, block: str) -> str:
+    """Mix one prepared block into ``h``."""
+    mixed = _apply(source, f"xor(h, CAST({block} AS UBIGINT))")
+    turned = _apply(mixed, _rotated("h", 13))
+    return _apply(turned, f"(h * 5 + {MURMUR_N}) % {WORD}")
+
+
+def _murmur_finish(source: str, length: int) -> str:
+    steps = [
+        f"xor(h, {length}::UBIGINT)",
+        "xor(h, h >> 16)",
+        f"(h * {MURMUR_M1}::UBIGINT) % {WORD}",
+        "xor(h, h >> 13)",
+        f"(h * {MURMUR_M2}::UBIGINT) % {WORD}",
+        "xor(h, h >> 16)",
+    ]
+    for step in steps:
+        source = _apply(source, step)
+    return source
+
+
+def murmur_sql(source: str, text: str = "") -> str:
+    """(user_id, h): signed Murmur3 of an INT key, continued over a constant ASCII text."""
+    multiplied = f"SELECT user_id, (user_id::UBIGINT * {MURMUR_C1}::UBIGINT) % {WORD} AS h FROM {source}"
+    block = _apply(_apply(multiplied, _rotated("h", 15)), f"(h * {MURMUR_C2}::UBIGINT) % {WORD}")
+    value = _murmur_finish(
+        f"SELECT user_id, CAST((h * 5 + {MURMUR_N}) % {WORD} AS UBIGINT) AS h FROM"
+        f" ({_apply(_apply(block, f'xor(h, {MURMUR_SEED}::UBIGINT)'), _rotated('h', 13))})",
+        4,
+    )
+    if text:
+        data = text.encode()
+        words = len(data) // 4 * 4
+        numbers = [int.from_bytes(data[i : i + 4], "little") for i in range(0, words, 4)]
+        for number in [*numbers, *data[words:]]:
+            prepared = _rotate_number(number * MURMUR_C1 % WORD, 15) * MURMUR_C2 % WORD
+            value = _murmur_block(value, str(prepared))
+        value = _murmur_finish(value, len(data))
+    return (
+        f"SELECT user_id, CASE WHEN h >= {WORD // 2} THEN h::BIGINT - {WORD} ELSE h::BIGINT END AS h"
+        f" FROM ({value})"
+    )
+
+
 def recurrence(day: str, leap: str = "ref_date") -> str:
     """Days to the yearly recurrence of a date column; ``leap`` replaces a missing Feb 29."""
     moved = (
@@ -482,6 +547,10 @@ def _bodies() -> dict[str, str]:
         "b07_row_filter_analyst": f"SELECT {hidden} FROM regions WHERE region = 'South'",
         "b07_row_filter_admin": f"SELECT {governed.format(email='email', mobile='mobile')} FROM regions",
         "b08_region_portable": "SELECT user_id, region FROM regions",
+        "b08_region_murmur": (
+            "SELECT user_id, ['North', 'South', 'East', 'West'][CAST(abs(h) % 4 AS INTEGER) + 1] AS region"
+            f" FROM ({murmur_sql('m_users')})"
+        ),
         "b09_engagement_state": f"SELECT user_id, recency_days, {STATE} AS engagement_state FROM feat",
         "b10_segment": "SELECT user_id, decile, segment FROM scores",
         "b11_next_best_offer": "SELECT * FROM offers",
@@ -659,6 +728,11 @@ def _bodies() -> dict[str, str]:
             "SELECT user_id, round(latent, 6) AS latent, round(propensity, 6) AS propensity FROM latents"
         ),
         "h06_training_dataset": "SELECT * FROM training",
+        "h06_label_murmur": (
+            "SELECT l.user_id, CASE WHEN (((m.h % 100000) + 100000) % 100000) / 100000::DOUBLE < l.propensity"
+            f" THEN 1 ELSE 0 END AS label_conversion FROM latents l JOIN ({murmur_sql('feat', SEED)}) m"
+            " ON m.user_id = l.user_id"
+        ),
         "h07_stratified_split": f"""
             SELECT user_id, label_conversion, place <= n * 75 // 100 AS is_train FROM (
               SELECT user_id, label_conversion, count(*) OVER (PARTITION BY label_conversion) AS n,

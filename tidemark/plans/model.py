@@ -25,7 +25,11 @@ DRIVER_SAMPLE = 800
 
 
 def fit(training: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Fit on the rows of ``training``; NULL features are kept as missing values."""
+    """Fit on the rows of ``training``; NULL features are kept as missing values.
+
+    Every tree passes over the rows once per level, so they are first spread evenly over
+    partitions of the advisory size, however the input was stored.
+    """
     names = model_features(training)
     assembler = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="keep")
     booster = GBTClassifier(
@@ -39,7 +43,9 @@ def fit(training: DataFrame, trees: int = TREES) -> PipelineModel:
         seed=MODEL_SEED,
         maxMemoryInMB=1024,
     )
-    return Pipeline(stages=[assembler, booster]).fit(numeric_features(training))
+    return Pipeline(stages=[assembler, booster]).fit(
+        numeric_features(training).hint("rebalance")
+    )
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
