@@ -70,6 +70,6 @@ def offer_rationale(
     return F.concat(*joined)
 
 
-def material_flag(material: Column, word: str) -> Column:
-    """1.0 when the material names ``word`` in any case, else 0.0 (also for NULL)."""
-    return F.when(F.contains(F.lower(material), F.lit(word)), F.lit(1.0)).otherwise(F.lit(0.0))
+def names_material(material: Column, word: str) -> Column:
+    """Whether the material names ``word`` in any case; NULL for no material."""
+    return F.contains(F.lower(material), F.lit(word))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.states import engagement_state, material_flag
+from tidemark.functions.states import engagement_state, names_material
 from tidemark.operators.measures import MetricView, exact_mean
 
 
@@ -21,7 +21,7 @@ def sales_view(items: DataFrame) -> MetricView:
             "revenue": F.sum("line_total"),
             "units_sold": F.sum("quantity"),
             "avg_unit_price": exact_mean(F.col("unit_price")),
-            "diamond_mix": F.avg(material_flag(F.col("material"), "diamond")),
+            "diamond_mix": F.count_if(names_material(F.col("material"), "diamond")) / F.count(F.lit(1)),
         },
     )
 

@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.states import engagement_state, material_flag
-from tidemark.operators.measures import exact_mean
+from tidemark.functions.states import names_material
 from tidemark.operators.ordered import top_n
 from tidemark.plans.features import as_of_date
 from tidemark.plans.kpis import propensity_view, sales_view
 
 
 def revenue_by_category(items: DataFrame, this_year: bool = False) -> DataFrame:
-    """Revenue and diamond mix per category, ranked by mix; optionally the as-of year only."""
+    """Revenue and diamond mix per category, ranked by mix; optionally the as-of year only.
+
+    The start of the year is one value compared with the bare column, so the files' date
+    ranges are used to skip older data.
+    """
     where = F.col("category").isNotNull()
     if this_year:
-        year = items.agg(F.year(F.max("order_date")).alias("y")).scalar()
-        where = where & (F.year("order_date") == year)
+        start = items.agg(F.trunc(F.max("order_date"), "YEAR").alias("start")).scalar()
+        where = where & (F.col("order_date") >= start)
     per_category = sales_view(items).query(["revenue", "diamond_mix"], by=["category"], where=where)
     # One row per category, so the unpartitioned window is small.
     rank = F.rank().over(W.orderBy(F.col("diamond_mix").desc()))
@@ -39,10 +42,9 @@ def segment_comparison(c360: DataFrame, segments: Collection[str] = ("High", "Lo
 
 def monthly_revenue(items: DataFrame, category: str, months: int = 6) -> DataFrame:
     """Revenue per month of one category over the last months up to the as-of month."""
-    last = items.agg(F.trunc(F.max("order_date"), "MONTH").alias("m")).scalar()
-    recent = (F.col("category") == category) & (
-        F.col("order_date") >= F.add_months(last, -(months - 1))
-    )
+    last = F.trunc(F.max("order_date"), "MONTH")
+    start = items.agg(F.add_months(last, -(months - 1)).alias("start")).scalar()
+    recent = (F.col("category") == category) & (F.col("order_date") >= start)
     return sales_view(items).query(["revenue"], by=["order_month"], where=recent).orderBy("order_month")
 
 
@@ -60,12 +62,12 @@ def order_value_by_diamond_buyer(orders: DataFrame, items: DataFrame) -> DataFra
     Orders are summed per customer first, so the join has one row per customer and side.
     """
     buyers = items.groupBy("user_id").agg(
-        F.max(material_flag(F.col("material"), "diamond")).alias("flag")
+        F.bool_or(names_material(F.col("material"), "diamond")).alias("flag")
     )
     spent = orders.groupBy("user_id").agg(
         F.sum("total_amount").alias("spent"), F.count("total_amount").alias("orders")
     )
-    diamond = (F.coalesce("flag", F.lit(0.0)) > 0).alias("diamond_buyer")
+    diamond = F.coalesce("flag", F.lit(False)).alias("diamond_buyer")
     return (
         spent.join(buyers, "user_id", "left")
         .groupBy(diamond)
@@ -118,11 +120,5 @@ def side_by_side(first: tuple[str, DataFrame], *rest: tuple[str, DataFrame]) ->
     return base.select(name, *others)
 
 
-def state_counts(c360: DataFrame) -> DataFrame:
-    return c360.groupBy(engagement_state(F.col("recency_days")).alias("engagement_state")).agg(
-        F.count(F.lit(1)).alias("customers"), exact_mean(F.col("monetary_total")).alias("avg_lifetime_value")
-    )
-
-
 def as_of(orders: DataFrame) -> DataFrame:
     return as_of_date(orders)
