@@ -3,27 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from tidemark.plans import lookup
 from tidemark.session import shared_dir
 from tidemark.sources import retail
 
-QUERIES = queries()
-# Their plans hold the model's own Python-free transformers but are slow to build.
-MODEL = {"h03_model_scores", "h08_model_metrics", "h09_model_drivers"}
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL))
-def test_no_cross_join_and_no_python(spark, folder, name):
-    text = plan(QUERIES[name](spark, folder))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "FlatMapGroups"):
-        assert node not in text
-
-
 @pytest.fixture
 def no_broadcast(spark):
     """Plan joins as for tables too large to broadcast."""
