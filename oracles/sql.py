@@ -121,6 +121,10 @@ RAW_COLUMNS = (
     "order_id, user_id, CAST(total_amount AS DOUBLE) AS total_amount, status, order_date,"
     " item_count, created_at"
 )
+RAW_NULLABLE = (
+    "CAST(order_id AS DOUBLE) AS order_id, CAST(user_id AS DOUBLE) AS user_id,"
+    " CAST(total_amount AS DOUBLE) AS total_amount, status, order_date, item_count, created_at"
+)
 SILVER_COLUMNS = (
     "order_id, user_id, CAST(total_amount AS DOUBLE) AS total_amount, status,"
     " CAST(try_cast(order_date AS DATE) AS VARCHAR) AS order_date, item_count, created_at"
@@ -422,15 +426,15 @@ def profile_sql(source: str, numbers: list[str], texts: list[str]) -> str:
         )
 
     no_number, no_text = "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"
-    rows = [row("':table'", "0::BIGINT", "CAST(NULL AS BIGINT)", no_number, no_number, no_text, no_text, no_number, no_number)]
+    rows = [row("':table'", "0::BIGINT", no_number, no_number, no_number, no_text, no_text, no_number, no_number)]
     for c in numbers:
         rows.append(
-            row(f"'{c}'", f"count(*) - count({c})", f"count(DISTINCT {c})", f"min({c})::DOUBLE", f"max({c})::DOUBLE",
+            row(f"'{c}'", f"count(*) - count({c})", f"count(DISTINCT {c})::DOUBLE", f"min({c})::DOUBLE", f"max({c})::DOUBLE",
                 no_text, no_text, f"round(avg({c}), 6)", f"round(stddev_samp({c}), 6)")
         )
     for c in texts:
         rows.append(
-            row(f"'{c}'", f"count(*) - count({c})", f"count(DISTINCT {c})", no_number, no_number,
+            row(f"'{c}'", f"count(*) - count({c})", f"count(DISTINCT {c})::DOUBLE", no_number, no_number,
                 f"min({c})::VARCHAR", f"max({c})::VARCHAR", no_number, no_number)
         )
     return " UNION ALL ".join(rows)
@@ -447,8 +451,9 @@ def _answers() -> str:
         "SELECT r.request_id, r.fn, r.user_id,"
         f" ({score}) OR ({profile}) OR ({offer}) AS found,"
         f" CASE WHEN ({score}) OR ({offer}) THEN s.propensity_score END AS propensity_score,"
-        f" CASE WHEN {score} THEN s.segment END AS segment, CASE WHEN {score} THEN s.decile END AS decile, "
-        + ", ".join(f"CASE WHEN {profile} THEN p.{c} END AS {c}" for c in profile_columns)
+        f" CASE WHEN {score} THEN s.segment END AS segment,"
+        f" CASE WHEN {score} THEN s.decile::DOUBLE END AS decile, "
+        + ", ".join(f"CASE WHEN {profile} THEN p.{c}::DOUBLE END AS {c}" for c in profile_columns)
         + f", CASE WHEN {offer} THEN o.recommended_offer END AS recommended_offer,"
         f" CASE WHEN {offer} THEN o.rationale END AS rationale"
         " FROM m_requests r LEFT JOIN scores s ON s.user_id = r.user_id"
@@ -457,7 +462,7 @@ def _answers() -> str:
 
 
 def _bodies() -> dict[str, str]:
-    raw_bronze = f"SELECT {RAW_COLUMNS}, true AS has_source FROM m_raw"
+    raw_bronze = f"SELECT {RAW_NULLABLE}, true AS has_source FROM m_raw"
     item_columns = (
         "user_id, category, material, quantity, CAST(unit_price AS DOUBLE) AS unit_price,"
         " CAST(line_total AS DOUBLE) AS line_total, CAST(order_date AS VARCHAR) AS order_date"
@@ -466,7 +471,7 @@ def _bodies() -> dict[str, str]:
         f"CAST({c} AS VARCHAR) AS {c}" for c in ("anniversary_date", "date_of_birth", "milestone_date", "created_at")
     )
     clean = f"SELECT {RAW_COLUMNS} FROM m_raw WHERE {GOOD}"
-    quarantine = f"SELECT {RAW_COLUMNS}, {reasons()} AS dq_reason FROM m_raw WHERE ({GOOD}) IS NOT TRUE"
+    quarantine = f"SELECT {RAW_NULLABLE}, {reasons()} AS dq_reason FROM m_raw WHERE ({GOOD}) IS NOT TRUE"
     violations = " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE ({test}) IS NOT TRUE) AS violations FROM m_raw"
         for rule, test in {
@@ -536,12 +541,15 @@ def _bodies() -> dict[str, str]:
         "b02_batch_clean": clean,
         "b03_quarantine_safe": quarantine,
         "b03_quarantine_stream": quarantine,
-        "b03_quarantine_reference": f"SELECT {RAW_COLUMNS}, {reasons()} AS dq_reason FROM m_raw WHERE NOT ({GOOD})",
+        "b03_quarantine_reference": f"SELECT {RAW_NULLABLE}, {reasons()} AS dq_reason FROM m_raw WHERE NOT ({GOOD})",
         "b03_quarantine_bad_dates": (
-            f"SELECT {RAW_COLUMNS}, {reasons(True)} AS dq_reason FROM m_raw"
+            f"SELECT {RAW_NULLABLE}, {reasons(True)} AS dq_reason FROM m_raw"
             f" WHERE ({GOOD} AND try_cast(order_date AS DATE) IS NOT NULL) IS NOT TRUE"
         ),
-        "b04_silver_projection": f"SELECT {SILVER_COLUMNS} FROM m_raw",
+        "b04_silver_projection": (
+            f"SELECT * REPLACE (CAST(order_id AS DOUBLE) AS order_id, CAST(user_id AS DOUBLE) AS user_id)"
+            f" FROM (SELECT {SILVER_COLUMNS} FROM m_raw)"
+        ),
         "b05_mask_email": "SELECT user_id, email FROM masked",
         "b06_mask_mobile": "SELECT user_id, mobile FROM masked",
         "b07_row_filter_analyst": f"SELECT {hidden} FROM regions WHERE region = 'South'",

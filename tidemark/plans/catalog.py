@@ -64,6 +64,14 @@ def _store(lake: Lakehouse, purpose: str) -> TableStore:
     return TableStore(lake.spark, run_dir(lake.spark, purpose))
 
 
+def _nullable(df: DataFrame, *names: str) -> DataFrame:
+    """Whole-number columns that hold NULLs, as DOUBLE, which every client shows alike."""
+    return df.withColumns({name: F.col(name).cast("double") for name in names})
+
+
+_RAW_KEYS = ("order_id", "user_id")
+
+
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
@@ -91,7 +99,7 @@ def _bronze(lake: Lakehouse, df: DataFrame, schema: T.StructType) -> DataFrame:
 
 @query("a01_ingest_orders")
 def _(lake):
-    return _bronze(lake, lake.orders_raw(), retail.ORDERS_RAW_SCHEMA)
+    return _nullable(_bronze(lake, lake.orders_raw(), retail.ORDERS_RAW_SCHEMA), *_RAW_KEYS)
 
 
 @query("a02_ingest_order_items")
@@ -214,28 +222,30 @@ def _(lake):
 
 @query("b03_quarantine_safe")
 def _(lake):
-    return quality.quarantine(lake.orders_raw(), quality.order_rules())
+    return _nullable(quality.quarantine(lake.orders_raw(), quality.order_rules()), *_RAW_KEYS)
 
 
 @query("b03_quarantine_reference")
 def _(lake):
-    return quality.quarantine(lake.orders_raw(), quality.order_rules(), mode="reference")
+    held = quality.quarantine(lake.orders_raw(), quality.order_rules(), mode="reference")
+    return _nullable(held, *_RAW_KEYS)
 
 
 @query("b03_quarantine_stream")
 def _(lake):
-    return _streamed_orders(lake).quarantined().drop("_source_file", "_bronze_ingested_at")
+    held = _streamed_orders(lake).quarantined().drop("_source_file", "_bronze_ingested_at")
+    return _nullable(held, *_RAW_KEYS)
 
 
 @query("b03_quarantine_bad_dates")
 def _(lake):
     rules = [*quality.order_rules(), quality.readable_date_rule()]
-    return quality.quarantine(lake.orders_raw(), rules)
+    return _nullable(quality.quarantine(lake.orders_raw(), rules), *_RAW_KEYS)
 
 
 @query("b04_silver_projection")
 def _(lake):
-    return quality.silver_orders(lake.orders_raw())
+    return _nullable(quality.silver_orders(lake.orders_raw()), *_RAW_KEYS)
 
 
 def _dimension(lake: Lakehouse) -> DataFrame:
@@ -399,7 +409,9 @@ def _(lake):
 @query("c07_answer_requests")
 def _(lake):
     requests = retail.requests(lake.spark, lake.folder)
-    return lookup.answer_requests(requests, lake.features(), lake.scores())
+    answers = lookup.answer_requests(requests, lake.features(), lake.scores())
+    counts = ("decile", "recency_days", "frequency", "wishlist_count", "cart_adds", "days_to_anniversary")
+    return _nullable(answers, *counts)
 
 
 # --- Aggregations --------------------------------------------------------------------
@@ -524,12 +536,13 @@ def _(lake):
 def _(lake):
     scored_at = feat.as_of_date(lake.orders()).scalar()
     df = profile(lake.scores().withColumn("scored_at", scored_at))
-    return _rounded(df, 6, "mean", "stddev")
+    return _rounded(_nullable(df, "distinct_count"), 6, "mean", "stddev")
 
 
 @query("d18_feature_profile")
 def _(lake):
-    return _rounded(profile(lake.features()), 6, "mean", "stddev")
+    df = _nullable(profile(lake.features()), "distinct_count")
+    return _rounded(df, 6, "mean", "stddev")
 
 
 @query("d19_usage_per_user_day")
