@@ -39,8 +39,9 @@ def test_features_shuffle_only_to_aggregate(lake, no_broadcast):
     text = plan(lake.build_features())
     assert text.count("SortMergeJoin") == 4
     assert "ReadSchema: struct<user_id:int,category:string,material:string>" in text
-    # Orders and items twice each (distinct counts), carts, wishlists and users once.
-    assert text.count("Exchange hashpartitioning(user_id") == 7
+    # Orders: sums, (customer, order) pairs and their counts. Items: (customer, category)
+    # and customer. Carts, wishlists and users: once each. The joins add none.
+    assert text.count("Exchange hashpartitioning(user_id") == 8
 
 
 def test_frequent_part_is_split_at_run_time(spark, lake, folder, tmp_path, no_broadcast):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import NO_DATE_DAYS, days_to_recurrence
 from tidemark.functions.states import names_material
+from tidemark.operators.grouped import aggregate_with_distinct
 
 
 def as_of_date(orders: DataFrame) -> DataFrame:
@@ -19,16 +20,24 @@ def order_features(orders: DataFrame) -> DataFrame:
 
     The distinct count spreads a heavy customer's orders over tasks by (customer, order)
     before the final per-customer step, so one customer may own any share of the rows.
-    Means are taken from sums and counts, which keeps the shuffled rows short.
     """
-    spent = F.sum("total_amount")
-    return orders.groupBy("user_id").agg(
-        F.count_distinct("order_id").alias("frequency"),
-        spent.alias("monetary_total"),
-        (spent / F.count("total_amount")).alias("aov"),
-        (F.sum("item_count") / F.count("item_count")).alias("avg_item_count"),
-        F.max("order_date").alias("last_order_date"),
-        F.min("order_date").alias("first_order_date"),
+    summed = {
+        "monetary_total": F.sum("total_amount"),
+        "amounts": F.count("total_amount"),
+        "items": F.sum("item_count"),
+        "item_counts": F.count("item_count"),
+        "last_order_date": F.max("order_date"),
+        "first_order_date": F.min("order_date"),
+    }
+    totals = aggregate_with_distinct(orders, "user_id", "order_id", "frequency", summed)
+    return totals.select(
+        "user_id",
+        "frequency",
+        "monetary_total",
+        (F.col("monetary_total") / F.nullif("amounts", F.lit(0))).alias("aov"),
+        (F.col("items") / F.nullif("item_counts", F.lit(0))).alias("avg_item_count"),
+        "last_order_date",
+        "first_order_date",
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.states import engagement_state, names_material
+from tidemark.operators.grouped import aggregate_with_distinct
 from tidemark.operators.measures import MetricView, exact_mean
 
 
@@ -58,8 +59,8 @@ def category_performance_kpi(items: DataFrame) -> DataFrame:
 
 def daily_sales_kpi(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Orders, revenue and units per day; both inputs are reduced to days before the join."""
-    heads = orders.groupBy("order_date").agg(
-        F.count_distinct("order_id").alias("orders"), F.sum("total_amount").alias("revenue")
+    heads = aggregate_with_distinct(
+        orders, "order_date", "order_id", "orders", {"revenue": F.sum("total_amount")}
     )
     units = items.groupBy("order_date").agg(F.sum("quantity").alias("units"))
     return heads.join(units, "order_date", "left").select(
