@@ -21,28 +21,28 @@ def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_totals(per_score, [F.col("score").desc()], ["pos", "neg"])
 
 
-def average_precision_of(curve: DataFrame) -> DataFrame:
+def _average_precision() -> Column:
     """Step-wise area: precision at each distinct score, weighted by its share of positives."""
     precision = F.col("run_pos") / (F.col("run_pos") + F.col("run_neg"))
     weight = F.col("pos") / F.nullif(F.col("all_pos"), F.lit(0))
-    return curve.agg(F.sum(weight * precision).alias("average_precision"))
+    return F.sum(weight * precision)
 
 
-def roc_auc_of(curve: DataFrame) -> DataFrame:
+def _roc_auc() -> Column:
     """Share of (positive, negative) pairs in the right order; ties count one half."""
     below = F.col("all_neg") - F.col("run_neg")
     half_wins = (2 * below + F.col("neg")).cast("decimal(19,0)")
     wins = F.sum(F.col("pos").cast("decimal(19,0)") * half_wins)
     pairs = F.max(F.col("all_pos").cast("double") * F.col("all_neg"))
-    return curve.agg((wins.cast("double") / 2 / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    return wins.cast("double") / 2 / F.nullif(pairs, F.lit(0.0))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    return average_precision_of(score_curve(df, label, score))
+    return score_curve(df, label, score).agg(_average_precision().alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    return roc_auc_of(score_curve(df, label, score))
+    return score_curve(df, label, score).agg(_roc_auc().alias("roc_auc"))
 
 
 def brier(label: Column, score: Column) -> Column:
@@ -67,12 +67,9 @@ def precision_at_fraction(
 
 
 def ranking_report(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
-    """All ranking metrics in one row, from one curve and one rank."""
-    curve = score_curve(df, label, score)
-    at_k = precision_at_fraction(df, label, score, key)
-    measures = {
-        "pr_auc": average_precision_of(curve).scalar(),
-        "roc_auc": roc_auc_of(curve).scalar(),
-    }
+    """All ranking metrics in one row, from one pass over the curve and one rank."""
+    areas = F.struct(_average_precision().alias("pr_auc"), _roc_auc().alias("roc_auc"))
+    curve = score_curve(df, label, score).agg(areas).scalar()
     loss = df.agg(brier(F.col(label).cast("double"), F.col(score))).scalar()
-    return at_k.select("*", *[m.alias(n) for n, m in measures.items()], loss.alias("brier"))
+    at_k = precision_at_fraction(df, label, score, key).withColumn("__areas", curve)
+    return at_k.select("*", "__areas.*", loss.alias("brier")).drop("__areas")

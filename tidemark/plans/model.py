@@ -62,8 +62,10 @@ def score_all(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def evaluate(model: PipelineModel, held_out: DataFrame) -> DataFrame:
+    """Ranking metrics of the held-out rows; their predictions are made once and kept."""
     predictions = predict(model, held_out).select(KEY, LABEL, "prediction_score")
-    return ranking_report(predictions, LABEL, "prediction_score", KEY)
+    kept = write_and_read(predictions, "predictions")
+    return ranking_report(kept, LABEL, "prediction_score", KEY)
 
 
 def drivers(model: PipelineModel, held_out: DataFrame, sample: int = DRIVER_SAMPLE) -> DataFrame:
