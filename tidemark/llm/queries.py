@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, language, mixing, simhash, token_files
+from tidemark.llm import (
+    decontam,
+    language,
+    mixing,
+    neighbours,
+    pii,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+)
 from tidemark.llm.common import table
 
 
@@ -20,6 +29,10 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokenize(table(spark, folder, "documents"), tokenizer_file())
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -28,6 +41,19 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return secret_scan.find_secrets(table(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted_languages(table(spark, folder, "documents"))
 
@@ -39,8 +65,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_neighbours": op3_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_personal_data": op6_personal_data,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
