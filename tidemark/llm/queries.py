@@ -16,6 +16,7 @@ from tidemark.llm import (
     secret_scan,
     simhash,
     token_files,
+    tool_calls,
     toxicity,
 )
 from tidemark.llm.common import table
@@ -29,6 +30,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.tokenize(table(spark, folder, "documents"), tokenizer_file())
 
 
+def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = tool_calls.calls_of(table(spark, folder, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+
+
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
@@ -65,6 +71,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_tool_calls": op2_tool_calls,
     "op3_neighbours": op3_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
