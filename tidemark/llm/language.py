@@ -207,8 +207,12 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, least: float = 0.02) -> DataFrame:
-    """The documents in a known language; those without letters or unlike any go."""
+def keep_identified(docs: DataFrame, above: float = 0.0) -> DataFrame:
+    """The documents in a known language; those without letters or unlike any go.
+
+    By default only texts without any likeness to a language (no positive cosine) count
+    as unlike: a sound text of one word may be hardly like its own.
+    """
     langs, prototypes = learn_prototypes(learning_rows(docs))
     judged = identify(docs, langs, prototypes)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > above)).select("row.*")

@@ -12,7 +12,7 @@ trees. Then it ascends in all trees together to that depth and looks at every ro
 it. The nearer the neighbours, the deeper the search stays; where vectors lie at random,
 it rises almost to the root.
 
-Rows found are ranked by coarse copies of the vectors (a byte for each component), and
+Rows found are ranked by coarse copies of the vectors (two bytes for each component), and
 the best ``RERANK`` of each search by cosine in double precision on the originals.
 
 Equal vectors are indexed once, with their six smallest ids; that loses nothing, for five
@@ -63,11 +63,11 @@ def hashes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
 
 
 def coarse(vectors: np.ndarray) -> np.ndarray:
-    return np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    return np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * 32767).astype("<i2")
 
 
 def _unit(codes: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+    rows = np.frombuffer(b"".join(codes), "<i2").reshape(len(codes), -1).astype(np.float32)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -192,14 +192,14 @@ def _searches(asked: DataFrame, bounds: pd.DataFrame, size: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("vector").to_pylist(), float)
-            strings, codes = hashes(vectors, planes).view(np.uint64), coarse(vectors)
+            strings, codes = hashes(vectors, planes).view(np.uint64) ^ np.uint64(1 << 63), coarse(vectors)
             out: list[tuple] = []
             for i, (cid, fifth) in enumerate(
                 zip(batch.column("cid").to_pylist(), batch.column("fifth").to_pylist())
             ):
                 free = np.uint64((1 << (BITS - depth(fifth))) - 1)
-                first = (strings[i] & ~free).view(np.int64)
-                last = (strings[i] | free).view(np.int64)
+                first = ((strings[i] & ~free) ^ np.uint64(1 << 63)).view(np.int64)
+                last = ((strings[i] | free) ^ np.uint64(1 << 63)).view(np.int64)
                 for tree in range(TREES):
                     a, b = begins[tree], begins[tree + 1]
                     low = a + np.searchsorted(highs[a:b], first[tree])

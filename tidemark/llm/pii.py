@@ -39,7 +39,7 @@ MORE_KINDS = ("iban", "account", "ssn", "local", "passport")
 _ORDER = {kind: i for i, kind in enumerate(BASE_KINDS + MORE_KINDS)}
 
 #: Scores: prior of a kind, what a passed checksum and a context word add, and the least.
-PRIOR = {"iban": 0.3, "account": 0.1, "ssn": 0.25, "local": 0.2, "passport": 0.1}
+PRIOR = {"iban": 0.3, "account": 0.1, "ssn": 0.25, "local": 0.2, "passport": 0.2}
 CONFIRMED = {"iban": 0.6, "account": 0.3, "ssn": 0.1, "local": 0.0, "passport": 0.0}
 CONTEXT = 0.4
 LEAST = 0.6

@@ -43,7 +43,8 @@ MOST_WORDS = 4096
 #: Most documents of each label in the learning sample.
 SAMPLE = 2000
 LEAST_SCORE = 0.7
-_EPOCHS, _BATCH, _RATE = 8, 256, 0.01
+#: Epochs, or more where the sample is too small for so many steps.
+_EPOCHS, _STEPS, _BATCH, _RATE = 8, 400, 128, 0.01
 _SLAB = 1024
 _SLOTS = 1 << 18
 
@@ -291,7 +292,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray
     return w
 
 
-def train(texts: list[str], toxic: np.ndarray, base_rate: float, epochs: int = _EPOCHS) -> bytes:
+def train(texts: list[str], toxic: np.ndarray, base_rate: float, epochs: int | None = None) -> bytes:
     """Network and logistic function as a numpy archive."""
     rng = np.random.default_rng(11)
     order = rng.permutation(len(texts))
@@ -312,6 +313,8 @@ def train(texts: list[str], toxic: np.ndarray, base_rate: float, epochs: int = _
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     places, held, firsts = words.windows()
     ends = np.append(firsts[1:], len(places))
+    # About five windows of each document make an epoch.
+    epochs = epochs or max(_EPOCHS, min(40, -(-_STEPS * _BATCH // (5 * max(len(learn), 1)))))
     steps = 0
     for epoch in range(epochs):
         if epoch % 2:
