@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import model, propensity
 
@@ -29,6 +30,27 @@ def test_one_customer_scores_as_in_the_batch(lake, fitted):
 
 def test_drivers_cover_every_feature(fitted):
     trained, held_out = fitted
-    rows = model.drivers(trained, held_out, sample=20).collect()
+    rows = model.drivers(trained, held_out).collect()
     assert {r.feature for r in rows} == set(propensity.FEATURES)
+    assert {r.rows for r in rows} == {held_out.count()}
     assert all(r.mean_abs_change >= 0 for r in rows) and any(r.mean_abs_change > 0 for r in rows)
+
+
+def test_drivers_do_not_depend_on_slices(fitted, monkeypatch):
+    trained, held_out = fitted
+    monkeypatch.setattr(model, "_SLICE_ROWS", 10)
+    rows = model.drivers(trained, held_out).collect()
+    assert {r.rows for r in rows} == {held_out.count()}
+
+
+def test_saved_model_scores_alike(lake, fitted, tmp_path):
+    trained, _ = fitted
+    loaded = model.save(trained, str(tmp_path / "model"))
+    pick = lambda m: sorted(map(tuple, model.score_all(m, lake.training()).collect()))
+    assert pick(loaded) == pick(trained)
+
+
+def test_missing_features_are_set_apart(lake, fitted):
+    trained, _ = fitted
+    row = lake.training().limit(1).withColumn("aov", F.lit(None).cast("double"))
+    assert 0 <= model.predict(trained, row).first().prediction_score <= 1

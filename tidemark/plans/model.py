@@ -21,17 +21,28 @@ MAX_DEPTH = 6
 ROW_SHARE = 0.8
 COLUMN_SHARE = 0.8
 MODEL_SEED = 42
-DRIVER_SAMPLE = 800
+
+# Stands for a missing feature; every feature is 0 or more, so a tree can set it apart.
+MISSING = -1.0
+# Held-out rows that exchange values among themselves; they are sorted in one task.
+_SLICE_ROWS = 50_000
+
+
+def _inputs(rows: DataFrame) -> DataFrame:
+    """Model features as DOUBLE, missing ones as ``MISSING``."""
+    names = model_features(rows)
+    return numeric_features(rows).fillna(MISSING, [n for n in names if n != "is_train"])
 
 
 def fit(training: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Fit on the rows of ``training``; NULL features are kept as missing values.
+    """Fit on the rows of ``training``; a missing feature counts as ``MISSING``.
 
-    Every tree passes over the rows once per level, so they are first spread evenly over
-    partitions of the advisory size, however the input was stored.
+    Trees end at the given depth or where a node is pure: Spark's learner has no limit on
+    the number of leaves. Every tree passes over the rows once per level, so they are
+    first spread evenly over partitions of the advisory size, however the input was stored.
     """
     names = model_features(training)
-    assembler = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=names, outputCol="vector")
     booster = GBTClassifier(
         featuresCol="vector",
         labelCol=LABEL,
@@ -43,14 +54,18 @@ def fit(training: DataFrame, trees: int = TREES) -> PipelineModel:
         seed=MODEL_SEED,
         maxMemoryInMB=1024,
     )
-    return Pipeline(stages=[assembler, booster]).fit(
-        numeric_features(training).hint("rebalance")
-    )
+    return Pipeline(stages=[assembler, booster]).fit(_inputs(training).hint("rebalance"))
+
+
+def save(model: PipelineModel, path: str) -> PipelineModel:
+    """Write the model and return it as read back."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``prediction_score``, the probability of conversion."""
-    scored = model.transform(numeric_features(rows))
+    scored = model.transform(_inputs(rows))
     return scored.withColumn("prediction_score", vector_to_array("probability")[1]).drop(
         "vector", "rawPrediction", "probability", "prediction"
     )
@@ -68,43 +83,33 @@ def evaluate(model: PipelineModel, held_out: DataFrame) -> DataFrame:
     return ranking_report(kept, LABEL, "prediction_score", KEY)
 
 
-def drivers(model: PipelineModel, held_out: DataFrame, sample: int = DRIVER_SAMPLE) -> DataFrame:
+def drivers(model: PipelineModel, held_out: DataFrame) -> DataFrame:
     """Mean absolute change of the score when one feature is taken from another customer.
 
-    A keyed-hash sample (the report is defined on a sample of bounded size) is repeated
-    once per feature, that feature's value being exchanged around the sample; one
-    prediction pass scores all repetitions.
+    Every held-out row takes part. Rows are dealt into slices by a keyed hash and sorted
+    by another; each row carries the values of the next one in its slice (the last one
+    those of the first), so that both predictions are made from the one row, and nothing
+    is joined. Gives feature, rows and mean_abs_change.
     """
     names = [name for name in model_features(held_out) if name != "is_train"]
-    place = W.orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)
-    drawn = numeric_features(held_out.select(KEY, *names)).orderBy(
-        F.xxhash64(F.col(KEY), F.lit("drivers")), KEY
-    ).limit(sample)
-    # At most ``sample`` rows from here on, so the unpartitioned windows stay small.
-    chosen = write_and_read(
-        drawn.withColumn("spot", F.row_number().over(place)).withColumn(
-            "size", F.count(F.lit(1)).over(W.partitionBy())
-        ),
-        "driver-sample",
-    )
-    repeated = chosen.select(
-        "*", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("turn", "feature")
-    ).withColumn("donor_spot", 1 + F.pmod(F.col("spot") + F.col("turn"), F.col("size")))
-    donors = chosen.select(
-        F.col("spot").alias("donor_spot"), *[F.col(n).alias(f"donor_{n}") for n in names]
-    )
-    exchanged = repeated.join(donors, "donor_spot").withColumns(
-        {n: F.when(F.col("feature") == n, F.col(f"donor_{n}")).otherwise(F.col(n)) for n in names}
+    rows = _inputs(held_out.select(KEY, *names))
+    slices = max(1, -(-rows.count() // _SLICE_ROWS))
+    spot = F.pmod(F.xxhash64(F.col(KEY), F.lit("slice")), F.lit(slices))
+    order = W.partitionBy("slice").orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    own = F.struct(*names)
+    paired = rows.withColumn("slice", spot).select(
+        KEY, *names, F.coalesce(F.lead(own).over(order), F.first(own).over(whole)).alias("donor")
     )
-    kept = [KEY, "feature", *names]
-    before = predict(model, chosen.select(KEY, *names)).select(
-        KEY, F.col("prediction_score").alias("before")
+    before = model.transform(paired).select(
+        KEY, *names, "donor", vector_to_array("probability")[1].alias("before")
     )
-    after = model.transform(exchanged.select(*kept)).select(
-        KEY, "feature", vector_to_array("probability")[1].alias("after")
+    repeated = before.withColumn("feature", F.explode(F.array(*map(F.lit, names))))
+    exchanged = repeated.withColumns(
+        {n: F.when(F.col("feature") == n, F.col(f"donor.{n}")).otherwise(F.col(n)) for n in names}
     )
-    return (
-        after.join(before, KEY)
-        .groupBy("feature")
-        .agg(F.avg(F.abs(F.col("after") - F.col("before"))).alias("mean_abs_change"))
+    after = model.transform(exchanged).withColumn("after", vector_to_array("probability")[1])
+    return after.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(F.abs(F.col("after") - F.col("before"))).alias("mean_abs_change"),
     )

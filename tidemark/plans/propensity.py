@@ -31,6 +31,7 @@ KEY = "user_id"
 LABEL = "label_conversion"
 LABEL_VALUES = [0, 1]
 TRUE_PROPENSITY = "propensity_true"
+# Names of the features, in the order of the table.
 FEATURES = [
     "recency_days",
     "tenure_days",
