@@ -6,10 +6,11 @@ The same run also looks at the plan: no cross join, and no Python between operat
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracles.sql import oracle_statements
+from tidemark.plans.catalog import QUERIES
 from tools.check import compare, connect
 
-TWINS = oracle_sql()
-QUERIES = queries()
+TWINS = oracle_statements()
 MODEL = {"h03_model_scores", "h08_model_metrics", "h09_model_drivers"}
 
 
@@ -19,7 +20,8 @@ def con(folder):
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

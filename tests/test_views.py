@@ -6,17 +6,14 @@ from tidemark.plans.views import named_views, register_views
 from tidemark.streaming.ingest import inferred_schema
 
 STATEMENTS = [
-    "SELECT count(*) FROM customer_features",
-    "SELECT user_id, monetary_total FROM customer_features ORDER BY monetary_total DESC, user_id LIMIT 5",
-    "SELECT segment, count(*) AS customers, round(avg(propensity_score), 4) AS avg_score"
-    " FROM customer_nbo_scores GROUP BY segment ORDER BY avg_score DESC",
-    "SELECT * FROM get_top_prospects('High', 5)",
-    "WITH m AS (SELECT category, sum(line_total) AS revenue, avg(if(material ILIKE '%diamond%', 1D, 0D)) AS mix"
-    " FROM fact_order_items GROUP BY ALL) SELECT *, rank() OVER (ORDER BY mix DESC) AS place FROM m"
-    " ORDER BY revenue DESC, category",
+    "SELECT max(user_id) FROM customer_features",
+    "SELECT decile, min(propensity_score) AS least, max(propensity_score) AS most FROM customer_nbo_scores"
+    " GROUP BY decile ORDER BY decile",
+    "SELECT * FROM get_top_prospects('Medium', 3)",
+    "SELECT year(order_date) AS sold, material, sum(quantity) AS pieces FROM fact_order_items GROUP BY ALL",
     "SELECT mask_email('someone@mail.example'), mask_mobile('9000000001')",
-    "SELECT c.user_id, o.recommended_offer FROM customer_360 AS c,"
-    " LATERAL recommend_next_best_offer(c.user_id) AS o WHERE c.segment = 'High'",
+    "SELECT o.recommended_offer, count(*) FROM customer_360 AS c,"
+    " LATERAL recommend_next_best_offer(c.user_id) AS o GROUP BY 1",
 ]
 
 
