@@ -26,6 +26,7 @@ class Lakehouse:
         self.folder = folder
         self.store = TableStore(spark, root or run_dir(spark, "tables"))
         self._written: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
         self._lock = threading.RLock()
 
     def _table(self, name: str, build, key: str | None = None) -> DataFrame:
@@ -37,6 +38,13 @@ class Lakehouse:
                     self._written[name] = self.store.replace(name, build())
             return self._written[name]
 
+    def has(self, name: str) -> bool:
+        """Whether a table beside the derived ones was stored by this lakehouse."""
+        return name in self._stored
+
+    def note(self, name: str) -> None:
+        self._stored.add(name)
+
     def users(self) -> DataFrame:
         return retail.users(self.spark, self.folder)
 
@@ -56,9 +64,18 @@ class Lakehouse:
         return retail.products(self.spark, self.folder)
 
     def items(self) -> DataFrame:
-        return self._table(
-            "fact_order_items", lambda: retail.order_items(self.spark, self.folder)
-        )
+        """Order items, stored by date: each file holds its own range of days.
+
+        Questions about a period therefore open few files. The customer spreads the rows
+        of a busy day over several files.
+        """
+        by = ["order_date", "user_id"]
+
+        def build() -> DataFrame:
+            items = retail.order_items(self.spark, self.folder)
+            return items.repartitionByRange(*by).sortWithinPartitions(*by)
+
+        return self._table("fact_order_items", build)
 
     def build_features(self) -> DataFrame:
         return features.customer_features(

@@ -127,16 +127,17 @@ def category_performance(category_kpis: DataFrame, category: str | None = None)
     return rows.select("category", "units", "revenue", "avg_unit_price", "diamond_mix")
 
 
-def golden_cohort(c360: DataFrame) -> DataFrame:
-    """High propensity, diamond affinity, an occasion near, and items in the cart."""
-    return c360.where(
-        (F.col("segment") == "High")
-        & diamond_buyer(F.col("diamond_share"))
+def golden_cohort(c360: DataFrame, segment: str | None = "High") -> DataFrame:
+    """A segment (or all) with diamond affinity, an occasion near, and items in the cart."""
+    wanted = c360 if segment is None else c360.where(F.col("segment") == segment)
+    return wanted.where(
+        diamond_buyer(F.col("diamond_share"))
         & near_occasion(F.col("days_to_anniversary"))
         & (F.col("cart_adds") > 0)
     )
 
 
+# Functions and the columns of their answers.
 _ANSWERS = {
     "get_customer_propensity": ["propensity_score", "segment", "decile"],
     "get_customer_profile": [

@@ -87,7 +87,8 @@ def evaluation_row(summary: DataFrame) -> DataFrame:
 
 
 def latest_evaluations(history: DataFrame, n: int = 5) -> DataFrame:
-    return top_n(history, [F.col("evaluated_at").desc()], n)
+    """The newest evaluations; of several at one time, those of more cases first."""
+    return top_n(history, [F.col("evaluated_at").desc(), F.col("n").desc()], n)
 
 
 def evaluation_summary(verdicts: DataFrame) -> DataFrame:
