@@ -539,6 +539,17 @@ def _bodies() -> dict[str, str]:
     )
     return {
         "a01_ingest_orders": raw_bronze,
+        "a01_ingest_faulty": """
+            SELECT CAST(CASE WHEN k <> 2 THEN order_id END AS DOUBLE) AS order_id,
+              CAST(CASE WHEN k NOT IN (2, 3) THEN user_id END AS DOUBLE) AS user_id,
+              CAST(CASE WHEN k NOT IN (2, 4) THEN total_amount END AS DOUBLE) AS total_amount,
+              CASE WHEN k <> 2 THEN status END AS status,
+              CASE k WHEN 1 THEN '[{"key":"coupon","value":"c7"}]'
+                WHEN 3 THEN '[{"key":"user_id","value":"7.5"},{"key":"was","value":"' || user_id || '"}]'
+                WHEN 4 THEN '[{"key":"total_amount","value":"12.345"}]' END AS _rescued,
+              CASE WHEN k = 2 THEN substr('{"order_id":' || order_id || ',"user_id":' || user_id
+                || ',"total_amount":', 1, 30) END AS _unreadable
+            FROM (SELECT *, order_id % 11 AS k FROM m_orders)""",
         "a02_ingest_order_items": f"SELECT {item_columns}, true AS has_source FROM m_items",
         "a03_ingest_users": f"SELECT user_id, first_name, last_name, email, mobile, {dates}, true AS has_source FROM m_users",
         "a04_stream_silver": f"SELECT {SILVER_COLUMNS} FROM m_raw WHERE {GOOD}",
@@ -547,7 +558,7 @@ def _bodies() -> dict[str, str]:
             " CAST(order_date AS VARCHAR) AS order_date, item_count, CAST(created_at AS VARCHAR) AS created_at FROM m_orders"
         ),
         "a06_replace_table": clean,
-        "a07_overwrite_with_new_schema": "SELECT * FROM scores",
+        "a07_overwrite_with_new_schema": "SELECT *, TRUE AS scored_at FROM scores",
         "a08_gold_refresh": features_sql("m_silver", False),
         "a09_upsert_scores": "SELECT * FROM serving",
         "a10_serving_projection": "SELECT user_id, propensity_score, segment, decile FROM scores",

@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import profile
 from tidemark.operators.upsert import upsert
-from tidemark.plans import publish
+from tidemark.plans import lookup, model, publish
+from tidemark.plans.lakehouse import Lakehouse
 from tidemark.sources.tables import TableStore
 
 
@@ -69,3 +71,53 @@ def test_profile(spark):
     assert (rows[":table"].row_count, rows[":table"].distinct_count) == (3, None)
     empty = {r.column_name: r for r in profile(df.limit(0)).collect()}
     assert empty["n"].distinct_count == 0 and empty[":table"].row_count == 0
+
+
+def test_broken_off_versions_are_passed_over(spark, lake, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    first = "SELECT CAST(id AS INT) AS user_id, 0.5D AS propensity_score, 'Low' AS segment, 1 AS decile, current_timestamp() AS scored_at FROM range(1000000, 1001000)"
+    store.write_version("scores", 1, spark.sql(first))
+    half = tmp_path / "scores" / "version=2"
+    spark.range(3).write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    (tmp_path / "scores" / "version=3" / "_temporary").mkdir(parents=True)
+    assert store.latest_version("scores") == 1
+    assert publish.sync_serving(store, "scores", lake.scores()).count() == 1000 + lake.scores().count()
+    assert store.latest_version("scores") == 4
+
+
+def test_replace_keeps_the_old_table_until_the_new_one_is_there(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.replace("t", spark.range(5))
+    broken = spark.range(5).withColumn("x", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception):
+        store.replace("t", broken)
+    assert store.read("t").count() == 5
+    reader = store.read("t")
+    store.replace("t", spark.range(2))
+    assert reader.count() == 5 and store.read("t").count() == 2
+
+
+def test_another_lakehouse_opens_the_stored_tables(spark, folder, tmp_path):
+    first = Lakehouse(spark, folder, str(tmp_path))
+    scores = sorted(map(tuple, first.scores().collect()))
+    files = {p for p in tmp_path.rglob("*.parquet")}
+    second = Lakehouse(spark, folder, str(tmp_path))
+    assert sorted(map(tuple, second.scores().collect())) == scores
+    assert second.items().count() == first.items().count()
+    joined = second.c360()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in joined
+    assert {p for p in tmp_path.rglob("*.parquet")} == files
+
+
+def test_model_scores_reach_offers_and_views(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(model, "TREES", 3)
+    monkeypatch.setattr(model.fit, "__defaults__", (3,))
+    lake = Lakehouse(spark, folder, str(tmp_path), scorer="model")
+    scores = lake.scores()
+    assert scores.count() == lake.training().count() and scores.where("scored_at IS NULL").count() == 0
+    predicted = model.score_all(lake.model(), lake.training()).select("user_id", "propensity_score")
+    assert lake.c360().select("user_id", "propensity_score").exceptAll(predicted).count() == 0
+    assert lookup.next_best_offer(scores, lake.features()).count() == scores.count()
+    cards = lookup.customer_cards(lake.features(), scores, lake.drivers(), "mean_abs_change")
+    assert len(cards.first().why_top_drivers) == lookup.CARD_DRIVERS

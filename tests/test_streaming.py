@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,43 @@ def test_payload_log_is_appended_once(spark, folder, tmp_path):
     stream = gateway.parquet_stream(spark, folder, "conversations")
     first = gateway.payload_log(stream, store).count()
     assert gateway.payload_log(stream, store).count() == first == scan(spark, folder, "conversations").count()
+
+
+def test_old_files_and_unreadable_lines_are_kept(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    medallion = Medallion(spark, str(tmp_path / "medallion"))
+    (landing / "new.json").write_text('{"order_id": 1, "total_amount": 2.5}\n\n')
+    medallion.ingest(str(landing), "bronze", retail.ORDERS_RAW_SCHEMA)
+    old = landing / "old.json"
+    old.write_text(
+        '{"order_id": 2, "coupon": {"a": [1]}, "user_id": "u7", "total_amount": 12.345}\n'
+        "{broken\n"
+        '{"order_id": 3, "order_id": 4, "status": null}\n'
+        "[1, 2]\n"
+    )
+    past = time.time() - 400 * 86_400
+    os.utime(old, (past, past))
+    rows = medallion.ingest(str(landing), "bronze", retail.ORDERS_RAW_SCHEMA).collect()
+    assert len(rows) == 5
+    assert {r._unreadable for r in rows} == {None, "{broken", "[1, 2]"}
+    rescued = {r.order_id: json.loads(r._rescued) if r._rescued else None for r in rows if not r._unreadable}
+    assert rescued[1] is None and rescued[2] == [
+        {"key": "coupon", "value": '{"a":[1]}'},
+        {"key": "user_id", "value": "u7"},
+        {"key": "total_amount", "value": "12.345"},
+    ]
+    # Of two fields of one name one is typed, the other kept as text.
+    (number,) = {3, 4} & set(rescued)
+    assert rescued[number] == [{"key": "order_id", "value": str(7 - number)}]
+
+
+def test_streams_of_tables_of_several_files(spark, folder, tmp_path):
+    for name in ("events", "conversations"):
+        scan(spark, folder, name).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    store = TableStore(spark, str(tmp_path / "store"))
+    stream = gateway.parquet_stream(spark, str(tmp_path), "conversations")
+    assert gateway.payload_log(stream, store).count() == scan(spark, folder, "conversations").count()
+    events = gateway.parquet_stream(spark, str(tmp_path), "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    running = gateway.running_windows(events, F.col("user_id"), "1 day", "10 minutes", store, "running")
+    assert running.agg(F.sum("calls")).first()[0] == scan(spark, folder, "events").count()

@@ -49,19 +49,27 @@ def clean(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.where(_all_pass(rules))
 
 
-def quarantine(df: DataFrame, rules: Sequence[Rule], mode: str = "complete") -> DataFrame:
-    """Rows that fail, with ``dq_reason`` listing every failed rule.
+def verdict(rules: Sequence[Rule], mode: str = "complete") -> Column:
+    """``clean``, ``quarantine`` or ``neither``; each row has one.
 
-    ``complete`` takes exactly the rows ``clean`` leaves out. ``reference`` negates the
-    rules as written, so a row whose outcome is NULL lands in neither table.
+    ``complete`` sends to quarantine exactly the rows that are not clean. ``reference``
+    negates the rules as written, so a row whose outcome is NULL is in neither table.
     """
     if mode not in ("complete", "reference"):
         raise ValueError(f"unknown quarantine mode: {mode}")
     passed = _all_pass(rules)
-    if mode == "complete":
-        passed = F.coalesce(passed, F.lit(False))
-    reasons = [F.when(rule.violated(), F.lit(rule.reason)) for rule in rules]
-    return df.where(~passed).withColumn("dq_reason", F.concat_ws("; ", *reasons))
+    failed = ~F.coalesce(passed, F.lit(False)) if mode == "complete" else ~passed
+    return F.when(passed, "clean").when(failed, "quarantine").otherwise("neither")
+
+
+def reason(rules: Sequence[Rule]) -> Column:
+    """The reasons of all failed rules, joined."""
+    return F.concat_ws("; ", *[F.when(rule.violated(), F.lit(rule.reason)) for rule in rules])
+
+
+def quarantine(df: DataFrame, rules: Sequence[Rule], mode: str = "complete") -> DataFrame:
+    """Rows whose verdict is quarantine, with ``dq_reason``."""
+    return df.where(verdict(rules, mode) == "quarantine").withColumn("dq_reason", reason(rules))
 
 
 def violation_counters(rules: Sequence[Rule]) -> list[Column]:

@@ -22,7 +22,7 @@ from tidemark.session import run_dir
 from tidemark.sources import retail
 from tidemark.sources.tables import TableStore, scan
 from tidemark.streaming import gateway as gateway_streams
-from tidemark.streaming.ingest import Medallion
+from tidemark.streaming.ingest import RESCUED, UNREADABLE, Medallion
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,7 +91,7 @@ def _medallion(lake: Lakehouse) -> Medallion:
 def _bronze(lake: Lakehouse, df: DataFrame, schema: T.StructType) -> DataFrame:
     table = _medallion(lake).ingest(_landed(lake, df), "bronze", schema)
     return table.withColumn("has_source", F.col("_source_file").endswith(".json")).drop(
-        "_source_file", "_bronze_ingested_at"
+        "_source_file", "_bronze_ingested_at", RESCUED, UNREADABLE
     )
 
 
@@ -100,6 +100,25 @@ def _(lake):
     return _nullable(_bronze(lake, lake.orders_raw(), retail.ORDERS_RAW_SCHEMA), *_RAW_KEYS)
 
 
+@query("a01_ingest_faulty")
+def _(lake):
+    """Landed lines with faults by key: an unknown field, a broken line, misfit values."""
+    fields = ["order_id", "user_id", "total_amount", "status"]
+    line, kind = F.to_json(F.struct(*fields)), F.col("order_id") % 11
+    lines = lake.orders().select(
+        F.when(kind == 1, F.concat(F.rtrim(line, F.lit("}")), F.lit(',"coupon":"c7"}')))
+        .when(kind == 2, F.substring(line, 1, 30))
+        .when(kind == 3, F.regexp_replace(line, '"user_id":', '"user_id":7.5,"was":'))
+        .when(kind == 4, F.regexp_replace(line, '"total_amount":[0-9.]+', '"total_amount":"12.345"'))
+        .otherwise(line)
+        .alias("value")
+    )
+    landing = run_dir(lake.spark, "landing")
+    lines.write.text(landing)
+    table = _medallion(lake).ingest(landing, "bronze", retail.ORDERS_RAW_SCHEMA)
+    return _nullable(table.select(*fields, RESCUED, UNREADABLE), *_RAW_KEYS)
+
+
 @query("a02_ingest_order_items")
 def _(lake):
     return _bronze(lake, lake.items(), retail.ORDER_ITEMS_SCHEMA)
@@ -138,7 +157,8 @@ def _(lake):
 def _(lake):
     store = _store(lake, "overwrite")
     store.replace("scores", lake.scores().select("user_id", "propensity_score"))
-    return store.replace("scores", lake.scores())
+    table = store.replace("scores", lake.scores())
+    return table.withColumn("scored_at", F.col("scored_at") <= F.current_timestamp())
 
 
 @query("a08_gold_refresh")
@@ -231,7 +251,9 @@ def _(lake):
 
 @query("b03_quarantine_stream")
 def _(lake):
-    held = _streamed_orders(lake).quarantined().drop("_source_file", "_bronze_ingested_at")
+    held = _streamed_orders(lake).quarantined().drop(
+        "_source_file", "_bronze_ingested_at", RESCUED, UNREADABLE
+    )
     return _nullable(held, *_RAW_KEYS)
 
 
@@ -835,32 +857,10 @@ def _(lake):
     return split.select("user_id", SAMPLE_LABEL, "is_train")
 
 
-_MODELS: dict[Lakehouse, tuple] = {}
-
-
-def fitted_model(lake: Lakehouse):
-    """Model of this lakehouse and its held-out rows; fitted and stored at first use."""
-    if lake not in _MODELS:
-        split = lake.store.replace("split", propensity.stratified_split(lake.training(), portable=True))
-        held_out = split.where(~F.col("is_train")).drop("is_train")
-        fitted = model.fit(split.where("is_train").drop("is_train"))
-        _MODELS[lake] = (model.save(fitted, lake.store.path("model")), held_out)
-    return _MODELS[lake]
-
-
-def model_drivers(lake: Lakehouse) -> DataFrame:
-    """The stored driver table of the model."""
-    if not lake.has("model_drivers"):
-        lake.store.replace("model_drivers", model.drivers(*fitted_model(lake)))
-        lake.note("model_drivers")
-    return lake.store.read("model_drivers")
-
-
 @query("h03_model_scores")
 def _(lake):
     """Customers of each decile and segment, and whether every score is a probability."""
-    fitted, _ = fitted_model(lake)
-    scores = model.score_all(fitted, lake.training())
+    scores = model.score_all(lake.model(), lake.training())
     score = F.col("propensity_score")
     return scores.groupBy("decile", "segment").agg(
         F.count(F.lit(1)).alias("customers"), F.every((score >= 0) & (score <= 1)).alias("in_range")
@@ -870,9 +870,9 @@ def _(lake):
 @query("h08_model_metrics")
 def _(lake):
     """What is exact about the evaluation, and whether the model ranks better than chance."""
-    fitted, held_out = fitted_model(lake)
-    report = model.evaluate(fitted, held_out).withColumn("rows", held_out.agg(F.count(F.lit(1))).scalar())
-    exact = report.select(
+    held_out = lake.held_out()
+    report = model.evaluate(lake.model(), held_out).withColumn("rows", held_out.agg(F.count(F.lit(1))).scalar())
+    return report.select(
         "rows",
         "k",
         F.round("base_rate", 9).alias("base_rate"),
@@ -880,14 +880,13 @@ def _(lake):
         (F.col("roc_auc") > 0.5).alias("ranks"),
         ((F.col("brier") > 0) & (F.col("brier") < 1)).alias("brier_in_range"),
     )
-    return exact
 
 
 @query("h09_model_drivers")
 def _(lake):
     """Features with the number of rows behind each driver."""
     change = F.col("mean_abs_change")
-    return model_drivers(lake).select("feature", "rows", ((change >= 0) & (change <= 1)).alias("in_range"))
+    return lake.drivers().select("feature", "rows", ((change >= 0) & (change <= 1)).alias("in_range"))
 
 
 @query("h09_term_contributions")

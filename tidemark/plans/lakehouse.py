@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.plans import features, kpis, lookup, propensity
+from tidemark.plans import features, kpis, lookup, model, propensity
 from tidemark.session import run_dir
-from tidemark.sources import retail
+from tidemark.sources import files, retail
 from tidemark.sources.tables import TableStore
 
 
@@ -19,32 +21,38 @@ class Lakehouse:
     features, training set, scores) are written to the shared folder at first use, as a
     replace-table statement would, so no job repeats the joins and aggregations behind
     them. Tables with one row per customer are bucketed by customer.
+
+    With a ``root`` of its own the lakehouse outlives the application: tables that are
+    complete there are opened, not derived again. ``scorer`` names where scores come
+    from: ``latent`` is the known propensity, ``model`` the predictions of the stored
+    model.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, root: str | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str, root: str | None = None, scorer: str = "latent"
+    ):
+        if scorer not in ("latent", "model"):
+            raise ValueError(f"unknown scorer: {scorer}")
         self.spark = spark
         self.folder = folder
+        self.scorer = scorer
         self.store = TableStore(spark, root or run_dir(spark, "tables"))
         self._written: dict[str, DataFrame] = {}
-        self._stored: set[str] = set()
+        self._model: PipelineModel | None = None
         self._lock = threading.RLock()
 
     def _table(self, name: str, build, key: str | None = None) -> DataFrame:
         with self._lock:
             if name not in self._written:
-                if key:
+                if self.store.has(name):
+                    opened = self.store.read_bucketed(name, key) if key else self.store.read(name)
+                    self._written[name] = opened
+                elif key:
                     self._written[name] = self.store.replace_bucketed(name, build(), key)
                 else:
                     self._written[name] = self.store.replace(name, build())
             return self._written[name]
 
-    def has(self, name: str) -> bool:
-        """Whether a table beside the derived ones was stored by this lakehouse."""
-        return name in self._stored
-
-    def note(self, name: str) -> None:
-        self._stored.add(name)
-
     def users(self) -> DataFrame:
         return retail.users(self.spark, self.folder)
 
@@ -93,14 +101,41 @@ class Lakehouse:
             key="user_id",
         )
 
-    def scores(self) -> DataFrame:
-        """Score table with the latent propensity as the score."""
+    def split(self) -> DataFrame:
+        """Training set with ``is_train``, by the portable hash."""
         return self._table(
-            "customer_nbo_scores",
-            lambda: propensity.score_table(self.training(), propensity.TRUE_PROPENSITY),
-            key="user_id",
+            "split", lambda: propensity.stratified_split(self.training(), portable=True)
         )
 
+    def held_out(self) -> DataFrame:
+        return self.split().where(~F.col("is_train")).drop("is_train")
+
+    def model(self) -> PipelineModel:
+        """The propensity model: fitted once on the training rows, stored, then loaded."""
+        with self._lock:
+            if self._model is None:
+                path = self.store.path("model")
+                if not files.exists(self.spark, f"{path}/metadata/_SUCCESS"):
+                    model.save(model.fit(self.split().where("is_train").drop("is_train")), path)
+                self._model = PipelineModel.load(path)
+            return self._model
+
+    def drivers(self) -> DataFrame:
+        """Global drivers of the model, from all held-out rows."""
+        return self._table("model_drivers", lambda: model.drivers(self.model(), self.held_out()))
+
+    def scores(self) -> DataFrame:
+        """Score table: key, score, decile, segment and the time of scoring."""
+
+        def build() -> DataFrame:
+            if self.scorer == "model":
+                table = model.score_all(self.model(), self.training())
+            else:
+                table = propensity.score_table(self.training(), propensity.TRUE_PROPENSITY)
+            return table.withColumn("scored_at", F.current_timestamp())
+
+        return self._table(f"customer_nbo_scores_{self.scorer}", build, key="user_id")
+
     def c360(self) -> DataFrame:
         return lookup.customer_360(self.features(), self.scores())
 
@@ -108,12 +143,14 @@ class Lakehouse:
         return kpis.category_performance_kpi(self.items())
 
 
-_OPEN: dict[tuple[str, str], Lakehouse] = {}
+_OPEN: dict[tuple, Lakehouse] = {}
 
 
-def open_lakehouse(spark: SparkSession, folder: str) -> Lakehouse:
-    """The lakehouse of this application and source folder."""
-    key = (spark.sparkContext.applicationId, folder)
+def open_lakehouse(
+    spark: SparkSession, folder: str, root: str | None = None, scorer: str = "latent"
+) -> Lakehouse:
+    """The lakehouse of this application and source folder, or the one stored at ``root``."""
+    key = (spark.sparkContext.applicationId, folder, root, scorer)
     if key not in _OPEN:
-        _OPEN[key] = Lakehouse(spark, folder)
+        _OPEN[key] = Lakehouse(spark, folder, root, scorer)
     return _OPEN[key]

@@ -37,14 +37,13 @@ def sync_scores(existing: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def sync_serving(store: TableStore, name: str, scores: DataFrame) -> DataFrame:
-    """Write the next version of a serving table from its newest one and new scores.
+    """Write the next version of a serving table from its newest complete one and new scores.
 
-    Readers keep the old version until the new one is complete.
+    Readers keep the old version until the new one is complete. What a broken-off sync
+    left behind is passed over.
     """
-    version = store.latest_version(name)
-    return store.write_version(
-        name, version + 1, sync_scores(store.read_version(name, version), scores)
-    )
+    newest = store.read_version(name, store.latest_version(name))
+    return store.write_version(name, store.next_version(name), sync_scores(newest, scores))
 
 
 def sync_check(serving: DataFrame) -> DataFrame:

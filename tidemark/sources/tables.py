@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.sources import files
+
+_VERSION = re.compile(r"version=(\d+)(?:\.buckets=(\d+))?")
+#: Complete versions of a replaced table that stay, for readers still at work.
+_KEPT = 2
 
 
 def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,9 +22,13 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
 class TableStore:
     """Parquet tables below one shared folder.
 
-    ``replace`` overwrites a table (its schema may change), ``append`` adds rows, and
-    ``write_version`` puts a new numbered version beside the old ones, for jobs that read
-    the version they replace.
+    A table is a folder of numbered versions. A version counts once its success marker is
+    there, so a job that breaks off changes nothing for readers; the next writer takes a
+    number above every folder it finds. Only names are listed, no data is read.
+
+    ``replace`` writes a new version (its schema may change) and removes all but the last
+    two, ``append`` adds rows to the newest version, or to the folder itself if there is
+    none, and ``write_version`` keeps all versions.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -28,13 +38,51 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _versions(self, name: str) -> dict[int, str]:
+        """Folder of every version, complete or not, by number."""
+        found = {}
+        for folder in files.names_in(self.spark, self.path(name)):
+            match = _VERSION.fullmatch(folder)
+            if match:
+                found[int(match[1])] = f"{self.path(name)}/{folder}"
+        return found
+
+    def _complete(self, name: str) -> dict[int, str]:
+        found = self._versions(name)
+        return {n: p for n, p in sorted(found.items()) if files.exists(self.spark, f"{p}/_SUCCESS")}
+
+    def next_version(self, name: str) -> int:
+        return max(self._versions(name), default=0) + 1
+
+    def latest_version(self, name: str) -> int:
+        """Number of the newest complete version; an error when there is none."""
+        return max(self._complete(name))
+
+    def has(self, name: str) -> bool:
+        return bool(self._complete(name)) or files.exists(self.spark, f"{self.path(name)}/_SUCCESS")
+
+    def _place(self, name: str) -> str:
+        complete = self._complete(name)
+        return complete[max(complete)] if complete else self.path(name)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.parquet(self._place(name))
+
+    def _retire(self, name: str) -> None:
+        kept = list(self._complete(name))[-_KEPT:]
+        for number, path in self._versions(name).items():
+            if number < min(kept):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._catalog_name(name, path)}")
+                files.remove(self.spark, path)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.parquet(f"{self.path(name)}/version={self.next_version(name)}")
+        self._retire(name)
         return self.read(name)
 
+    def _catalog_name(self, name: str, path: str) -> str:
+        return f"{name}_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
     def replace_bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
         """Replace a table whose rows are unique by ``key``, in buckets by that key.
 
@@ -43,32 +91,40 @@ class TableStore:
         key would fill one bucket.
         """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"{name}_{uuid.uuid5(uuid.NAMESPACE_URL, self.path(name)).hex}"
+        path = f"{self.path(name)}/version={self.next_version(name)}.buckets={buckets}"
+        table = self._catalog_name(name, path)
         (
             df.repartition(buckets, key)
-            .write.mode("overwrite")
-            .bucketBy(buckets, key)
+            .write.bucketBy(buckets, key)
             .sortBy(key)
-            .option("path", self.path(name))
+            .option("path", path)
             .saveAsTable(table)
         )
+        self._retire(name)
+        return self.spark.table(table)
+
+    def read_bucketed(self, name: str, key: str) -> DataFrame:
+        """The newest version as a bucketed table, also in another application."""
+        path = self._place(name)
+        buckets = _VERSION.fullmatch(path.rsplit("/", 1)[1])[2]
+        table = self._catalog_name(name, path)
+        if not self.spark.catalog.tableExists(table):
+            schema = self.spark.read.parquet(path).schema
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            self.spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`)"
+                f" INTO {buckets} BUCKETS LOCATION '{path}'"
+            )
         return self.spark.table(table)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("append").parquet(self.path(name))
+        df.write.mode("append").parquet(self._place(name))
         return self.read(name)
 
     def write_version(self, name: str, version: int, df: DataFrame) -> DataFrame:
-        versioned = f"{name}/version={version}"
-        df.write.mode("errorifexists").parquet(self.path(versioned))
-        return self.read(versioned)
-
-    def latest_version(self, name: str) -> int:
-        """Number of the newest version; an error when there is none.
-
-        Only the folder names are needed: ``version`` is a partition column.
-        """
-        return self.read(name).agg(F.max("version")).first()[0]
+        path = f"{self.path(name)}/version={version}"
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.parquet(path)
 
     def read_version(self, name: str, version: int) -> DataFrame:
-        return self.read(f"{name}/version={version}")
+        return self.spark.read.parquet(self._complete(name)[version])

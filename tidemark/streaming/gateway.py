@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.gateway import calls_per_window
+from tidemark.sources.files import is_folder
 from tidemark.sources.tables import TableStore
-from tidemark.streaming.ingest import append_stream
+from tidemark.streaming.ingest import EVERY_FILE, append_stream
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    """A parquet table, one file or a folder of files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**EVERY_FILE)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def closed_windows(

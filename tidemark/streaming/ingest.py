@@ -4,43 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, DecimalType, StructType
 
 from tidemark.operators import quality
 from tidemark.plans.features import customer_features
 from tidemark.sources.tables import TableStore
 
 
-FILES_PER_BATCH = 10_000
+#: Files of any age are taken, in micro-batches of bounded size.
+EVERY_FILE = {"maxFilesPerTrigger": "1000", "maxFileAge": "36500d"}
 
+RESCUED, UNREADABLE = "_rescued", "_unreadable"
 
-def json_stream(
-    spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH
-) -> DataFrame:
-    """New files of a landing folder, with their source path and the time of ingest.
 
-    The schema is given, not inferred; a file is read once, whatever number of runs. A
-    large backlog is worked off in micro-batches of bounded size.
+def _fits(raw: Column, typed: Column, kind: DataType) -> Column:
+    """Whether the typed value says all that the text said."""
+    if isinstance(kind, DecimalType):
+        return typed == raw.try_cast("decimal(38,18)")
+    return typed.isNotNull()
+
+
+def typed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
+    """JSON lines (column ``value``) as typed columns that lose nothing.
+
+    Fields that the schema doesn't name, and values that don't fit their type, are kept
+    as a JSON list of keys and values (as text) in ``_rescued``; a line that is no JSON object in
+    ``_unreadable``, with NULL in all other columns. Blank lines are no records.
     """
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("_source_file"),
-            F.current_timestamp().alias("_bronze_ingested_at"),
-        )
+    fields = F.from_json("value", "map<string,string>")
+    rows = lines.where(F.trim("value") != "").withColumn("__fields", fields)
+    typed, sound = {}, []
+    for field in schema.fields:
+        raw = F.col("__fields").getItem(field.name)
+        value = raw.try_cast(field.dataType)
+        fits = F.coalesce(_fits(raw, value, field.dataType), F.lit(False))
+        typed[field.name] = F.when(fits, value)
+        sound.append(F.when(fits | raw.isNull(), F.lit(field.name)))
+    # An entry stays behind if its name isn't among the sound fields, or if it is a
+    # second one of its name.
+    rows = rows.withColumn("__sound", F.array_compact(F.array(*sound)))
+    left = F.filter(
+        F.map_entries("__fields"),
+        lambda e: ~F.array_contains("__sound", e["key"])
+        | ~F.element_at("__fields", e["key"]).eqNullSafe(e["value"]),
     )
+    return rows.withColumns(
+        {
+            RESCUED: F.when(F.size(left) > 0, F.to_json(left)),
+            UNREADABLE: F.when(F.col("__fields").isNull(), F.col("value")),
+            **typed,
+        }
+    ).drop("value", "__fields", "__sound")
 
 
-def inferred_schema(spark: SparkSession, folder: str, sample: float = 0.01) -> StructType:
-    """Schema guessed from a share of the records landed so far, for first contact.
+def json_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """New JSON-lines files of a landing folder, with their path and the time of ingest.
 
-    A guess may change with the sample, so a table's ingest should keep the first one.
+    The schema is given, not inferred; a file is read once, whatever number of runs, and
+    however old it is when it arrives.
+    """
+    lines = spark.readStream.options(**EVERY_FILE).text(folder)
+    named = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("_source_file"),
+        F.current_timestamp().alias("_bronze_ingested_at"),
+    )
+    names = [*schema.fieldNames(), RESCUED, UNREADABLE, "_source_file", "_bronze_ingested_at"]
+    return typed_lines(named, schema).select(*names)
+
+
+def inferred_schema(spark: SparkSession, folder: str, sample: float = 1.0) -> StructType:
+    """Schema guessed from the records landed so far, for first contact.
+
+    All records are read unless a share is asked for; a field that occurs only in the
+    others is then missing, though not lost (see ``typed_lines``). A table's ingest
+    should keep the first guess.
     """
     return spark.read.option("samplingRatio", sample).json(folder).schema
 
@@ -79,34 +120,29 @@ class Medallion:
     def stream_of(self, table: str) -> DataFrame:
         """The bronze table as a stream of its new rows."""
         schema = self.store.read(table).schema
-        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
-        return reader.parquet(self.store.path(table))
+        return self.spark.readStream.schema(schema).options(**EVERY_FILE).parquet(self.store.path(table))
 
     def split(self, bronze: str, rules: Sequence[quality.Rule] | None = None, mode: str = "complete") -> None:
-        """Send new bronze rows to silver and quarantine, and count violations per rule.
+        """Tell clean from quarantined among new bronze rows, and count violations per rule.
 
-        One query feeds all three tables. The micro-batch is kept while they are written,
-        so bronze is read once.
+        Each micro-batch is read once and written once, with its verdict as a folder, so
+        silver and quarantine read only their own files; the counts are observed on the way.
         """
         rules = list(rules or quality.order_rules())
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            kept = batch.persist()
-            try:
-                seen = Observation(f"violations-{batch_id}")
-                counted = kept.observe(seen, *quality.violation_counters(rules))
-                part = f"batch={batch_id}"
-                silver = quality.silver_orders(quality.clean(counted, rules))
-                silver.write.mode("overwrite").parquet(f"{self.store.path('orders_silver')}/{part}")
-                quality.quarantine(kept, rules, mode).write.mode("overwrite").parquet(
-                    f"{self.store.path('orders_quarantine')}/{part}"
-                )
-                counts = [(name, int(number)) for name, number in seen.get.items()]
-                batch.sparkSession.createDataFrame(counts, "rule string, violations bigint").coalesce(
-                    1
-                ).write.mode("overwrite").parquet(f"{self.store.path('orders_violations')}/{part}")
-            finally:
-                kept.unpersist()
+            seen = Observation(f"violations-{batch_id}")
+            part = f"batch={batch_id}"
+            judged = batch.observe(seen, *quality.violation_counters(rules)).withColumns(
+                {"dq_reason": quality.reason(rules), "verdict": quality.verdict(rules, mode)}
+            )
+            judged.write.mode("overwrite").partitionBy("verdict").parquet(
+                f"{self.store.path('orders_judged')}/{part}"
+            )
+            counts = [(name, int(number)) for name, number in seen.get.items()]
+            batch.sparkSession.createDataFrame(counts, "rule string, violations bigint").coalesce(
+                1
+            ).write.mode("overwrite").parquet(f"{self.store.path('orders_violations')}/{part}")
 
         (
             self.stream_of(bronze)
@@ -117,11 +153,15 @@ class Medallion:
             .awaitTermination()
         )
 
+    def _judged(self, verdict: str) -> DataFrame:
+        judged = self.store.read("orders_judged")
+        return judged.where(F.col("verdict") == verdict).drop("batch", "verdict")
+
     def silver(self) -> DataFrame:
-        return self.store.read("orders_silver").drop("batch")
+        return quality.silver_orders(self._judged("clean"))
 
     def quarantined(self) -> DataFrame:
-        return self.store.read("orders_quarantine").drop("batch")
+        return self._judged("quarantine")
 
     def violations(self) -> DataFrame:
         """Violations per rule over all batches so far."""
