@@ -600,6 +600,8 @@ def _bodies() -> dict[str, str]:
         "b15_search_products": f"SELECT * EXCLUDE (query, place) FROM ({search_sql('ring', False)}) WHERE place <= 8",
         "b15_search_many": search_many(False),
         "b15_search_many_literal": search_many(True),
+        "b15_search_table": search_many(False),
+        "b15_search_table_literal": search_many(True),
         "b16_golden_cohort": (
             "SELECT user_id, propensity_score, diamond_share, days_to_anniversary, cart_adds FROM c360"
             " WHERE segment = 'High' AND diamond_share >= 0.6 AND days_to_anniversary <= 30 AND cart_adds > 0"
@@ -710,6 +712,12 @@ def _bodies() -> dict[str, str]:
             " greatest(1, count(*) OVER () // 10) AS k, avg(label_conversion) OVER () AS base FROM training)"
             " WHERE place <= k"
         ),
+        "e01_prospects_asked": (
+            "SELECT s.segment, place, user_id, propensity_score FROM (SELECT segment, user_id, propensity_score,"
+            " row_number() OVER (PARTITION BY segment ORDER BY propensity_score DESC, user_id) AS place FROM scores) s"
+            " JOIN (SELECT segment, count(DISTINCT decile) AS n FROM scores GROUP BY segment) a"
+            " ON a.segment = s.segment WHERE place <= n"
+        ),
         "f01_top_customers_by_value": (
             "SELECT user_id, frequency, monetary_total, aov FROM feat ORDER BY monetary_total DESC, user_id LIMIT 5"
         ),

@@ -96,3 +96,30 @@ def test_sql_functions_equal_dataframe_functions(lake, spark):
         got = spark.sql(f"SELECT {', '.join(df.columns)} FROM {call}").collect()
         assert got == df.collect(), call
         assert got
+
+
+def test_searches_as_a_table_equal_single_searches(spark, lake):
+    texts = ["ring", "r%g", "_", "%", "", "small", "50%", "nothing like it", "SM"]
+    for literal in (False, True):
+        searches = spark.createDataFrame([(t,) for t in [*texts, "ring", None]], "query string")
+        rows = lookup.search_products_asked(lake.products(), searches, literal=literal).collect()
+        for text in texts:
+            one = lookup.search_products(lake.products(), text, literal=literal).collect()
+            got = [r for r in rows if r.query == text]
+            assert [r.product_id for r in sorted(got, key=lambda r: r.place)] == [r.product_id for r in one], text
+
+
+def test_searches_as_a_table_join_by_key(lake, spark):
+    searches = spark.createDataFrame([("ring",)], "query string")
+    plan = lookup.search_products_asked(lake.products(), searches)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_asked_prospects_equal_single_calls(spark, lake):
+    asks = spark.createDataFrame([("High", 3), ("Low", 7), ("High", 5), ("None", 2)], "segment string, n int")
+    rows = lookup.top_prospects_asked(lake.scores(), asks).collect()
+    for segment, n in (("High", 5), ("Low", 7)):
+        got = sorted((r for r in rows if r.segment == segment), key=lambda r: r.place)
+        one = lookup.top_prospects(lake.scores(), segment, n).collect()
+        assert [r.user_id for r in got] == [r.user_id for r in one]
+    assert len(rows) == 12

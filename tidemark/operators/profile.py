@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +22,22 @@ _CELLS = {
 }
 
 
-def _distinct_counts(df: DataFrame) -> DataFrame:
+def _distinct_counts(df: DataFrame, unique: Collection[str]) -> DataFrame:
     """Exact distinct values per column.
 
-    Rows are unfolded to (column, value) and made distinct by both, so neither a frequent
-    value nor a column with many values lands in one task.
+    Each column is counted apart, in its own type, from a scan of it alone; equal values
+    meet in each task before they are shuffled. The values of a ``unique`` column are all
+    distinct, so they are only counted.
     """
-    names = [F.col(name).cast("string").alias(name) for name in df.columns]
-    pairs = df.select(*names).unpivot([], df.columns, "column_name", "value")
-    found = pairs.where(F.col("value").isNotNull()).distinct()
-    return found.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    counts = None
+    for name in df.columns:
+        values = df.select(F.col(f"`{name}`").alias("value")).where(F.col("value").isNotNull())
+        values = values if name in unique else values.distinct()
+        row = values.agg(F.count(F.lit(1)).alias("distinct_count")).select(
+            F.lit(name).alias("column_name"), "distinct_count"
+        )
+        counts = row if counts is None else counts.unionByName(row)
+    return counts
 
 
 def _summary(field: T.StructField) -> Column:
@@ -50,18 +58,18 @@ def _cells(known: dict[str, Column]) -> Column:
     return F.struct(*[known.get(name, empty).cast(kind).alias(name) for name, kind in _CELLS.items()])
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, unique: Collection[str] = ()) -> DataFrame:
     """Rows, NULLs, distinct values, range, mean and deviation of every column.
 
     One aggregation measures all columns; its single row is unfolded to one row per
-    column and one for the table.
+    column and one for the table. ``unique`` names columns without repeated values.
     """
     table = _cells({"row_count": F.count(F.lit(1)), "null_count": F.lit(0)}).alias(TABLE_ROW)
     names = [*df.columns, TABLE_ROW]
     measured = df.agg(*[_summary(field) for field in df.schema.fields], table)
     summary = measured.unpivot([], [F.col(f"`{name}`") for name in names], "column_name", "cells")
     # Both sides have one row per column of the table.
-    joined = summary.join(F.broadcast(_distinct_counts(df)), "column_name", "left")
+    joined = summary.join(F.broadcast(_distinct_counts(df, unique)), "column_name", "left")
     empty = F.when(F.col("column_name") != TABLE_ROW, F.lit(0))
     counted = F.coalesce("distinct_count", empty).alias("distinct_count")
     return joined.select("column_name", "cells.*", counted)

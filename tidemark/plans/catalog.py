@@ -361,6 +361,24 @@ def _(lake):
     return lookup.search_products_many(lake.products(), SEARCHES, literal=True)
 
 
+def _asked_searches(lake: Lakehouse) -> DataFrame:
+    """The searches as a table; each is asked for by one part key, repeatedly."""
+    texts = F.array(*map(F.lit, SEARCHES))
+    return lake.products().select(
+        F.get(texts, F.pmod(F.xxhash64("product_id"), F.lit(len(SEARCHES))).cast("int")).alias("query")
+    )
+
+
+@query("b15_search_table")
+def _(lake):
+    return lookup.search_products_asked(lake.products(), _asked_searches(lake))
+
+
+@query("b15_search_table_literal")
+def _(lake):
+    return lookup.search_products_asked(lake.products(), _asked_searches(lake), literal=True)
+
+
 @query("b16_golden_cohort")
 def _(lake):
     wanted = ["user_id", "propensity_score", "diamond_share", "days_to_anniversary", "cart_adds"]
@@ -566,13 +584,13 @@ def _(lake):
 @query("d18_table_profile")
 def _(lake):
     scored_at = feat.as_of_date(lake.orders()).scalar()
-    df = profile(lake.scores().withColumn("scored_at", scored_at))
+    df = profile(lake.scores().withColumn("scored_at", scored_at), unique=["user_id"])
     return _rounded(_nullable(df, "distinct_count"), 6, "mean", "stddev")
 
 
 @query("d18_feature_profile")
 def _(lake):
-    df = _nullable(profile(lake.features()), "distinct_count")
+    df = _nullable(profile(lake.features(), unique=["user_id"]), "distinct_count")
     return _rounded(df, 6, "mean", "stddev")
 
 
@@ -605,6 +623,13 @@ def _(lake):
     return lookup.top_prospects_by_segment(lake.scores(), 5)
 
 
+@query("e01_prospects_asked")
+def _(lake):
+    """As many prospects of a segment as it has deciles, asked for by a table."""
+    asks = lake.scores().groupBy("segment").agg(F.count_distinct("decile").alias("n"))
+    return lookup.top_prospects_asked(lake.scores(), asks)
+
+
 @query("e02_rank_of_measure")
 def _(lake):
     return questions.revenue_by_category(lake.items())

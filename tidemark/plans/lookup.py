@@ -14,7 +14,7 @@ from tidemark.functions.states import (
     offer_rationale,
     recommended_offer,
 )
-from tidemark.operators.ordered import top_n, top_per_group
+from tidemark.operators.ordered import global_rank, top_n, top_per_group
 from tidemark.operators.skew import lookup_join
 
 # Fixed values.
@@ -122,6 +122,65 @@ def search_products_many(
     return top_per_group(hits, "query", order, n)
 
 
+_KEY_SIGNS = 3
+
+
+def _search_key(query: Column, literal: bool) -> Column:
+    """Up to three signs that every hit of the query must hold, in lower case.
+
+    They are the start of its longest part without wildcards; a query of wildcards alone
+    has the empty key, which every product holds.
+    """
+    lowered = F.lower(query)
+    if literal:
+        return F.substring(lowered, 1, _KEY_SIGNS)
+    parts = F.transform(F.split(lowered, "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    return F.substring(F.array_max(parts)["p"], 1, _KEY_SIGNS)
+
+
+def search_products_asked(
+    products: DataFrame, searches: DataFrame, n: int = SEARCH_RESULTS, literal: bool = False
+) -> DataFrame:
+    """The same search for a table of queries (column ``query``).
+
+    Products are joined to queries by a key of up to three signs that a hit must hold,
+    and each pair is then tested in full; a frequent key is split by adaptive execution.
+    Repeated queries are answered once, NULL is not.
+    """
+    asked = searches.select("query").where("query IS NOT NULL").distinct()
+    asked = asked.withColumn("key", _search_key(F.col("query"), literal))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+
+    def grams_of(size: int) -> Column:
+        return F.transform(starts, lambda at: F.substring(F.col("text"), at, F.lit(size)))
+
+    grams = map(grams_of, range(1, _KEY_SIGNS + 1))
+    texts = products.withColumn("text", F.lower(F.concat_ws("\n", *_SEARCHED)))
+    keyed = texts.withColumn(
+        "key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams)))
+    ).drop("text")
+    hits = keyed.join(asked, "key").where(_matches(F.col("query"), literal)).select(*_RESULT, "query")
+    return top_per_group(hits, "query", [F.col("price_inr").desc(), F.col("product_id")], n)
+
+
+def top_prospects_asked(scores: DataFrame, asks: DataFrame) -> DataFrame:
+    """The best ``n`` customers of each segment of a table of asks (segment, n).
+
+    Places are taken from one sort over all segments, so a segment of any size is spread
+    over many tasks. Of several asks for one segment the largest counts.
+    """
+    order = [F.col("segment"), F.col("propensity_score").desc(), F.col("user_id")]
+    placed = global_rank(scores.select("segment", "user_id", "propensity_score"), order, "at", "all")
+    begins = placed.groupBy("segment").agg(F.min("at").alias("begin"))
+    wanted = asks.groupBy("segment").agg(F.max("n").alias("n")).join(begins, "segment")
+    return (
+        placed.join(wanted, "segment")
+        .withColumn("place", F.col("at") - F.col("begin") + 1)
+        .where(F.col("place") <= F.col("n"))
+        .select("segment", "place", "user_id", "propensity_score")
+    )
+
+
 def category_performance(category_kpis: DataFrame, category: str | None = None) -> DataFrame:
     rows = category_kpis if category is None else category_kpis.where(F.col("category") == category)
     return rows.select("category", "units", "revenue", "avg_unit_price", "diamond_mix")
@@ -233,9 +292,11 @@ def register_sql_functions(
     products: DataFrame,
     category_kpis: DataFrame,
 ) -> None:
-    """SQL table functions over the same definitions; they may also be joined laterally.
+    """SQL table functions over the same definitions, for single calls.
 
-    The filter of a call is pushed through the function into the scans beneath it.
+    The filter of a call is pushed through the function into the scans beneath it. For
+    many requests at a time there are ``answer_requests``, ``search_products_asked`` and
+    ``top_prospects_asked``, which keep a frequent key or a large segment out of one task.
     """
     by_user = ({"wanted_user": "INT"}, "user_id = wanted_user")
     _register_lookup(spark, "get_customer_propensity", customer_propensity(scores), *by_user)
