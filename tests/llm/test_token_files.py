@@ -14,13 +14,19 @@ from tidemark.llm.queries import op1_token_files, tokenizer_file
 
 TOKENIZER = Tokenizer.from_file(tokenizer_file())
 ENCODER = token_files.Encoder(tokenizer_file())
-ALPHABET = "aB.,' \n\t\x1c  é日9_$🙂ſ᠎​"
+ALPHABET = "aB.,'ñ× \n\t\x1c  é日9_$🙂ſ᠎​"
 
 
 def plain(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
+def encoded(encoder, text):
+    ids, sizes = encoder.encode_all(["a b", text or "", "", "c."])
+    assert sizes[0] == 3 and ids[-1] == ids[sizes[0] - 1] == 2 and sizes.sum() == len(ids)
+    return ids[sizes[0] : sizes[0] + sizes[1] - 1].tolist()
+
+
 def expected(rows):
     start, found = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -33,25 +39,34 @@ def expected(rows):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.sampled_from(ALPHABET), max_size=40))
 def test_pieces_give_the_ids_of_the_whole(text):
-    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == plain(text)
+    assert encoded(ENCODER, text) == plain(text)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == plain(text)
+    assert encoded(ENCODER, text) == plain(text)
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a", "we're it's. They'll,. x", "a  b   c ", " lead", "a \n b"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "we're it's. They'll,. x", "x " + "y" * 23 + " " + "z" * 24 + ". " + "é" * 12 + ", end ", "a  b   c ", " lead", "a \n b"])
 def test_special_places(text):
-    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == plain(text)
+    assert encoded(ENCODER, text) == plain(text)
+
 
+def test_small_table_changes_nothing(documents):
+    encoder = token_files.Encoder(tokenizer_file(), pieces=50)
+    texts = [r.text for r in documents.limit(60).collect()]
+    for low in range(0, 60, 7):
+        ids, sizes = encoder.encode_all(texts[low : low + 7])
+        assert ids.tolist() == [i for t in texts[low : low + 7] for i in [*plain(t), 2]]
 
-def test_small_cache_changes_nothing(monkeypatch, documents):
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 50)
-    encoder = token_files.Encoder(tokenizer_file())
-    for row in documents.limit(60).collect():
-        assert np.frombuffer(encoder.encode(row.text), "<u4").tolist() == plain(row.text)
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab., \né×÷À\x00"), max_size=30), max_size=6))
+def test_many_texts_at_a_time(texts):
+    ids, sizes = ENCODER.encode_all(texts)
+    assert sizes.tolist() == [len(plain(t)) + 1 for t in texts]
+    assert ids.tolist() == [i for t in texts for i in [*plain(t), 2]]
 
 
 def test_query_against_plain_encoding(spark, folder, documents):
