@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.profile import profile
 from tidemark.operators.upsert import upsert
-from tidemark.plans import lookup, model, publish
+from tidemark.plans import lookup, model, propensity, publish
 from tidemark.plans.lakehouse import Lakehouse
+from tidemark.plans.views import named_views
 from tidemark.sources.tables import TableStore
 
 
@@ -121,3 +122,4 @@ def test_model_scores_reach_offers_and_views(spark, folder, tmp_path, monkeypatc
     assert lookup.next_best_offer(scores, lake.features()).count() == scores.count()
     cards = lookup.customer_cards(lake.features(), scores, lake.drivers(), "mean_abs_change")
     assert len(cards.first().why_top_drivers) == lookup.CARD_DRIVERS
+    assert named_views(lake)["nbo_model_drivers"].count() == len(propensity.FEATURES)

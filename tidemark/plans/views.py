@@ -15,7 +15,9 @@ def named_views(lake: Lakehouse, groups: Collection[str] = ()) -> dict[str, Data
     """Every table a SQL user may name; customers appear as ``groups`` may see them."""
     rules = quality.order_rules()
     dimension = governance.customer_dimension(lake.users())
-    return {
+    # A lakehouse on known propensities has no model, and fits none for a view.
+    drivers = {"nbo_model_drivers": lake.drivers()} if lake.scorer == "model" else {}
+    return drivers | {
         "fact_orders": lake.orders(),
         "fact_order_items": lake.items(),
         "fact_carts": lake.carts(),
