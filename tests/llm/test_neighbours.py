@@ -96,3 +96,23 @@ def test_unusable_vectors_take_no_part(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, rank string")
     assert neighbours.nearest(empty).collect() == []
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-4, 1e-5])
+def test_order_in_a_large_group_of_near_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    vectors = (centre + noise * rng.standard_normal((1000, 64))).astype(np.float32)
+    truth = exact(list(range(1000)), vectors.astype(float), range(0, 1000, 50))
+    found = answers(neighbours.nearest(frame(spark, vectors)).collect())
+    assert recall(found, truth) >= 0.9
+
+
+def test_ties_among_parallel_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(9)
+    # Powers of two, so that all cosines in the group are the same number.
+    group = np.array([3.0, -1.0, 2.0, 5.0]) * 2.0 ** rng.permutation(np.arange(-100, 20))[:, None]
+    vectors = np.concatenate([group, rng.standard_normal((80, 4))]).astype(np.float32)
+    found = answers(neighbours.nearest(frame(spark, vectors)).collect())
+    assert [i for i, _ in found[0]] == [1, 2, 3, 4, 5]
+    assert [i for i, _ in found[50]] == [i for i, _ in found[100]] == [0, 1, 2, 3, 4]

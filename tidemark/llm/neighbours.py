@@ -12,8 +12,10 @@ trees. Then it ascends in all trees together to that depth and looks at every ro
 it. The nearer the neighbours, the deeper the search stays; where vectors lie at random,
 it rises almost to the root.
 
-Rows found are ranked by coarse copies of the vectors (two bytes for each component), and
-the best ``RERANK`` of each search by cosine in double precision on the originals.
+The index holds the vectors' own components, as wide as the table has them. Of the rows
+found in a block, those whose cosine by matrix product is within its rounding error of the
+last place wanted are scored by the formula of the answer, and the best by that and by id
+are kept, however many are alike.
 
 Equal vectors are indexed once, with their six smallest ids; that loses nothing, for five
 are asked for and one may be the query itself. Vectors that are null, zero, of another
@@ -41,7 +43,6 @@ BITS = 64
 BLOCK = 16384
 NEAR = 32
 RECALL = 0.95
-RERANK = 50
 NEIGHBOURS = 5
 SEED = 5
 #: The block table goes to every task, so it has about this many rows at most; beyond it
@@ -62,15 +63,19 @@ def hashes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (strings.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def coarse(vectors: np.ndarray) -> np.ndarray:
-    return np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * 32767).astype("<i2")
+def _rows(codes: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), kind).reshape(len(codes), -1).astype(float)
 
 
-def _unit(codes: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(codes), "<i2").reshape(len(codes), -1).astype(np.float32)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(1))
+
+
 def classes(embeddings: DataFrame) -> DataFrame:
     """Distinct usable vectors: cid (smallest id), members (six smallest), vector, asked."""
     usable = (
@@ -103,7 +108,7 @@ def classes(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def _forest(found: DataFrame, size: int, rows: int) -> DataFrame:
+def _forest(found: DataFrame, size: int, rows: int, kind: str) -> DataFrame:
     """Sorted arrays of all trees: block, tree, hash, cid, asked, code."""
     planes = _planes(size)
 
@@ -112,7 +117,7 @@ def _forest(found: DataFrame, size: int, rows: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("vector").to_pylist(), float)
-            strings, codes = hashes(vectors, planes), coarse(vectors)
+            strings, codes = hashes(vectors, planes), vectors.astype(kind)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             for tree in range(TREES):
                 yield pa.RecordBatch.from_arrays(
@@ -152,10 +157,10 @@ def _best(sims: np.ndarray, count: int) -> np.ndarray:
     return np.argpartition(-sims, count - 1)[:count]
 
 
-def _descend(part: pd.DataFrame) -> pd.DataFrame:
+def _descend(part: pd.DataFrame, kind: str) -> pd.DataFrame:
     """The nearest of the rows beside each search in each tree of a block."""
     part = part.sort_values(["tree", "hash", "cid"])
-    unit, cids, trees = _unit(list(part["code"])), part["cid"].to_numpy(), part["tree"].to_numpy()
+    unit, cids, trees = _unit(_rows(list(part["code"]), kind)), part["cid"].to_numpy(), part["tree"].to_numpy()
     asks, found, sims = [], [], []
     for place in np.flatnonzero(part["asked"].to_numpy()):
         low = max(place - NEAR, np.searchsorted(trees, trees[place]))
@@ -180,7 +185,7 @@ def depth(cosine: float | None) -> int:
     return max(0, math.floor(math.log(needed) / math.log(same_bit))) if same_bit > 0 else 0
 
 
-def _searches(asked: DataFrame, bounds: pd.DataFrame, size: int) -> DataFrame:
+def _searches(asked: DataFrame, bounds: pd.DataFrame, size: int, kind: str) -> DataFrame:
     """Which blocks each search looks through, and the range of hashes it may take there."""
     planes = _planes(size)
     blocks, trees = bounds["block"].to_numpy(), bounds["tree"].to_numpy()
@@ -192,7 +197,7 @@ def _searches(asked: DataFrame, bounds: pd.DataFrame, size: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("vector").to_pylist(), float)
-            strings, codes = hashes(vectors, planes).view(np.uint64) ^ np.uint64(1 << 63), coarse(vectors)
+            strings, codes = hashes(vectors, planes).view(np.uint64) ^ np.uint64(1 << 63), vectors.astype(kind)
             out: list[tuple] = []
             for i, (cid, fifth) in enumerate(
                 zip(batch.column("cid").to_pylist(), batch.column("fifth").to_pylist())
@@ -227,13 +232,15 @@ _VISITS = pa.schema(
 )
 
 
-def _look(rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
+def _look(rows: pd.DataFrame, visits: pd.DataFrame, kind: str) -> pd.DataFrame:
     """Best rows of one block for the searches that reach it."""
     asks, found, sims = [], [], []
     if len(rows) and len(visits):
         rows = rows.sort_values(["tree", "hash", "cid"])
-        unit, cids, strings = _unit(list(rows["code"])), rows["cid"].to_numpy(), rows["hash"].to_numpy()
-        trees = rows["tree"].to_numpy()
+        vectors, cids, strings = _rows(list(rows["code"]), kind), rows["cid"].to_numpy(), rows["hash"].to_numpy()
+        unit, lengths, trees = _unit(vectors), _lengths(vectors), rows["tree"].to_numpy()
+        # Twice the rounding error of a cosine by matrix product, and by the formula.
+        slack = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
         # Searches of one range share a matrix product.
         for (tree, first, last), part in visits.groupby(["tree", "first", "last"], sort=False):
             a, b = np.searchsorted(trees, tree), np.searchsorted(trees, tree, "right")
@@ -242,18 +249,23 @@ def _look(rows: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
                 continue
             asking = part["ask"].to_numpy()
             for k in range(0, len(part), 256):
-                sim = _unit(list(part["ask_code"].iloc[k : k + 256])) @ unit[low:high].T
-                for ask, row in zip(asking[k : k + 256], sim):
-                    best = _best(row, RERANK + 1)
+                asked = _rows(list(part["ask_code"].iloc[k : k + 256]), kind)
+                sim = _unit(asked) @ unit[low:high].T
+                for ask, vector, length, row in zip(asking[k : k + 256], asked, _lengths(asked), sim):
+                    # One more than wanted, for the search may be among them.
+                    least = row[_best(row, NEIGHBOURS + 1)].min()
+                    near = low + np.flatnonzero(row >= least - slack)
+                    score = (vector * vectors[near]).sum(1) / (length * lengths[near])
+                    best = np.lexsort((cids[near], -score))[: NEIGHBOURS + 1]
                     asks.append(np.full(len(best), ask))
-                    found.append(cids[low + best])
-                    sims.append(row[best])
+                    found.append(cids[near[best]])
+                    sims.append(score[best])
     if not asks:
         return pd.DataFrame({"ask": [], "cid": [], "sim": []}).astype({"ask": "int64", "cid": "int64"})
     found_ = pd.DataFrame({"ask": np.concatenate(asks), "cid": np.concatenate(found), "sim": np.concatenate(sims)})
     # A block may hold rows of two trees, and so one vector twice.
     found_ = found_[found_["ask"] != found_["cid"]].drop_duplicates(["ask", "cid"])
-    return found_.sort_values(["ask", "sim", "cid"], ascending=[True, False, True]).groupby("ask").head(RERANK)
+    return found_.sort_values(["ask", "sim", "cid"], ascending=[True, False, True]).groupby("ask").head(NEIGHBOURS)
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +273,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             a = np.array(batch.column("ask_vector").to_pylist(), float)
             b = np.array(batch.column("vector").to_pylist(), float)
-            cosine = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+            cosine = (a * b).sum(1) / (_lengths(a) * _lengths(b))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("ask"), batch.column("members"), pa.array(cosine)], ["ask", "members", "score"]
             )
@@ -275,8 +287,11 @@ def nearest(embeddings: DataFrame) -> DataFrame:
     first = found.select(F.size("vector").alias("size")).first()
     if first is None:
         return spark.createDataFrame([], shape)
-    forest = _forest(found, first.size, found.count())
-    near = forest.groupBy("block").applyInPandas(_descend, "ask long, cid long, sim double")
+    kind = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"
+    forest = _forest(found, first.size, found.count(), kind)
+    near = forest.groupBy("block").applyInPandas(
+        lambda part: _descend(part, kind), "ask long, cid long, sim double"
+    )
     by_nearness = Window.partitionBy("ask").orderBy(F.desc("sim"))
     fifths = (
         near.groupBy("ask", "cid")
@@ -292,7 +307,7 @@ def nearest(embeddings: DataFrame) -> DataFrame:
         .toPandas()
         .sort_values(["tree", "low", "block"])
     )
-    visits = write_and_read(_searches(asked, bounds, first.size), "visits")
+    visits = write_and_read(_searches(asked, bounds, first.size, kind), "visits")
     # A block that many searches reach is copied, and each copy serves some of them.
     copies = visits.groupBy("block").agg(F.ceil(F.count("*") / _SEARCHES).cast("int").alias("copies"))
     dealt = visits.join(copies, "block").withColumn(
@@ -307,14 +322,14 @@ def nearest(embeddings: DataFrame) -> DataFrame:
         .cogroup(
             dealt.select("block", "copy", "ask", "tree", "first", "last", "ask_code").groupBy("block", "copy")
         )
-        .applyInPandas(_look, "ask long, cid long, sim double")
+        .applyInPandas(lambda rows, visits: _look(rows, visits, kind), "ask long, cid long, sim double")
     )
     kept = (
         write_and_read(seen, "candidates")
         .groupBy("ask", "cid")
         .agg(F.max("sim").alias("sim"))
         .withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("sim"), "cid")))
-        .filter(F.col("n") <= RERANK)
+        .filter(F.col("n") <= NEIGHBOURS)
         .select("ask", "cid")
     )
     # A search's own class is among its candidates: equal vectors are its nearest.
