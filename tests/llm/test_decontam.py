@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -101,3 +103,33 @@ def test_empty_tables(spark, awkward, nothing):
     assert decontam.contaminated(awkward, benchmark).collect() == []
     assert decontam.keep_clean(awkward, benchmark).count() == awkward.count()
     assert decontam.keep_clean(nothing, benchmark).collect() == []
+
+
+def test_every_pattern_that_agrees_gets_a_hit():
+    for size in range(1, decontam.STRETCH + 1):
+        masks = decontam.item_masks(size)
+        for changes in range(size - math.ceil(decontam.AGREE * size - 1e-9) + 1):
+            for changed in itertools.combinations(range(size), changes):
+                assert any(
+                    all(used == "0" or i + k not in changed for k, used in enumerate(mask))
+                    for mask in masks
+                    for i in range(size - len(mask) + 1)
+                ), (size, changed)
+
+
+def test_short_items_and_any_two_substitutions(spark):
+    rng = random.Random(7)
+    items = {size: [f"i{size}x{k}" for k in range(size)] for size in (1, 3, 5, 8, 10, 11, 12, 13, 20)}
+    docs, expected = [], set()
+    for size, item in items.items():
+        allowed = min(size, 13) - math.ceil(0.8 * min(size, 13) - 1e-9)
+        for changes in range(allowed + 2):
+            for changed in itertools.combinations(range(min(size, 13)), changes):
+                filler = [f"f{rng.randrange(5000)}" for _ in range(6)]
+                passage = [w if k not in changed else "changed" for k, w in enumerate(item[:13])]
+                docs.append(document(len(docs), " ".join(filler + passage + filler)))
+                if changes <= allowed:
+                    expected.add((docs[-1][0], size))
+    benchmark = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCUMENTS), benchmark).collect()}
+    assert found == expected

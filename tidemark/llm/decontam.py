@@ -8,8 +8,12 @@ Around each joined hit the two passages are laid side by side, without gaps, and
 word by word: a document holds a passage when a stretch of ``STRETCH`` words (or the
 whole item, if shorter) agrees in at least 80% of its words.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters. Items with fewer
-words than a mask is long can't be told from chance and are not searched. Null and empty
+The masks are chosen so that every stretch that agrees well enough holds a hit, wherever its
+words differ. Items shorter than a stretch have further masks by their number of words, and
+documents are hashed under those only if the benchmark has such items; of up to four words
+all must agree.
+
+Words are lower-cased runs of letters, digits and non-ASCII characters. Null and empty
 texts hold nothing. Repeated items with equal words count as the one with the smallest
 id. Rows with one doc_id are told apart by a hash of the row.
 """
@@ -28,8 +32,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, prepare, row_key, row_struct
 from tidemark.session import write_and_read
 
-#: Masks of weight 7 and length 11 or 12.
-MASKS = ("11011010011", "110010110101", "101101100101")
+#: Masks of weight 7. Of 13 words, any two may differ.
+MASKS = ("11011010011", "110010110101", "101101100101", "1011001111", "1101110011")
+#: Masks besides those, for items of so many words: two may differ from 10 on, one from 5 on.
+ITEM_MASKS = {
+    **{n: ("1" * n,) for n in range(1, 5)},
+    5: ("11101", "10111", "11011", "1111"),
+    6: ("110011", "1111", "101101"),
+    7: ("1100111", "11111", "1110011"),
+    8: ("11000111", "11111", "1110011"),
+    9: ("111000111", "111111"),
+    10: ("110111", "111000101", "10101011"),
+    11: ("11110101001", "10111111", "11101010101", "1100110111", "10111100011"),
+    12: ("11110101001", "100001111011"),
+}
 STRETCH = 13
 AGREE = 0.8
 #: Bits of the filter for each benchmark hash, and the most and fewest bits (2**n).
@@ -38,7 +54,7 @@ _FILTER_SHARE, _FILTER_MOST, _FILTER_LEAST = 32, 27, 22
 _JOIN_WITHIN, _AROUND = 32, 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = (1 << 64) - 1
-_SHORTEST = min(map(len, MASKS))
+_WINDOW = 11
 
 
 @lru_cache(maxsize=1)
@@ -81,14 +97,20 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, begins)
 
 
-def seed_hashes(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, hash of the window at every place) over a run of words."""
-    for number, mask in enumerate(MASKS):
+def item_masks(size: int) -> list[str]:
+    """Masks of an item with so many words."""
+    return [m for m in (*MASKS, *ITEM_MASKS.get(size, ())) if len(m) <= size]
+
+
+def seed_hashes(words: np.ndarray, masks: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(mask as a number, hash of the window at every place) over a run of words."""
+    for mask in masks:
+        number = int(mask, 2)
         places = len(words) - len(mask) + 1
         if places <= 0:
             yield number, np.zeros(0, np.uint64)
             continue
-        total = np.full(places, number + 1, np.uint64)
+        total = np.full(places, number, np.uint64)
         with np.errstate(over="ignore"):
             for k, used in enumerate(mask):
                 if used == "1":
@@ -109,7 +131,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, words in zip(batch.column("item_id"), batch.column("words")):
             run = np.asarray(words.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-            for _, h in seed_hashes(run):
+            for _, h in seed_hashes(run, item_masks(len(run))):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)),
@@ -126,7 +148,7 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = write_and_read(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
         .mapInArrow(_item_rows, "item_id long, words array<long>")
-        .filter(F.size("words") >= _SHORTEST)
+        .filter(F.size("words") > 0)
         .groupBy("words")
         .agg(F.min("item_id").alias("item_id"))
         .withColumn("item", F.xxhash64("words"))
@@ -184,7 +206,7 @@ def _held(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def _segments(docs: DataFrame, filter_: np.ndarray, bits: int) -> DataFrame:
+def _segments(docs: DataFrame, filter_: np.ndarray, bits: int, masks: list[str]) -> DataFrame:
     """Stretches of the documents with seed hits: their words, and the hits in them."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -193,7 +215,7 @@ def _segments(docs: DataFrame, filter_: np.ndarray, bits: int) -> DataFrame:
         for batch, texts in arrow_rows(batches):
             words, begins = word_hashes(texts)
             at, value = [], []
-            for _, h in seed_hashes(words):
+            for _, h in seed_hashes(words, masks):
                 hit = _held(table, bits, h)
                 at.append(hit)
                 value.append(h[hit])
@@ -208,7 +230,7 @@ def _segments(docs: DataFrame, filter_: np.ndarray, bits: int) -> DataFrame:
             for low, high in zip([0, *cut], [*cut, len(at)]):
                 doc = owner[low]
                 start = max(begins[doc], at[low] - _AROUND)
-                end = min(begins[doc + 1], at[high - 1] + _SHORTEST + _AROUND)
+                end = min(begins[doc + 1], at[high - 1] + _WINDOW + _AROUND)
                 rows.append((doc, start - begins[doc], words[start:end].view(np.int64),
                              value[low:high].view(np.int64), (at[low:high] - start).astype(np.int32)))
             take = pa.array([int(r[0]) for r in rows], pa.int64())
@@ -271,7 +293,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     items, seeds = benchmark_index(benchmark)
     filter_, bits = seed_filter(seeds)
-    segments = write_and_read(_segments(docs, filter_, bits), "seed-segments")
+    short = items.select(F.size("words").alias("size")).filter(F.col("size") < STRETCH).distinct().collect()
+    masks = list(dict.fromkeys([*MASKS, *(m for row in short for m in ITEM_MASKS[row["size"]])]))
+    segments = write_and_read(_segments(docs, filter_, bits, masks), "seed-segments")
     hits = segments.select(
         "doc_id", "content", "start", F.explode(F.arrays_zip("hashes", "places")).alias("hit")
     ).select("doc_id", "content", "start", F.col("hit.hashes").alias("h"), F.col("hit.places").alias("place"))
