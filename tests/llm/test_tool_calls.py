@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tidemark.llm import tool_calls
-from tidemark.llm.queries import op2_tool_calls
+from tidemark.llm.queries import op2_orphan_results, op2_tool_calls
 
 CALLS = "conv_id long, call_id string, turn long, place int, name string, arguments string, after array<string>, line string"
 RESULTS = "conv_id long, turn long, call_id string, content string, more string"
@@ -114,3 +114,33 @@ def test_long_conversation(spark):
 def test_empty_tables(spark):
     calls, results = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     assert tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).collect() == []
+
+
+def test_arguments_hold_the_whole_text(spark, folder):
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet").collect()
+    calls, _ = tool_calls.calls_of(spark.read.parquet(f"{folder}/conversations.parquet"))
+    texts = {(r.conv_id, f"call-{r.turn}"): r.text or "" for r in conversations if r.role == "assistant"}
+    for r in calls.collect():
+        arguments = json.loads(r.arguments)
+        assert arguments.get("query", arguments.get("text")) == texts[r.conv_id, r.call_id]
+
+
+def test_results_without_a_call_are_rows_of_their_own(spark, folder):
+    calls, results = tool_calls.calls_of(spark.read.parquet(f"{folder}/conversations.parquet"))
+    known = {(c.conv_id, c.call_id) for c in calls.collect()}
+    orphans = {(r.conv_id, r.call_id): r.content for r in results.collect() if (r.conv_id, r.call_id) not in known}
+    found = op2_orphan_results(spark, folder).collect()
+    assert orphans and len(found) == len(orphans) and {r.status for r in found} == {"orphan"}
+    assert {(r.conv_id, r.call_id): json.loads(r.line)["result"] for r in found} == orphans
+    linked = op2_tool_calls(spark, folder)
+    assert linked.schema == op2_orphan_results(spark, folder).schema
+    assert not {(r.conv_id, r.call_id) for r in linked.collect()} & set(orphans)
+
+
+def test_repeated_and_unusable_orphans(spark):
+    calls = spark.createDataFrame([(1, "a", 5, 0, "search", GOOD, [], "x")], CALLS)
+    rows = [(1, 9, "a", "linked", ""), (1, 9, "b", "late", ""), (1, 7, "b", None, ""), (None, 1, "a", "x", ""), (2, 1, "a", "y", "")]
+    found = tool_calls.orphan_results(calls, spark.createDataFrame(rows, RESULTS)).collect()
+    assert sorted((r.conv_id, r.call_id, r.repeats, json.loads(r.line)["result"]) for r in found) == [(1, "b", 1, None), (2, "a", 0, "y")]
+    empty = spark.createDataFrame([], RESULTS)
+    assert tool_calls.orphan_results(calls, empty).collect() == []

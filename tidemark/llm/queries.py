@@ -35,6 +35,10 @@ def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
 
 
+def op2_orphan_results(spark: SparkSession, folder: str) -> DataFrame:
+    return tool_calls.orphan_results(*tool_calls.calls_of(table(spark, folder, "conversations")))
+
+
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
@@ -72,6 +76,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_tool_calls": op2_tool_calls,
+    "op2_orphan_results": op2_orphan_results,
     "op3_neighbours": op3_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,

@@ -4,6 +4,7 @@
 and after (ids of calls whose results it uses); ``results`` has conv_id, turn, call_id,
 content. Both are joined by (conv_id, call_id). Of several calls under one identifier the
 first by turn, place and content is the call, the others count as repeats; so for results.
+Results whose call doesn't exist are rows of ``orphan_results``.
 
 Calls are ordered topologically: a call's level is one more than the highest level of the
 calls it follows, and a conversation's order is by level, turn, place. Levels are found in
@@ -109,6 +110,12 @@ def check_arguments(name: str | None, text: str | None, schemas: dict[str, dict]
     return value, faults(value, schemas[name])
 
 
+def _usable(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*_KEY, "turn", *columns).filter(
+        "conv_id IS NOT NULL AND call_id IS NOT NULL AND turn IS NOT NULL"
+    )
+
+
 def _first(rows: DataFrame, order: list[str]) -> DataFrame:
     """One row for each identifier, the first in ``order``, and the number of repeats."""
     others = [c for c in rows.columns if c not in _KEY]
@@ -149,12 +156,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     "; ". repeats counts the further calls and results under the identifier.
     """
     prepare(calls.sparkSession)
-    calls = calls.select(
-        "conv_id", "call_id", "turn", "place", "name", "arguments", "after"
-    ).filter("conv_id IS NOT NULL AND call_id IS NOT NULL AND turn IS NOT NULL")
-    results = results.select("conv_id", "call_id", "turn", "content").filter(
-        "conv_id IS NOT NULL AND call_id IS NOT NULL AND turn IS NOT NULL"
-    )
+    calls = _usable(calls, ["place", "name", "arguments", "after"])
+    results = _usable(results, ["content"])
     named = write_and_read(
         _first(calls, ["turn", "place", "name", "arguments"]), "calls"
     )
@@ -208,6 +211,43 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     )
 
 
+def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per identifier of results whose call doesn't exist, in the columns of ``link_calls``.
+
+    status is ``orphan``; place_no and level are null, and the line holds the first result.
+    """
+    prepare(calls.sparkSession)
+    known = _usable(calls, []).select(*_KEY)
+    rows = _first(_usable(results, ["content"]).join(known, _KEY, "left_anti"), ["turn", "content"])
+    kind = dict(rows.dtypes)
+
+    def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.num_rows
+            lines = [
+                canonical({
+                    "after": [], "arguments": None, "id": row["call_id"], "name": None,
+                    "result": row["content"], "valid": False,
+                })
+                for row in batch.to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id"), batch.column("call_id"),
+                    pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()),
+                    pa.array(["orphan"] * count, pa.string()), batch.column("repeats"),
+                    pa.array(["no call"] * count, pa.string()), pa.array(lines, pa.string()),
+                ],
+                ["conv_id", "call_id", "place_no", "level", "status", "repeats", "faults", "line"],
+            )
+
+    return rows.select(*_KEY, "repeats", "content").mapInArrow(
+        serialise,
+        f"conv_id {kind['conv_id']}, call_id string, place_no long, level int, status string, "
+        "repeats long, faults string, line string",
+    )
+
+
 #: Schemas of the tools that ``calls_of`` has the assistant call.
 SCHEMAS = {
     "search": {
@@ -230,18 +270,18 @@ SCHEMAS = {
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results as they stand for the turns of plain conversations.
 
-    Every assistant turn is a call: a search for its first words, or a measurement, with
-    its length as argument; it follows the calls at half and a third of its turn. The
+    Every assistant turn is a call: a search for its whole text, or a measurement of it,
+    with its length as argument; it follows the calls at half and a third of its turn. The
     user turn behind it is the result.
     """
-    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
-    count = F.size(words)
+    text = F.coalesce("text", F.lit(""))
+    count = F.size(F.split(text, r"\s+"))
     search = F.to_json(F.struct(
-        count.alias("limit"), F.array_join(F.slice(words, 1, 3), " ").alias("query")
+        count.alias("limit"), text.alias("query")
     ))
     measure = F.to_json(F.struct(
         F.when(count % 3 == 0, "line").otherwise("word").alias("unit"),
-        F.array_join(F.slice(words, 1, 4), " ").alias("text"),
+        text.alias("text"),
     ))
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     turn = F.col("turn")
