@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -76,3 +78,12 @@ def test_awkward_rows(spark, awkward, nothing):
     assert {r.spans for r in rows if r.doc_id in (3, 4, 5, 7, 8)} == {""}
     assert next(r for r in rows if r.doc_id == 6).n_hex == 2
     assert secret_scan.find_secrets(nothing, path, public_tokenizers.PATTERN).collect() == []
+
+
+def test_random_letters_are_found(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices(string.ascii_letters, k=(20, 24, 32, 40, 64)[i % 5]))) for i in range(500)]
+    found = find(spark, rows)
+    assert sum(found[i] == f"random:0:{len(text)}" for i, text in rows) >= 475
+    words = {1: "configuration_management_department", 2: "internationalization-of-communications_2024"}
+    assert find(spark, list(words.items())) == {1: "", 2: ""}

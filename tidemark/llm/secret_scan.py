@@ -3,11 +3,11 @@
 Three base kinds (assign, access, hex) are fixed by pattern alone and always count. The
 kind ``random`` is found by a token-efficiency test: a public byte-pair vocabulary cuts
 words of any language it knows into few long pieces, but random strings into many short
-ones. A run of ``LONG`` or more key characters, holding letters and digits, is reported
-when it has fewer than ``RATIO`` characters per token. Known digests (hex runs of the
-usual digest lengths), UUIDs, and identifiers (alphabetic parts joined by signs, with a
-number at the end at most) are excluded first. Spans that overlap a base span are left
-out.
+ones. A run of ``LONG`` or more key characters, holding letters, is reported when it has
+fewer than ``RATIO`` characters per token. Known digests (hex runs of the usual digest
+lengths), UUIDs, and identifiers (alphabetic parts joined by signs, with a number at the
+end at most) are excluded; an identifier only if its letter parts have ``RATIO`` characters
+per token or more. Spans that overlap a base span are left out.
 
 Places are code points, ends exclusive; an ``assign`` span is the whole assignment. Null
 and empty texts have no spans. Every pattern runs in time linear in the text. Rows are
@@ -49,6 +49,8 @@ _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+[+/_=-]+)*[A-Za-z]*[+/_=-]*[0-9]{0,6}")
 
+_LETTERS = re.compile(r"[A-Za-z]+")
+
 
 @lru_cache(maxsize=2)
 def _vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
@@ -57,11 +59,21 @@ def _vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
-    """Whether a run is a digest, a UUID or an identifier."""
+def _tokens(run: str, vocabulary: tiktoken.Encoding) -> int:
+    # Pieces of bounded length: the vocabulary's time grows faster than a run.
+    return sum(len(vocabulary.encode_ordinary(run[k : k + 512])) for k in range(0, len(run), 512))
+
+
+def known(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Whether a run is a digest, a UUID or an identifier of words that the vocabulary fits."""
     if len(run) in DIGEST_LENGTHS and _DIGEST.fullmatch(run):
         return True
-    return bool(_UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run))
+    if _UUID.fullmatch(run):
+        return True
+    if not _IDENTIFIER.fullmatch(run):
+        return False
+    parts = _LETTERS.findall(run)
+    return sum(map(len, parts)) >= RATIO * sum(_tokens(p, vocabulary) for p in parts)
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -88,12 +100,9 @@ def random_spans(
             reach = max(reach, blocked[i][1])
             i += 1
         run = text[start:end]
-        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        if reach > start or not mixed or known(run):
+        if reach > start or not any(c.isalpha() for c in run):
             continue
-        # Pieces of bounded length: the vocabulary's time grows faster than a run.
-        tokens = sum(len(vocabulary.encode_ordinary(run[k : k + 512])) for k in range(0, len(run), 512))
-        if len(run) < RATIO * tokens:
+        if len(run) < RATIO * _tokens(run, vocabulary) and not known(run, vocabulary):
             found.append(("random", start, end))
     return found
 
