@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontam,
     language,
+    merkle,
     mixing,
     neighbours,
     pii,
@@ -18,6 +20,7 @@ from tidemark.llm import (
     token_files,
     tool_calls,
     toxicity,
+    word_bpe,
 )
 from tidemark.llm.common import table
 
@@ -73,6 +76,15 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), weights)
 
 
+def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return word_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    return merkle.manifest(table(spark, folder, "documents"), changed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_tool_calls": op2_tool_calls,
@@ -85,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_merkle": op12_merkle,
 }

@@ -68,6 +68,86 @@ FROM t4 t JOIN s USING (source_no)
 """
 
 
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values: each byte enters, then eight shifts follow."""
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform({codes}, lambda code: [code::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda crc, code: xor(xor(crc, code) >> 1, 3988292384 * (xor(crc, code) & 1))))"""
+
+
+_ID_CODES = "list_transform(string_split(doc_id::VARCHAR, ''), lambda sign: ord(sign))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS row_no, doc_id, lang, leaf, shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY lang) AS size
+  FROM (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+      CASE WHEN {_crc32(_ID_CODES)} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE leaf END AS shown
+    FROM documents
+  )
+),
+nodes AS (
+  SELECT 0 AS level, lang, place, size, leaf AS node FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, place // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+  FROM nodes WHERE size > 1 GROUP BY level, lang, place // 2, size
+),
+subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS size
+  FROM nodes WHERE size = 1
+),
+tops AS (
+  SELECT 0 AS level, place, size, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY place))
+  FROM tops WHERE size > 1 GROUP BY level, place // 2, size
+),
+steps AS (
+  SELECT row_no, row_number() OVER (PARTITION BY row_no ORDER BY part, level) AS step, sibling, odd
+  FROM (
+    SELECT l.row_no, 0 AS part, own.level, other.node AS sibling, own.place % 2 = 1 AS odd
+    FROM leaves l
+    JOIN nodes own ON own.lang IS NOT DISTINCT FROM l.lang AND own.place = l.place >> own.level AND own.size > 1
+    LEFT JOIN nodes other ON other.lang IS NOT DISTINCT FROM l.lang AND other.level = own.level
+      AND other.place = xor(own.place, 1)
+    UNION ALL
+    SELECT l.row_no, 1, own.level, other.node, own.place % 2 = 1
+    FROM leaves l
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+    JOIN tops own ON own.place = s.place >> own.level AND own.size > 1
+    LEFT JOIN tops other ON other.level = own.level AND other.place = xor(own.place, 1)
+  )
+),
+proofs AS (
+  SELECT row_no, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256, count(step) AS steps
+  FROM leaves LEFT JOIN steps USING (row_no) GROUP BY row_no
+),
+folded AS (
+  SELECT row_no, 0::BIGINT AS step, shown AS node FROM leaves
+  UNION ALL
+  SELECT f.row_no, s.step, sha256(CASE WHEN s.odd THEN coalesce(s.sibling, '') || f.node ELSE f.node || coalesce(s.sibling, '') END)
+  FROM folded f JOIN steps s ON s.row_no = f.row_no AND s.step = f.step + 1
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.node AS root, p.proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM leaves l
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+JOIN proofs p USING (row_no)
+JOIN folded f ON f.row_no = l.row_no AND f.step = p.steps
+JOIN (SELECT node FROM tops WHERE size = 1) r ON TRUE
+"""
+
+
 def statements() -> dict[str, str]:
     rounds = ",".join(_MIX_ROUND.format(n=n, before=n - 1) for n in range(1, 5))
-    return {"op10_mixing": _MIX.format(rounds=rounds)}
+    return {"op10_mixing": _MIX.format(rounds=rounds), "op12_merkle": _MERKLE}

@@ -54,7 +54,7 @@ _KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 
-def _byte_letters() -> str:
+def byte_letters() -> str:
     """The signs a byte-level vocabulary writes for the bytes, in their order.
 
     Bytes that print in Latin-1 stand for themselves, the others, in order, for the
@@ -76,7 +76,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int = END_ID, pieces: int = CACHE_PIECES) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._blank = self._letters[ord(" ")]
         self._cut = self._tokenizer.model.tokenize
         self._end_id, self._pieces = end_id, pieces
