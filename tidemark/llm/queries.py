@@ -17,6 +17,7 @@ from tidemark.llm import (
     pii,
     secret_scan,
     simhash,
+    spelling,
     token_files,
     tool_calls,
     toxicity,
@@ -85,6 +86,10 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"), changed)
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"), every=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_tool_calls": op2_tool_calls,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_word_bpe": op11_word_bpe,
     "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }

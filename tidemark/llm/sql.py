@@ -148,6 +148,52 @@ JOIN (SELECT node FROM tops WHERE size = 1) r ON TRUE
 """
 
 
+# Letters here have one byte, or two of which the first is 195.
+_RUN_CODES = """flatten(list_transform(string_split(doc_id || ':' || run, ''),
+      lambda sign: CASE WHEN ord(sign) < 128 THEN [ord(sign)] ELSE [195, ord(sign) - 64] END))"""
+
+_SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{5,}}')) AS run
+    FROM documents
+  ) GROUP BY doc_id, run
+),
+checked AS (SELECT run, times, {_crc32(_RUN_CODES)} AS h FROM runs),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM checked
+  ) WHERE length(word) >= 5 GROUP BY word HAVING n >= 3
+),
+less AS (
+  SELECT word, gap, substr(word, 1, gap - 1) || substr(word, gap + 1) AS rest
+  FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS gap)
+),
+pairs AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.gap = b.gap AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest
+),
+judged AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.near, (-b.n, p.near)) AS best, max(b.n) AS most
+  FROM pairs p JOIN words b ON b.word = p.near GROUP BY p.word
+),
+formed AS (
+  SELECT w.word, w.n, coalesce(j.n_near, 0) AS n_near,
+    CASE WHEN j.most >= 2 * w.n THEN j.best END AS form, CASE WHEN j.most >= 2 * w.n THEN j.most END AS form_n
+  FROM words w LEFT JOIN judged j USING (word)
+),
+ways AS (
+  SELECT word, word AS last FROM words
+  UNION ALL SELECT y.word, f.form FROM ways y JOIN formed f ON f.word = y.last WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, y.last AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN ways y USING (word) JOIN formed e ON e.word = y.last AND e.form IS NULL
+"""
+
+
 def statements() -> dict[str, str]:
     rounds = ",".join(_MIX_ROUND.format(n=n, before=n - 1) for n in range(1, 5))
-    return {"op10_mixing": _MIX.format(rounds=rounds), "op12_merkle": _MERKLE}
+    return {"op10_mixing": _MIX.format(rounds=rounds), "op12_merkle": _MERKLE, "op13_spelling": _SPELLING}
