@@ -12,8 +12,8 @@ raw text first and are one id each; what is left is composed (NFC), lower-cased
 sign, cut into words by the file's pattern, and written in byte signs, the last of a word
 with the word-end mark. (For code points that this Python does not know yet, the
 tokenizer's own normalizer and splitter are asked; the merging stays here.) White space belongs to no word. So texts are cut at white space
-first, and each worker keeps a bounded table of such pieces with their ids: words that
-return are looked up, a full table is emptied.
+first, and each worker keeps a bounded table of such pieces with their ids: pieces that
+return are looked up, those not met for long are dropped.
 
 The vocabulary is read once on the driver and broadcast; its size is that of the tokenizer
 file (a few MB), whatever the number of documents. Documents are independent: no shuffle.
@@ -26,15 +26,16 @@ not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from os.path import commonprefix
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -44,13 +45,17 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import arrow_rows, prepare
 from tidemark.llm.token_files import byte_letters
 
-#: Pieces that a Python worker remembers, in about 300 bytes each, and their longest.
-CACHE_PIECES = 200_000
+#: Pieces that a Python worker remembers, in about 200 bytes each, and their longest.
+CACHE_PIECES = 400_000
 CACHE_SIGNS = 40
 
+_ID_BITS, _PLACE_BITS = 20, 40
+_ID, _PLACE = (1 << _ID_BITS) - 1, (1 << _PLACE_BITS) - 1
+
 # The white space of the tokenizer's pattern, by code point.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[^{_SPACE}]+")
+_BLANK = re.compile(f"[{_SPACE}]")
 
 
 class Vocabulary:
@@ -62,47 +67,76 @@ class Vocabulary:
         self.id_of: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {
-            (self.id_of[a], self.id_of[b]): (rank, self.id_of[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        #: By left id, then right id: (rank, id of the merged symbol) as one number.
+        self.merges: list[dict[int, int]] = [{} for _ in range(max(self.id_of.values()) + 1)]
+        for rank, (a, b) in enumerate(pairs):
+            self.merges[self.id_of[a]][self.id_of[b]] = rank << _ID_BITS | self.id_of[a + b]
         self.word_end: str = model["end_of_word_suffix"] or ""
         self.strings = {i: s for s, i in (self.id_of | self.special).items()}
         split = next(p for p in tokenizer["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words: str = split["pattern"]["Regex"]
 
 
-def merge(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(ids: list[int], merges: list[dict[int, int]]) -> list[int]:
     """``ids`` after all merges, the lowest rank first and of equal ranks the leftmost."""
     last = len(ids) - 1
+    # An entry is rank, merged id and place as one number, compared in this order.
+    queue = []
+    for at in range(last):
+        found = merges[ids[at]].get(ids[at + 1])
+        if found is not None:
+            queue.append(found << _PLACE_BITS | at)
+    if not queue:
+        return ids
+    heapify(queue)
     before = list(range(-1, last))
     after = list(range(1, last + 2))
     symbols = list(ids)
-    queue = [
-        (found[0], at, found[1], pair)
-        for at, pair in enumerate(zip(ids, ids[1:]))
-        if (found := merges.get(pair)) is not None
-    ]
-    heapq.heapify(queue)
     while queue:
-        _, at, merged, pair = heapq.heappop(queue)
-        right = after[at]
-        if right > last or (symbols[at], symbols[right]) != pair:
+        entry = heappop(queue)
+        at, merged = entry & _PLACE, entry >> _PLACE_BITS
+        right, left = after[at], symbols[at]
+        if right > last or left < 0 or merges[left].get(symbols[right]) != merged:
             continue  # stale: one of the two has been merged since
+        merged &= _ID
         symbols[at], symbols[right] = merged, -1
         follower = after[at] = after[right]
         if follower <= last:
             before[follower] = at
-            found = merges.get(new := (merged, symbols[follower]))
+            found = merges[merged].get(symbols[follower])
             if found is not None:
-                heapq.heappush(queue, (found[0], at, found[1], new))
+                heappush(queue, found << _PLACE_BITS | at)
         left = before[at]
         if left >= 0:
-            found = merges.get(new := (symbols[left], merged))
+            found = merges[symbols[left]].get(merged)
             if found is not None:
-                heapq.heappush(queue, (found[0], left, found[1], new))
+                heappush(queue, found << _PLACE_BITS | left)
     return [s for s in symbols if s >= 0]
 
 
+class _Recent(dict):
+    """A bounded table of what was met lately: a full half becomes the older one."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self._half, self._older = max(1, size // 2), {}
+
+    def again(self, key: str):
+        """What is known of ``key``, moved to the newer half; None if nothing is."""
+        found = self.get(key)
+        if found is None:
+            found = self._older.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value) -> None:
+        if len(self) >= self._half:
+            self._older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class WordEncoder:
     """Encodes texts and decodes ids by a vocabulary; keeps the pieces it has met."""
 
@@ -110,30 +144,37 @@ class WordEncoder:
         self._vocabulary = vocabulary = Vocabulary(tokenizer)
         self._newer = Tokenizer.from_str(tokenizer)
         self._words = regex.compile(vocabulary.words)
+        # The same for ASCII pieces without white space, by the plain engine.
+        plain = vocabulary.words.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9").replace("\\s", "")
+        self._plain_words = re.compile(plain)
         letters = byte_letters()
         self._byte_of = {c: b for b, c in enumerate(letters)}
         self._inner = [vocabulary.id_of[c] for c in letters]
         self._final = [vocabulary.id_of[c + vocabulary.word_end] for c in letters]
         special = sorted(vocabulary.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self._known: dict[str, list[int]] = {}
-        self._digests: dict[str, tuple[bytes, str, int]] = {}
-        self._pieces = pieces
+        # What all special strings begin with; a text without it holds none.
+        self._special_start = commonprefix(special)
+        self._known = _Recent(pieces)
+        self._raw = _Recent(pieces)
 
     def _word_ids(self, word: str) -> list[int]:
-        found = self._known.get(word)
+        found = self._known.again(word)
         if found is None:
             raw = word.encode()
             found = merge([*(self._inner[b] for b in raw[:-1]), self._final[raw[-1]]], self._vocabulary.merges)
             if len(word) <= CACHE_SIGNS:
-                if len(self._known) >= self._pieces:
-                    self._known.clear()
-                self._known[word] = found
+                self._known.keep(word, found)
         return found
 
     def _split(self, text: str) -> list[str]:
         """The words of a text without special strings, composed and lower-cased."""
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+        if text.isascii():
+            lowered = text.lower()
+            if lowered.isalpha():
+                return [lowered]
+            return (self._words if _BLANK.search(lowered) else self._plain_words).findall(lowered)
+        if any(unicodedata.category(c) == "Cn" for c in text):
             normal = self._newer.normalizer.normalize_str(text)
             cut = self._newer.pre_tokenizer.pre_tokenize_str(normal)
             return [bytes(self._byte_of[c] for c in word).decode() for word, _ in cut]
@@ -142,39 +183,49 @@ class WordEncoder:
         return self._words.findall(composed.replace("Σ", "σ").lower())
 
     def _plain_ids(self, text: str) -> list[int]:
-        return [i for word in self._split(text) for i in self._word_ids(word)]
+        words = self._split(text)
+        if len(words) == 1:
+            return self._word_ids(words[0])
+        return [i for word in words for i in self._word_ids(word)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        if self._special is None:
+        if self._special is None or self._special_start not in text or not self._special.search(text):
             return self._plain_ids(text)
         ids: list[int] = []
         for n, part in enumerate(self._special.split(text)):
             ids += [self._vocabulary.special[part]] if n % 2 else self._plain_ids(part)
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ``ids``; ids outside the vocabulary give nothing."""
         strings = self._vocabulary.strings
-        return " ".join(strings[i] for i in ids if i in strings)
+        try:
+            return " ".join(map(strings.__getitem__, ids))
+        except KeyError:
+            return " ".join([strings[i] for i in ids if i in strings])
 
-    def _piece(self, piece: str) -> tuple[bytes, str, int]:
-        """Ids as bytes, decoded text and number of ids of a piece without white space."""
-        found = self._digests.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """Ids, as little-endian numbers of 32 bits, of a piece without white space."""
+        found = self._raw.again(piece)
         if found is None:
             ids = self.encode(piece)
-            found = (np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids))
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= CACHE_SIGNS:
-                if len(self._digests) >= self._pieces:
-                    self._digests.clear()
-                self._digests[piece] = found
+                self._raw.keep(piece, found)
         return found
 
-    def digest(self, text: str) -> tuple[bytes, str]:
-        """(ids of a text as little-endian numbers of 32 bits, the text they decode to)."""
-        known, more = self._digests.get, self._piece
-        found = [known(piece) or more(piece) for piece in _PIECES.findall(text)]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[2]])
+    def encode_raw(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian numbers of 32 bits."""
+        pieces = _PIECES.findall(text)
+        found = list(map(self._raw.get, pieces))
+        if None in found:
+            more = self._piece
+            found = [more(piece) if f is None else f for f, piece in zip(found, pieces)]
+        return b"".join(found)
+
+    def decode_raw(self, raw: bytes) -> str:
+        return self.decode(struct.unpack(f"<{len(raw) // 4}I", raw))
 
 
 @lru_cache(maxsize=1)
@@ -190,13 +241,14 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value)
         for batch, texts in arrow_rows(batches):
-            found = [encoder.digest(t) for t in texts]
+            raw = [encoder.encode_raw(t) for t in texts]
+            decoded = [encoder.decode_raw(r).encode() for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(ids) // 4 for ids, _ in found], pa.int64()),
-                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in found], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found], pa.string()),
+                    pa.array([len(r) // 4 for r in raw], pa.int64()),
+                    pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
