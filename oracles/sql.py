@@ -560,6 +560,7 @@ def _bodies() -> dict[str, str]:
         "a06_replace_table": clean,
         "a07_overwrite_with_new_schema": "SELECT *, TRUE AS scored_at FROM scores",
         "a08_gold_refresh": features_sql("m_silver", False),
+        "a08_gold_merged": features_sql("m_silver", False),
         "a09_upsert_scores": "SELECT * FROM serving",
         "a10_serving_projection": "SELECT user_id, propensity_score, segment, decile FROM scores",
         "a11_append_evaluation": f"{evaluation} UNION ALL {evaluation}",
@@ -771,17 +772,6 @@ def _bodies() -> dict[str, str]:
             "SELECT r.request_id, p.* FROM m_requests r JOIN profiles p ON p.user_id = r.user_id"
         ),
         "h02_sql_category_lateral": "SELECT * FROM category_kpi",
-        "h03_model_scores": (
-            "SELECT decile, segment, count(*) AS customers, TRUE AS in_range FROM scores GROUP BY decile, segment"
-        ),
-        "h08_model_metrics": (
-            "SELECT count(*) AS rows, greatest(1, count(*) // 10) AS k, round(avg(label_conversion), 9) AS base_rate,"
-            f" TRUE AS beats_base_rate, TRUE AS ranks, TRUE AS brier_in_range FROM ({split}) WHERE NOT is_train"
-        ),
-        "h09_model_drivers": (
-            f"SELECT trim(feature) AS feature, (SELECT count(*) FROM ({split}) WHERE NOT is_train) AS rows,"
-            f" TRUE AS in_range FROM (SELECT unnest(string_split('{FEATURES}', ',')) AS feature)"
-        ),
         "h04_standard_scores": "SELECT user_id, "
         + ", ".join(f"round(z_{n}, 6) AS z_{n}" for n in STANDARD)
         + " FROM zscores",

@@ -11,7 +11,6 @@ from tidemark.plans.catalog import QUERIES
 from tools.check import compare, connect
 
 TWINS = oracle_statements()
-MODEL = {"h03_model_scores", "h08_model_metrics", "h09_model_drivers"}
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +39,7 @@ def test_query(spark, con, folder, name):
     plan = results[0]._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas", "FlatMapGroups", "ArrowEval"):
         assert node not in plan
-    # The model's own vector functions are the only ones outside the JVM.
-    assert "PythonUDF" not in plan or name in MODEL
+    assert "PythonUDF" not in plan
 
 
 def test_entry(spark):

@@ -169,6 +169,24 @@ def _(lake):
     return medallion.refresh_gold("items_bronze", "users_bronze")
 
 
+@query("a08_gold_merged")
+def _(lake):
+    """The gold features kept up to date batch by batch: three landings, merged one by one."""
+    medallion = _medallion(lake)
+    tables = [
+        ("orders_bronze", lake.orders_raw(), retail.ORDERS_RAW_SCHEMA),
+        ("items_bronze", lake.items(), retail.ORDER_ITEMS_SCHEMA),
+        ("users_bronze", lake.users(), retail.USERS_SCHEMA),
+    ]
+    landings = {name: run_dir(lake.spark, "landing") for name, _, _ in tables}
+    for part in range(3):
+        for name, rows, schema in tables:
+            rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == part).write.mode("append").json(landings[name])
+            medallion.ingest(landings[name], name, schema)
+        medallion.merge_gold("orders_bronze", "items_bronze", "users_bronze")
+    return medallion.merged_gold()
+
+
 _OLD_STAMP = "2000-01-01 00:00:00"
 
 
@@ -682,6 +700,11 @@ def _(lake):
     return _rounded(top, 6, "mean_abs_contribution")
 
 
+@query("f01_top_model_drivers")
+def _(lake):
+    return top_n(lake.drivers(), [F.col("mean_abs_contribution").desc(), F.col("feature")], 10)
+
+
 @query("f01_latest_evaluations")
 def _(lake):
     """Six evaluations, each of the cases of its own remainder of the key; five are shown."""
@@ -884,34 +907,34 @@ def _(lake):
 
 @query("h03_model_scores")
 def _(lake):
-    """Customers of each decile and segment, and whether every score is a probability."""
-    scores = model.score_all(lake.model(), lake.training())
-    score = F.col("propensity_score")
-    return scores.groupBy("decile", "segment").agg(
-        F.count(F.lit(1)).alias("customers"), F.every((score >= 0) & (score <= 1)).alias("in_range")
-    )
+    """Score, decile and segment that the stored trees give every customer."""
+    return model.score_all(lake.model(), lake.training())
+
+
+@query("h08_model_trees")
+def _(lake):
+    """The nodes of the fitted trees: feature and edge of a split, value and rows of a node."""
+    return _nullable(lake.model_trees(), "left", "right", "rows")
 
 
 @query("h08_model_metrics")
 def _(lake):
-    """What is exact about the evaluation, and whether the model ranks better than chance."""
+    """Metrics of the model on the held-out rows."""
     held_out = lake.held_out()
-    report = model.evaluate(lake.model(), held_out).withColumn("rows", held_out.agg(F.count(F.lit(1))).scalar())
-    return report.select(
-        "rows",
-        "k",
-        F.round("base_rate", 9).alias("base_rate"),
-        (F.col("pr_auc") > F.col("base_rate")).alias("beats_base_rate"),
-        (F.col("roc_auc") > 0.5).alias("ranks"),
-        ((F.col("brier") > 0) & (F.col("brier") < 1)).alias("brier_in_range"),
-    )
+    report = model.evaluate(lake.model(), held_out)
+    return report.withColumn("rows", held_out.agg(F.count(F.lit(1))).scalar())
+
+
+@query("h09_model_contributions")
+def _(lake):
+    """What each feature adds to the log odds of every held-out customer."""
+    return model.contributions(lake.model(), lake.held_out())
 
 
 @query("h09_model_drivers")
 def _(lake):
-    """Features with the number of rows behind each driver."""
-    change = F.col("mean_abs_change")
-    return lake.drivers().select("feature", "rows", ((change >= 0) & (change <= 1)).alias("in_range"))
+    """Mean size of each feature's contributions over all held-out customers."""
+    return lake.drivers()
 
 
 @query("h09_term_contributions")
@@ -928,6 +951,14 @@ def _(lake):
     return cards.withColumn("why_top_drivers", F.array_join("why_top_drivers", " > "))
 
 
+@query("h10_model_cards")
+def _(lake):
+    """Customer cards with the model's score and the model's drivers."""
+    scores = model.score_all(lake.model(), lake.training())
+    cards = lookup.customer_cards(lake.features(), scores, lake.drivers(), "mean_abs_contribution")
+    return cards.withColumn("why_top_drivers", F.array_join("why_top_drivers", " > "))
+
+
 # --- Business questions --------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,44 @@ def as_of_date(orders: DataFrame) -> DataFrame:
     return orders.agg(F.max("order_date").alias("ref_date"))
 
 
+def order_parts() -> dict[str, tuple[str, Column]]:
+    """Parts of the order features that can be added up: how they merge, and the value of a row."""
+    return {
+        "monetary_total": ("sum", F.col("total_amount")),
+        "amounts": ("sum", F.col("total_amount").isNotNull().cast("long")),
+        "items": ("sum", F.col("item_count")),
+        "item_counts": ("sum", F.col("item_count").isNotNull().cast("long")),
+        "last_order_date": ("max", F.col("order_date")),
+        "first_order_date": ("min", F.col("order_date")),
+    }
+
+
+def item_parts() -> dict[str, tuple[str, Column]]:
+    """The same of the item features."""
+
+    def named(word: str) -> Column:
+        return F.coalesce(names_material(F.col("material"), word), F.lit(False)).cast("long")
+
+    return {
+        "total_items": ("sum", F.lit(1).cast("long")),
+        "diamonds": ("sum", named("diamond")),
+        "golds": ("sum", named("gold")),
+    }
+
+
 def order_features(orders: DataFrame) -> DataFrame:
     """Frequency, spend and date range per customer.
 
     The distinct count spreads a heavy customer's orders over tasks by (customer, order)
     before the final per-customer step, so one customer may own any share of the rows.
     """
-    summed = {
-        "monetary_total": F.sum("total_amount"),
-        "amounts": F.count("total_amount"),
-        "items": F.sum("item_count"),
-        "item_counts": F.count("item_count"),
-        "last_order_date": F.max("order_date"),
-        "first_order_date": F.min("order_date"),
-    }
-    totals = aggregate_with_distinct(orders, "user_id", "order_id", "frequency", summed)
+    merges = {"sum": F.sum, "min": F.min, "max": F.max}
+    summed = {name: merges[how](value) for name, (how, value) in order_parts().items()}
+    return order_measures(aggregate_with_distinct(orders, "user_id", "order_id", "frequency", summed))
+
+
+def order_measures(totals: DataFrame) -> DataFrame:
+    """Order features from their parts per customer and ``frequency``."""
     return totals.select(
         "user_id",
         "frequency",
@@ -43,16 +68,20 @@ def order_features(orders: DataFrame) -> DataFrame:
 
 def item_features(items: DataFrame) -> DataFrame:
     """Item count, category spread and material shares per customer."""
-    total = F.count(F.lit(1))
+    parts = [F.sum(value).alias(name) for name, (_, value) in item_parts().items()]
+    return item_measures(
+        items.groupBy("user_id").agg(*parts, F.count_distinct("category").alias("distinct_categories"))
+    )
 
-    def share(word: str) -> Column:
-        return F.count_if(names_material(F.col("material"), word)) / total
 
-    return items.groupBy("user_id").agg(
-        total.alias("total_items"),
-        F.count_distinct("category").alias("distinct_categories"),
-        share("diamond").alias("diamond_share"),
-        share("gold").alias("gold_share"),
+def item_measures(totals: DataFrame) -> DataFrame:
+    """Item features from their parts per customer and ``distinct_categories``."""
+    return totals.select(
+        "user_id",
+        "total_items",
+        "distinct_categories",
+        (F.col("diamonds") / F.col("total_items")).alias("diamond_share"),
+        (F.col("golds") / F.col("total_items")).alias("gold_share"),
     )
 
 
@@ -92,13 +121,28 @@ def customer_features(
     """
     full = carts is not None and wishlists is not None
     ref = as_of_date(orders).scalar()
-    joined = order_features(orders).join(item_features(items), "user_id", "left")
+    engagement = []
     if full:
-        joined = joined.join(
-            engagement_features(carts, "cart_adds", "cart_value"), "user_id", "left"
-        ).join(
-            engagement_features(wishlists, "wishlist_count", "wishlist_value"), "user_id", "left"
-        )
+        engagement = [
+            engagement_features(carts, "cart_adds", "cart_value"),
+            engagement_features(wishlists, "wishlist_count", "wishlist_value"),
+        ]
+    return joined_features(order_features(orders), item_features(items), users, ref, engagement, leap)
+
+
+def joined_features(
+    orders: DataFrame,
+    items: DataFrame,
+    users: DataFrame,
+    ref: Column,
+    engagement: Sequence[DataFrame] = (),
+    leap: str = "today",
+) -> DataFrame:
+    """Feature rows from order and item measures per customer, users, and the as-of date."""
+    full = bool(engagement)
+    joined = orders.join(items, "user_id", "left")
+    for counts in engagement:
+        joined = joined.join(counts, "user_id", "left")
     joined = joined.join(occasion_features(users, ref, full, leap), "user_id", "left")
     joined = joined.withColumn("feature_asof_date", ref)
     as_of = F.col("feature_asof_date")

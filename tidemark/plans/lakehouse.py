@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import Ensemble
 from tidemark.plans import features, kpis, lookup, model, propensity
 from tidemark.session import run_dir
-from tidemark.sources import files, retail
+from tidemark.sources import retail
 from tidemark.sources.tables import TableStore
 
 
@@ -38,7 +38,7 @@ class Lakehouse:
         self.scorer = scorer
         self.store = TableStore(spark, root or run_dir(spark, "tables"))
         self._written: dict[str, DataFrame] = {}
-        self._model: PipelineModel | None = None
+        self._model: Ensemble | None = None
         self._lock = threading.RLock()
 
     def _table(self, name: str, build, key: str | None = None) -> DataFrame:
@@ -110,14 +110,17 @@ class Lakehouse:
     def held_out(self) -> DataFrame:
         return self.split().where(~F.col("is_train")).drop("is_train")
 
-    def model(self) -> PipelineModel:
-        """The propensity model: fitted once on the training rows, stored, then loaded."""
+    def model_trees(self) -> DataFrame:
+        """The nodes of the propensity model: fitted once on the training rows, then stored."""
+        return self._table(
+            "model_trees", lambda: model.fit(self.split().where("is_train").drop("is_train"))
+        )
+
+    def model(self) -> Ensemble:
+        """The stored propensity model, ready to score."""
         with self._lock:
             if self._model is None:
-                path = self.store.path("model")
-                if not files.exists(self.spark, f"{path}/metadata/_SUCCESS"):
-                    model.save(model.fit(self.split().where("is_train").drop("is_train")), path)
-                self._model = PipelineModel.load(path)
+                self._model = Ensemble(self.model_trees())
             return self._model
 
     def drivers(self) -> DataFrame:

@@ -1,115 +1,67 @@
-"""Boosted-tree propensity model: fit, batch scoring, drivers."""
+"""Boosted-tree propensity model: fit, batch scoring, evaluation, drivers."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from tidemark.operators.boosting import Ensemble, Settings
+from tidemark.operators.boosting import fit as fit_trees
 from tidemark.operators.curve import ranking_report
 from tidemark.plans.propensity import KEY, LABEL, model_features, numeric_features, score_table
 from tidemark.session import write_and_read
 
 # The model's settings.
-TREES = 400
-LEARNING_RATE = 0.05
-MAX_DEPTH = 6
-ROW_SHARE = 0.8
-COLUMN_SHARE = 0.8
-MODEL_SEED = 42
+SETTINGS = Settings(
+    trees=400, learning_rate=0.05, depth=6, leaves=31, row_share=0.8, column_share=0.8, seed=42
+)
 
-# Stands for a missing feature; every feature is 0 or more, so a tree can set it apart.
-MISSING = -1.0
-# Held-out rows that exchange values among themselves; they are sorted in one task.
-_SLICE_ROWS = 50_000
+
+def _names(rows: DataFrame) -> list[str]:
+    return [name for name in model_features(rows) if name != "is_train"]
 
 
 def _inputs(rows: DataFrame) -> DataFrame:
-    """Model features as DOUBLE, missing ones as ``MISSING``."""
-    names = model_features(rows)
-    return numeric_features(rows).fillna(MISSING, [n for n in names if n != "is_train"])
-
-
-def fit(training: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Fit on the rows of ``training``; a missing feature counts as ``MISSING``.
-
-    Trees end at the given depth or where a node is pure: Spark's learner has no limit on
-    the number of leaves. Every tree passes over the rows once per level, so they are
-    first spread evenly over partitions of the advisory size, however the input was stored.
-    """
-    names = model_features(training)
-    assembler = VectorAssembler(inputCols=names, outputCol="vector")
-    booster = GBTClassifier(
-        featuresCol="vector",
-        labelCol=LABEL,
-        maxIter=trees,
-        stepSize=LEARNING_RATE,
-        maxDepth=MAX_DEPTH,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=str(COLUMN_SHARE),
-        seed=MODEL_SEED,
-        maxMemoryInMB=1024,
-    )
-    return Pipeline(stages=[assembler, booster]).fit(_inputs(training).hint("rebalance"))
+    """Model features as DOUBLE; what is no number counts as missing."""
+    numbers = numeric_features(rows)
+    return numbers.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in _names(rows)})
 
 
-def save(model: PipelineModel, path: str) -> PipelineModel:
-    """Write the model and return it as read back."""
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+def fit(training: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """The ensemble as a table of nodes, from all rows of ``training``."""
+    return fit_trees(_inputs(training), _names(training), LABEL, KEY, settings)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``prediction_score``, the probability of conversion."""
-    scored = model.transform(_inputs(rows))
-    return scored.withColumn("prediction_score", vector_to_array("probability")[1]).drop(
-        "vector", "rawPrediction", "probability", "prediction"
-    )
+def predict(model: Ensemble, rows: DataFrame) -> DataFrame:
+    """Key and ``prediction_score``, the probability of conversion; the label too, if there is one."""
+    inputs = _inputs(rows)
+    kept = [LABEL] if LABEL in rows.columns else []
+    keyed = inputs.withColumn("__row", F.struct(KEY, *kept))
+    scored = model.scored(keyed, "__row", _names(rows))
+    return scored.select("__row.*", F.col("score").alias("prediction_score"))
 
 
-def score_all(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score_all(model: Ensemble, rows: DataFrame) -> DataFrame:
     """Score table of every customer, training rows included."""
     return score_table(predict(model, rows), "prediction_score")
 
 
-def evaluate(model: PipelineModel, held_out: DataFrame) -> DataFrame:
+def evaluate(model: Ensemble, held_out: DataFrame) -> DataFrame:
     """Ranking metrics of the held-out rows; their predictions are made once and kept."""
-    predictions = predict(model, held_out).select(KEY, LABEL, "prediction_score")
-    kept = write_and_read(predictions, "predictions")
+    kept = write_and_read(predict(model, held_out), "predictions")
     return ranking_report(kept, LABEL, "prediction_score", KEY)
 
 
-def drivers(model: PipelineModel, held_out: DataFrame) -> DataFrame:
-    """Mean absolute change of the score when one feature is taken from another customer.
-
-    Every held-out row takes part. Rows are dealt into slices by a keyed hash and sorted
-    by another; each row carries the values of the next one in its slice (the last one
-    those of the first), so that both predictions are made from the one row, and nothing
-    is joined. Gives feature, rows and mean_abs_change.
-    """
-    names = [name for name in model_features(held_out) if name != "is_train"]
-    rows = _inputs(held_out.select(KEY, *names))
-    slices = max(1, -(-rows.count() // _SLICE_ROWS))
-    spot = F.pmod(F.xxhash64(F.col(KEY), F.lit("slice")), F.lit(slices))
-    order = W.partitionBy("slice").orderBy(F.xxhash64(F.col(KEY), F.lit("drivers")), KEY)
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    own = F.struct(*names)
-    paired = rows.withColumn("slice", spot).select(
-        KEY, *names, F.coalesce(F.lead(own).over(order), F.first(own).over(whole)).alias("donor")
-    )
-    before = model.transform(paired).select(
-        KEY, *names, "donor", vector_to_array("probability")[1].alias("before")
-    )
-    repeated = before.withColumn("feature", F.explode(F.array(*map(F.lit, names))))
-    exchanged = repeated.withColumns(
-        {n: F.when(F.col("feature") == n, F.col(f"donor.{n}")).otherwise(F.col(n)) for n in names}
-    )
-    after = model.transform(exchanged).withColumn("after", vector_to_array("probability")[1])
-    return after.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(F.abs(F.col("after") - F.col("before"))).alias("mean_abs_change"),
+def contributions(model: Ensemble, rows: DataFrame) -> DataFrame:
+    """Key, base and what each feature adds to the log odds of every row."""
+    return model.contributions(_inputs(rows), KEY, _names(rows))
+
+
+def drivers(model: Ensemble, held_out: DataFrame) -> DataFrame:
+    """feature, rows and mean_abs_contribution: the mean size of what a feature adds."""
+    names = _names(held_out)
+    credits = contributions(model, held_out)
+    means = credits.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.abs(n)).alias(n) for n in names])
+    return means.unpivot(["rows"], names, "feature", "mean_abs_contribution").select(
+        "feature", "rows", "mean_abs_contribution"
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -55,6 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give every Python worker this package, once an application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        # Spark copies the archive to the executors; it is read here only.
+        target = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for path in sorted(package.rglob("*.py")):
+                archive.write(path, path.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(application)
+    return spark
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder below the shared folder, grouped by application."""
     application = spark.sparkContext.applicationId

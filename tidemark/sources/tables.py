@@ -51,6 +51,9 @@ class TableStore:
         found = self._versions(name)
         return {n: p for n, p in sorted(found.items()) if files.exists(self.spark, f"{p}/_SUCCESS")}
 
+    def complete_versions(self, name: str) -> list[int]:
+        return list(self._complete(name))
+
     def next_version(self, name: str) -> int:
         return max(self._versions(name), default=0) + 1
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DataType, DecimalType, StructType
 
 from tidemark.operators import quality
-from tidemark.plans.features import customer_features
+from tidemark.plans.features import (
+    customer_features,
+    item_measures,
+    item_parts,
+    joined_features,
+    order_measures,
+    order_parts,
+)
 from tidemark.sources.tables import TableStore
+from tidemark.streaming.state import KeyedState
 
 
 #: Files of any age are taken, in micro-batches of bounded size.
@@ -175,3 +183,57 @@ class Medallion:
         """Recompute the gold features from silver orders and bronze items and users."""
         gold = customer_features(self.silver(), self.store.read(items), self.store.read(users))
         return self.store.replace("customer_features_gold", gold)
+
+    def states(self) -> dict[str, KeyedState]:
+        """What the gold features need of orders, items and users, per customer."""
+        dates = ["anniversary_date", "date_of_birth", "milestone_date"]
+        newest = F.struct("_bronze_ingested_at", *dates)
+        return {
+            "orders": KeyedState(self.store, "state_orders", "user_id", order_parts(), {"frequency": "order_id"}),
+            "items": KeyedState(
+                self.store, "state_items", "user_id", item_parts(), {"distinct_categories": "category"}
+            ),
+            "users": KeyedState(self.store, "state_users", "user_id", {"newest": ("max", newest)}),
+        }
+
+    def _merge_new(self, table: str, state: KeyedState, shape: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge the rows that reached a bronze table since the last call."""
+        (
+            self.stream_of(table)
+            .writeStream.foreachBatch(lambda batch, number: state.merge(shape(batch), number))
+            .option("checkpointLocation", self.store.path(f"_checkpoints/{table}_{state.name}"))
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    def merge_gold(
+        self,
+        orders: str,
+        items: str,
+        users: str,
+        rules: Sequence[quality.Rule] | None = None,
+        mode: str = "complete",
+    ) -> None:
+        """Bring the customers' states up to date with new bronze rows, reading only these.
+
+        Late rows are rows like others. A customer's newest user record counts.
+        """
+        rules = list(rules or quality.order_rules())
+        states = self.states()
+        silver = lambda batch: quality.silver_orders(quality.clean(batch, rules))
+        self._merge_new(orders, states["orders"], silver)
+        self._merge_new(items, states["items"], lambda batch: batch)
+        self._merge_new(users, states["users"], lambda batch: batch)
+
+    def merged_gold(self) -> DataFrame:
+        """The gold features from the states: one row per customer is read, no history.
+
+        They are measured from the latest order date so far, which moves with every batch
+        for all customers, so they are derived when read.
+        """
+        states = self.states()
+        orders = states["orders"].read()
+        ref = orders.agg(F.max("last_order_date")).scalar()
+        users = states["users"].read().select("user_id", "newest.*")
+        return joined_features(order_measures(orders), item_measures(states["items"].read()), users, ref)
