@@ -144,3 +144,38 @@ def test_repeated_and_unusable_orphans(spark):
     assert sorted((r.conv_id, r.call_id, r.repeats, json.loads(r.line)["result"]) for r in found) == [(1, "b", 1, None), (2, "a", 0, "y")]
     empty = spark.createDataFrame([], RESULTS)
     assert tool_calls.orphan_results(calls, empty).collect() == []
+
+
+def test_numbers_surrogates_and_depth():
+    schema = {"t": {"type": "object", "properties": {"limit": {"type": "integer", "maximum": 9}}}}
+    huge = "1" + "0" * 400
+    value, bad = tool_calls.check_arguments("t", f'{{"limit": {huge}}}', schema)
+    assert bad == ["$.limit: above maximum"] and tool_calls.canonical(value) == f'{{"limit":{huge}}}'
+    assert tool_calls.check_arguments("t", f'{{"limit": 1{"0" * 5000}}}', schema) == (None, ["$: not JSON"])
+    assert tool_calls.canonical(1e16) == tool_calls.canonical(10**16) and tool_calls.canonical(-0.0) == "0"
+    assert tool_calls.canonical(1e300) == tool_calls.canonical(int(1e300)) and tool_calls.canonical(0.5) == "0.5"
+    assert tool_calls.canonical({"\ud800": "é\udfffx"}) == '{"\\ud800":"é\\udfffx"}'
+    assert tool_calls.canonical("😀") == '"😀"'
+    for depth, deep in ((100, False), (101, True), (2000, True), (200_000, True)):
+        value, bad = tool_calls.check_arguments("t", "[" * depth + "]" * depth, {})
+        assert bad == (["$: nested too deeply"] if deep else ["unknown tool"])
+        assert tool_calls.canonical(value) == ("null" if deep else "[" * depth + "]" * depth)
+
+
+def test_awkward_arguments_end_no_job(spark):
+    texts = ['{"limit": 1' + "0" * 400 + "}", '{"a": "\\ud800"}', "[" * 2000 + "]" * 2000, "x" * 300_000, "", None, "NaN", "1e999"]
+    shape = "conv_id long, turn int, place int, call_id string, name string, arguments string, after array<string>, level string, at string, first string"
+    calls = spark.createDataFrame([(1, 0, i, f"c{i}", "search", t, None, "l", "a", "f") for i, t in enumerate(texts)], shape)
+    results = spark.createDataFrame([(1, 1, "c0", "x" * 300_000, "m")], "conv_id long, turn int, call_id string, content string, more string")
+    rows = tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).orderBy("place_no").collect()
+    assert [r.place_no for r in rows] == list(range(1, len(texts) + 1))
+    assert [json.loads(r.line)["valid"] for r in rows] == [False] * len(texts)
+    assert rows[2].faults == "$: nested too deeply" and json.loads(rows[3].line)["arguments"] == texts[3]
+
+
+def test_a_chain_as_deep_as_its_length(spark):
+    rows = [(1, i, 0, f"c{i}", "search", "{}", [f"c{i - 1}"] if i else None) for i in range(6)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn int, place int, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn int, call_id string, content string")
+    found = tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).orderBy("place_no").collect()
+    assert [(r.call_id, r.level) for r in found] == [(f"c{i}", i) for i in range(6)]

@@ -13,9 +13,11 @@ The place in the order comes from one sort over everything, so that a conversati
 length is spread over many tasks.
 
 Arguments are checked against the tool's JSON schema (type, properties, required,
-additionalProperties, enum, minimum, maximum, minLength, maxLength, items). Each call
-becomes one line of canonical JSON: keys sorted by code point, no blanks, no escapes but
-the needed ones, whole numbers without a fraction.
+additionalProperties, enum, minimum, maximum, minLength, maxLength, items). Arguments that
+are no JSON, nested more than ``MOST_NESTED`` deep, or hold a number of more than 4,300
+digits are a fault of the call and stay as text in its line; arguments of any length are
+read whole. Each call becomes one line of canonical JSON: keys sorted by code point, no blanks, no escapes but
+the needed ones (half a surrogate pair is escaped), whole numbers without a fraction.
 
 Null identifiers, conversations or turns: such calls and results can't be linked and are
 left out. Null names, arguments and lists are kept and make the call invalid, invalid or
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -38,28 +41,49 @@ from tidemark.operators.ordered import global_rank
 from tidemark.session import write_and_read
 
 _KEY = ["conv_id", "call_id"]
+#: Lists and objects within one another that arguments may have.
+MOST_NESTED = 100
+_HALF_PAIR = re.compile("[\ud800-\udfff]")
 _KINDS = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
 }
 
 
+def printable(text: str) -> str:
+    """``text`` with halves of surrogate pairs, which UTF-8 can't hold, as JSON escapes."""
+    return _HALF_PAIR.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
     """JSON text that is the same for equal values."""
-    if isinstance(value, bool) or value is None or isinstance(value, (int, str)):
-        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, bool) or value is None or isinstance(value, int):
+        return json.dumps(value)
+    if isinstance(value, str):
+        return printable(json.dumps(value, ensure_ascii=False))
     if isinstance(value, float):
         if not math.isfinite(value):
             return "null"
-        return str(int(value)) if value.is_integer() and abs(value) < 1e16 else repr(value)
+        return str(int(value)) if value.is_integer() else repr(value)
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
 
 
+def too_deep(value: Any) -> bool:
+    """Whether more than ``MOST_NESTED`` lists and objects lie within one another."""
+    level, depth = [value], 0
+    while level := [v for v in level if isinstance(v, (list, dict))]:
+        depth += 1
+        if depth > MOST_NESTED:
+            return True
+        level = [v for held in level for v in (held.values() if isinstance(held, dict) else held)]
+    return False
+
+
 def _is(value: Any, kind: str) -> bool:
     if kind in ("integer", "number"):
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return number and (kind == "number" or float(value).is_integer())
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _KINDS[kind])
 
 
@@ -103,8 +127,12 @@ def check_arguments(name: str | None, text: str | None, schemas: dict[str, dict]
     """(arguments, faults) of a call."""
     try:
         value = json.loads(text or "", parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None, ["$: not JSON"]
+    except RecursionError:
+        return None, ["$: nested too deeply"]
+    if too_deep(value):
+        return None, ["$: nested too deeply"]
     if name not in schemas:
         return value, ["unknown tool"]
     return value, faults(value, schemas[name])
@@ -184,7 +212,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             wrong, lines = [], []
             for row in batch.to_pylist():
                 value, bad = check_arguments(row["name"], row["arguments"], schemas)
-                wrong.append("; ".join(bad))
+                wrong.append(printable("; ".join(bad)))
                 lines.append(canonical({
                     "after": sorted(a for a in row["after"] or [] if a is not None),
                     "arguments": row["arguments"] if value is None else value,
