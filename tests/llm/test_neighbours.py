@@ -116,3 +116,26 @@ def test_ties_among_parallel_vectors_go_to_the_smaller_id(spark):
     found = answers(neighbours.nearest(frame(spark, vectors)).collect())
     assert [i for i, _ in found[0]] == [1, 2, 3, 4, 5]
     assert [i for i, _ in found[50]] == [i for i, _ in found[100]] == [0, 1, 2, 3, 4]
+
+
+def test_components_of_any_size_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((41, 8))
+    shape = "vec_id long, embedding array<double>, cid string, asked string, members string"
+
+    def asked(scales, ids):
+        rows = [(int(i), [float(x * s) for x in v], "c", "a", "m") for i, v, s in zip(ids, vectors, scales)]
+        return neighbours.nearest(spark.createDataFrame(rows, shape)).collect()
+
+    plain = answers(asked([1.0] * 41, range(41)))
+    assert len(plain[0]) == 5
+    powers = [2.0 ** int(e) for e in rng.integers(-1000, 1000, 41)]
+    for scales in ([2.0**660] * 41, [2.0**-1060 if i % 2 else 1.0 for i in range(41)], powers):
+        found = answers(asked(scales, range(41)))
+        assert [n for n, _ in found[0]] == [n for n, _ in plain[0]]
+        assert all(abs(a - b) < 1e-9 or 2.0**-1060 in scales for (_, a), (_, b) in zip(found[0], plain[0]))
+    # Id 0 stands on two vectors: both are queries, and each may be near the other.
+    vectors[7] = vectors[0] + 0.01
+    rows = asked([1.0] * 41, [0 if i == 7 else i for i in range(41)])
+    assert len(rows) == 10 and sorted(r["rank"] for r in rows) == sorted([1, 2, 3, 4, 5] * 2)
+    assert [r.vec_id for r in rows if r["rank"] == 1] == [0, 0]

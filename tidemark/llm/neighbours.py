@@ -20,7 +20,10 @@ are kept, however many are alike.
 Equal vectors are indexed once, with their six smallest ids; that loses nothing, for five
 are asked for and one may be the query itself. Vectors that are null, zero, of another
 dimension than most, or hold null or non-finite components take no part, nor do rows
-without an id. Repeated rows count once. Ties go to the smaller id.
+without an id. Repeated rows count once. Rows of one id with different vectors are rows of
+their own: each is a query if the id is one, and a neighbour of the other. Ties go to the
+smaller id. Components of any size count: vectors are scaled by powers of two before they
+are squared. Extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare
+from tidemark.operators.ordered import global_rank
 from tidemark.session import write_and_read
 
 TREES = 24
@@ -72,12 +76,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1.
+
+    It changes no cosine, but keeps squares of very large or small components in range.
+    """
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def _lengths(rows: np.ndarray) -> np.ndarray:
     return np.sqrt((rows * rows).sum(1))
 
 
 def classes(embeddings: DataFrame) -> DataFrame:
-    """Distinct usable vectors: cid (smallest id), members (six smallest), vector, asked."""
+    """Distinct usable vectors: cid (number by smallest id), members (six smallest ids), vector, asked."""
     usable = (
         embeddings.select(
             F.col("vec_id").cast("long").alias("vec_id"),
@@ -103,9 +115,10 @@ def classes(embeddings: DataFrame) -> DataFrame:
         .groupBy("vector")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
     )
-    return smallest.join(asked, "vector").select(
-        F.element_at("members", 1).alias("cid"), "members", "vector", "asked"
-    )
+    joined = smallest.join(asked, "vector").withColumn("least", F.element_at("members", 1))
+    # Numbers in the order of the smallest id; one id may stand on several vectors.
+    ranked = global_rank(joined, [F.col("least"), F.xxhash64("vector")], "cid", "classes")
+    return ranked.select(F.col("cid").cast("long").alias("cid"), "members", "vector", "asked")
 
 
 def _forest(found: DataFrame, size: int, rows: int, kind: str) -> DataFrame:
@@ -117,7 +130,7 @@ def _forest(found: DataFrame, size: int, rows: int, kind: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("vector").to_pylist(), float)
-            strings, codes = hashes(vectors, planes), vectors.astype(kind)
+            strings, codes = hashes(_scaled(vectors), planes), vectors.astype(kind)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             for tree in range(TREES):
                 yield pa.RecordBatch.from_arrays(
@@ -197,7 +210,7 @@ def _searches(asked: DataFrame, bounds: pd.DataFrame, size: int, kind: str) -> D
             if not batch.num_rows:
                 continue
             vectors = np.array(batch.column("vector").to_pylist(), float)
-            strings, codes = hashes(vectors, planes).view(np.uint64) ^ np.uint64(1 << 63), vectors.astype(kind)
+            strings, codes = hashes(_scaled(vectors), planes).view(np.uint64) ^ np.uint64(1 << 63), vectors.astype(kind)
             out: list[tuple] = []
             for i, (cid, fifth) in enumerate(
                 zip(batch.column("cid").to_pylist(), batch.column("fifth").to_pylist())
@@ -237,7 +250,7 @@ def _look(rows: pd.DataFrame, visits: pd.DataFrame, kind: str) -> pd.DataFrame:
     asks, found, sims = [], [], []
     if len(rows) and len(visits):
         rows = rows.sort_values(["tree", "hash", "cid"])
-        vectors, cids, strings = _rows(list(rows["code"]), kind), rows["cid"].to_numpy(), rows["hash"].to_numpy()
+        vectors, cids, strings = _scaled(_rows(list(rows["code"]), kind)), rows["cid"].to_numpy(), rows["hash"].to_numpy()
         unit, lengths, trees = _unit(vectors), _lengths(vectors), rows["tree"].to_numpy()
         # Twice the rounding error of a cosine by matrix product, and by the formula.
         slack = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
@@ -249,7 +262,7 @@ def _look(rows: pd.DataFrame, visits: pd.DataFrame, kind: str) -> pd.DataFrame:
                 continue
             asking = part["ask"].to_numpy()
             for k in range(0, len(part), 256):
-                asked = _rows(list(part["ask_code"].iloc[k : k + 256]), kind)
+                asked = _scaled(_rows(list(part["ask_code"].iloc[k : k + 256]), kind))
                 sim = _unit(asked) @ unit[low:high].T
                 for ask, vector, length, row in zip(asking[k : k + 256], asked, _lengths(asked), sim):
                     # One more than wanted, for the search may be among them.
@@ -271,11 +284,12 @@ def _look(rows: pd.DataFrame, visits: pd.DataFrame, kind: str) -> pd.DataFrame:
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a = np.array(batch.column("ask_vector").to_pylist(), float)
-            b = np.array(batch.column("vector").to_pylist(), float)
+            a = _scaled(np.array(batch.column("ask_vector").to_pylist(), float))
+            b = _scaled(np.array(batch.column("vector").to_pylist(), float))
             cosine = (a * b).sum(1) / (_lengths(a) * _lengths(b))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ask"), batch.column("members"), pa.array(cosine)], ["ask", "members", "score"]
+                [batch.column("ask"), batch.column("cid"), batch.column("members"), pa.array(cosine)],
+                ["ask", "cid", "members", "score"],
             )
 
 
@@ -339,15 +353,15 @@ def nearest(embeddings: DataFrame) -> DataFrame:
         kept.unionByName(own)
         .join(found.select("cid", "members", "vector"), "cid")
         .join(asking, "ask")
-        .select("ask", "members", "ask_vector", "vector")
-        .mapInArrow(_cosines, "ask long, members array<long>, score double")
-        .select("ask", F.explode("members").alias("vec_id"), "score")
+        .select("ask", "cid", "members", "ask_vector", "vector")
+        .mapInArrow(_cosines, "ask long, cid long, members array<long>, score double")
+        .select("ask", "cid", F.explode("members").alias("vec_id"), "score")
     )
     order = [F.desc("score"), F.col("vec_id")]
     best = write_and_read(
         scored.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(*order)))
         .filter(F.col("n") <= NEIGHBOURS + 1)
-        .select("ask", "vec_id", "score"),
+        .select("ask", "cid", "vec_id", "score"),
         "best",
     )
     queries = (
@@ -362,7 +376,7 @@ def nearest(embeddings: DataFrame) -> DataFrame:
     )
     return (
         queries.join(best, "ask")
-        .filter("query_id <> vec_id")
+        .filter("query_id <> vec_id OR ask <> cid")
         .withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(*order)))
         .filter(F.col("rank") <= NEIGHBOURS)
         .select("query_id", "rank", "vec_id", "score")
