@@ -8,16 +8,20 @@ A source's target holds so many complete epochs, in which every document is take
 and a rest. For the rest each document gets the key -ln(u) / quality with u drawn from a
 hash of its id. Documents are sorted by key within their source and taken while the sum
 of their words fits. What then is still open is filled the same way by documents not yet
-taken that fit into it, ``FILLS`` times. Documents are taken whole or not at all.
+taken that fit into it, until none fits: a source misses its target by less than the
+smallest document it has left. Each round passes on only what still fits, and each takes
+at least one document of every source it passes on. Documents are taken whole or not at all.
 
 Size is the number of words; null texts have none and are never taken. Ties of keys go by
 doc_id, size and a hash of the row; rows alike in all are equal, and it doesn't matter
 which is taken. A source without words has target 0. Documents stay in place: only id,
-source, size and key are shuffled.
+source, size and key are shuffled. Extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +31,6 @@ from tidemark.session import write_and_read
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
-FILLS = 3
 SEED = "mix-1"
 #: Sampling weight of a document by its quality label, and without one.
 GOOD, POOR, UNKNOWN = 2.0, 0.5, 1.0
@@ -90,14 +93,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 _ROW = ["doc_id", "content", "source_no", "size", "key", "range", "extra"]
 
 
-def _fill(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """``rows`` with extra = 1 for those taken, in key order, while they fit into ``open``."""
-    eligible = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
-    offered = rows.join(open_, "source_no").withColumn("eligible", eligible)
+def _fill(offered: DataFrame) -> DataFrame:
+    """``offered`` with extra = 1 for those taken, in key order, while they fit into ``open``."""
     until = F.sum("held").over(Window.partitionBy("source_no").orderBy("range"))
     ranges = (
-        offered.filter("eligible")
-        .groupBy("source_no", "range", "open")
+        offered.groupBy("source_no", "range", "open")
         .agg(F.sum("size").alias("held"))
         .withColumn("until", until)
         .withColumn("before", F.col("until") - F.col("held"))
@@ -105,16 +105,20 @@ def _fill(rows: DataFrame, open_: DataFrame) -> DataFrame:
         .select("source_no", "range", "before", (F.col("until") > F.col("open")).alias("cut"))
     )
     reached = offered.join(ranges, ["source_no", "range"], "left")
-    sorted_apart = F.col("eligible") & F.coalesce("cut", F.lit(False))
     in_order = Window.partitionBy("source_no", "range").orderBy("key", "doc_id", "size", "content")
     summed = F.col("before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    cut = reached.filter(sorted_apart).withColumn("extra", (summed <= F.col("open")).cast("int"))
-    others = reached.filter(~sorted_apart).withColumn(
-        "extra", F.when(F.col("eligible") & F.col("cut").isNotNull(), 1).otherwise(F.col("extra"))
-    )
+    cut = reached.filter("cut").withColumn("extra", (summed <= F.col("open")).cast("int"))
+    others = reached.filter("cut IS NULL OR NOT cut").withColumn("extra", F.col("cut").isNotNull().cast("int"))
     return others.select(*_ROW).unionByName(cut.select(*_ROW))
 
 
+def _offered(rows: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows not taken: those that fit into what is open of their source, and the others."""
+    budgeted = rows.join(budget, "source_no")
+    fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
+    return budgeted.filter(fits), budgeted.filter(~fits).select(*_ROW)
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Every row's doc_id, content (hash of the row), size, source_size, target, copies.
 
@@ -152,15 +156,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         "mix-rows",
     )
     budget = sources.select("source_no", "open")
-    for _ in range(1 + FILLS):
-        rows = write_and_read(_fill(rows, budget), "mix-rows")
-        used = rows.filter("extra = 1").groupBy("source_no").agg(F.sum("size").alias("used"))
+    used, settled = [], []
+    while True:
+        offered, others = _offered(rows, budget)
+        offered = write_and_read(offered, "mix-offered")
+        settled.append(others)
+        if offered.isEmpty():
+            break
+        rows = write_and_read(_fill(offered), "mix-rows")
+        used.append(rows.filter("extra = 1").groupBy("source_no").agg(F.sum("size").alias("used")))
+        taken = reduce(DataFrame.unionByName, used).groupBy("source_no").agg(F.sum("used").alias("used"))
         budget = write_and_read(
-            sources.join(used, "source_no", "left").select(
+            sources.join(taken, "source_no", "left").select(
                 "source_no", (F.col("open") - F.coalesce("used", F.lit(0))).alias("open")
             ),
             "mix-open",
         )
+    rows = reduce(DataFrame.unionByName, settled)
     return rows.join(sources.drop("open", "source"), "source_no").select(
         "doc_id", "content", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).alias("copies"),

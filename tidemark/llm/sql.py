@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+#: More rounds than any source needs here; a round in which nothing fits changes nothing.
+_MIX_ROUNDS = 16
 _MIX_ROUND = """
 r{n} AS (
   SELECT p.*, CASE WHEN p.extra = 0 AND p.size > 0 AND p.size <= o.gap THEN
@@ -64,7 +66,7 @@ o0 AS (SELECT source_no, open AS gap FROM s),
 {rounds}
 SELECT t.doc_id, t.size, s.source_size, s.target,
   (CASE WHEN t.size > 0 THEN t.size * (s.epochs + t.extra) ELSE 0 END)::BIGINT AS taken
-FROM t4 t JOIN s USING (source_no)
+FROM t{last} t JOIN s USING (source_no)
 """
 
 
@@ -195,5 +197,5 @@ FROM formed f JOIN ways y USING (word) JOIN formed e ON e.word = y.last AND e.fo
 
 
 def statements() -> dict[str, str]:
-    rounds = ",".join(_MIX_ROUND.format(n=n, before=n - 1) for n in range(1, 5))
-    return {"op10_mixing": _MIX.format(rounds=rounds), "op12_merkle": _MERKLE, "op13_spelling": _SPELLING}
+    rounds = ",".join(_MIX_ROUND.format(n=n, before=n - 1) for n in range(1, _MIX_ROUNDS + 1))
+    return {"op10_mixing": _MIX.format(rounds=rounds, last=_MIX_ROUNDS), "op12_merkle": _MERKLE, "op13_spelling": _SPELLING}
