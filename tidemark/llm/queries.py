@@ -56,7 +56,7 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
+    return pii.find_personal_data(table(spark, folder, "documents"))
 
 
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
