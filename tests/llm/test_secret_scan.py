@@ -87,3 +87,34 @@ def test_random_letters_are_found(spark):
     assert sum(found[i] == f"random:0:{len(text)}" for i, text in rows) >= 475
     words = {1: "configuration_management_department", 2: "internationalization-of-communications_2024"}
     assert find(spark, list(words.items())) == {1: "", 2: ""}
+
+
+def found_in(text):
+    runs = [m.span() for m in secret_scan._RUN.finditer(text)]
+    vocabulary = secret_scan._vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.random_spans(text, runs, base(text), vocabulary)
+
+
+def test_words_in_front_hide_no_secret():
+    rng = random.Random(5)
+    for words in ("", "authorization=", "download/documents/archive/index=", "files/shared/documents/archive/index/"):
+        for size in (20, 32, 40):
+            for _ in range(50):
+                secret = "".join(rng.choices(string.ascii_letters + string.digits, k=size))
+                text = f"see {words}{secret} end"
+                begin = 4 + len(words)
+                assert any(a <= begin and b >= begin + size for _, a, b in found_in(text)), text
+
+
+def test_paths_without_secrets_are_left_alone():
+    digest = hashlib.sha256(b"x").hexdigest()
+    for run in (
+        f"files/documents/{digest}/index",
+        "files/documents/123e4567-e89b-12d3-a456-426614174000/index",
+        "download/documents/archive/index/2024/11/05/politics",
+        "a" * 50_000,
+        "=" * 40 + "/" * 40,
+        "some_rather_long_name_of_a_function_with_words",
+    ):
+        assert found_in(f"see {run} end") == [], run
+    assert len(found_in("word-" * 4000 + "x9Qz7Lw2Kd8Vb4Tn6Rj3" + "-word" * 4000)) == 1

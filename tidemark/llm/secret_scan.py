@@ -4,13 +4,15 @@ Three base kinds (assign, access, hex) are fixed by pattern alone and always cou
 kind ``random`` is found by a token-efficiency test: a public byte-pair vocabulary cuts
 words of any language it knows into few long pieces, but random strings into many short
 ones. A run of ``LONG`` or more key characters, holding letters, is reported when it has
-fewer than ``RATIO`` characters per token. Known digests (hex runs of the usual digest
+fewer than ``RATIO`` characters per token; else the parts of it, from sign to sign, around
+stretches of ``LONG`` characters that have, so that words before a secret don't hide it.
+Known digests (hex runs of the usual digest
 lengths), UUIDs, and identifiers (alphabetic parts joined by signs, with a number at the
 end at most) are excluded; an identifier only if its letter parts have ``RATIO`` characters
 per token or more. Spans that overlap a base span are left out.
 
 Places are code points, ends exclusive; an ``assign`` span is the whole assignment. Null
-and empty texts have no spans. Every pattern runs in time linear in the text. Rows are
+and empty texts have no spans, an empty table gives no row. Every pattern runs in time linear in the text. Rows are
 independent: no shuffle, repeated rows get equal answers, extra columns are not read.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +34,8 @@ from tidemark.llm.common import prepare
 
 BASE_KINDS = ("assign", "access", "hex")
 _ORDER = {kind: i for i, kind in enumerate((*BASE_KINDS, "random"))}
-#: Shortest run tested, and characters per token below which it counts as random.
+#: Shortest run tested, signs of the stretches of a longer one, and characters per token
+#: below which either counts as random.
 LONG = 20
 RATIO = 2.0
 #: Hex digits of the common digests.
@@ -44,7 +48,8 @@ _ASSIGN = re.compile(
 _ASSIGN_GATES = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}+")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LONG},}}+")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+[+/_=-]+)*[A-Za-z]*[+/_=-]*[0-9]{0,6}")
@@ -90,20 +95,63 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, i
     return found
 
 
+def _random(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    return (
+        any(c.isalpha() for c in run)
+        and len(run) < RATIO * _tokens(run, vocabulary)
+        and not known(run, vocabulary)
+    )
+
+
+def random_parts(run: str, vocabulary: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """Ranges of a run that look random: all of it, else parts around random stretches.
+
+    Words before a secret raise the ratio of the whole run. So every stretch of ``LONG``
+    characters is tested too, but for those that touch a digest or a UUID, and what is
+    random grows to the nearest signs on both sides.
+    """
+    parts = [m.span() for m in _PART.finditer(run)]
+    digests = [(a, b) for a, b in parts if b - a in DIGEST_LENGTHS and _DIGEST.fullmatch(run, a, b)]
+    barred = bytearray(len(run))
+    for a, b in [*digests, *(m.span() for m in _UUID.finditer(run))]:
+        barred[a:b] = b"\1" * (b - a)
+    if 1 not in barred and _random(run, vocabulary):
+        return [(0, len(run))]
+    if len(run) == LONG or not parts:
+        return []
+    # Numbers, and letters that the vocabulary fits, must not fill half of a stretch.
+    plain = bytearray(len(run))
+    for a, b in parts:
+        part = run[a:b]
+        if part.isdigit() or part.isalpha() and len(part) >= RATIO * _tokens(part, vocabulary):
+            plain[a:b] = b"\1" * (b - a)
+    starts, ends = zip(*parts)
+    found: list[tuple[int, int]] = []
+    for start in range(len(run) - LONG + 1):
+        end = start + LONG
+        if found and end <= found[-1][1] or 1 in barred[start:end] or 2 * plain[start:end].count(1) >= LONG:
+            continue
+        if not _random(run[start:end], vocabulary):
+            continue
+        low, high = starts[bisect_right(ends, start)], ends[bisect_left(starts, end) - 1]
+        if found and low <= found[-1][1]:
+            low = found.pop()[0]
+        found.append((low, high))
+    return found
+
+
 def random_spans(
     text: str, runs: list[tuple[int, int]], base: list[tuple[str, int, int]], vocabulary: tiktoken.Encoding
 ) -> list[tuple[str, int, int]]:
+    """Spans in runs that no base span touches."""
     blocked = sorted((a, b) for _, a, b in base)
     found, i, reach = [], 0, -1
     for start, end in runs:
         while i < len(blocked) and blocked[i][0] < end:
             reach = max(reach, blocked[i][1])
             i += 1
-        run = text[start:end]
-        if reach > start or not any(c.isalpha() for c in run):
-            continue
-        if len(run) < RATIO * _tokens(run, vocabulary) and not known(run, vocabulary):
-            found.append(("random", start, end))
+        if reach <= start:
+            found += [("random", start + a, start + b) for a, b in random_parts(text[start:end], vocabulary)]
     return found
 
 
