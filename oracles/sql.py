@@ -426,6 +426,19 @@ def search_sql(text: str, literal: bool) -> str:
     )
 
 
+#: Searches by the index: short ones, wildcards alone, and escaped signs besides.
+INDEX_SEARCHES = [*SEARCHES, "r", "SM", "_", "%", "", "r_d%s", "50\\%", "a\\_b", "\\", "nk_i%l\\", "_" * 30]
+
+
+def escaped_search_sql(text: str) -> str:
+    """As ``search_sql``; a backslash that escapes nothing is doubled first."""
+    pattern = re.sub(r"(\\[%_\\])|(\\)", lambda m: m[1] or "\\\\", text)
+    hit = " OR ".join(f"{c} ILIKE '%{pattern}%' ESCAPE '\\'" for c in ("name", "description", "tags"))
+    return search_sql("", False).replace("name ILIKE '%%' OR description ILIKE '%%' OR tags ILIKE '%%'", hit).replace(
+        "'' AS query", f"'{text}' AS query"
+    )
+
+
 def search_many(literal: bool) -> str:
     union = " UNION ALL ".join(search_sql(text, literal) for text in SEARCHES)
     return f"SELECT * FROM ({union}) WHERE place <= 8"
@@ -601,6 +614,9 @@ def _bodies() -> dict[str, str]:
         "b15_search_products": f"SELECT * EXCLUDE (query, place) FROM ({search_sql('ring', False)}) WHERE place <= 8",
         "b15_search_many": search_many(False),
         "b15_search_many_literal": search_many(True),
+        "b15_search_index": "SELECT * FROM ("
+        + " UNION ALL ".join(map(escaped_search_sql, INDEX_SEARCHES))
+        + ") WHERE place <= 8",
         "b15_search_table": search_many(False),
         "b15_search_table_literal": search_many(True),
         "b16_golden_cohort": (

@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import lookup
+from tidemark.plans import lookup, search
 from tidemark.sources import retail
 
 
@@ -49,19 +51,19 @@ def found(df):
 
 
 def test_search(products):
-    assert found(lookup.search_products(products, "ring")) == ["B", "C", "A"]
-    assert found(lookup.search_products(products, "RING", n=1)) == ["B"]
-    assert found(lookup.search_products(products, "100%g")) == ["A"]
-    assert found(lookup.search_products(products, "100%g", literal=True)) == []
-    assert found(lookup.search_products(products, "d_r", literal=True)) == ["B"]
-    assert found(lookup.search_products(products, None)) == []
+    assert found(search.search_products(products, "ring")) == ["B", "C", "A"]
+    assert found(search.search_products(products, "RING", n=1)) == ["B"]
+    assert found(search.search_products(products, "100%g")) == ["A"]
+    assert found(search.search_products(products, "100%g", literal=True)) == []
+    assert found(search.search_products(products, "d_r", literal=True)) == ["B"]
+    assert found(search.search_products(products, None)) == []
 
 
 def test_many_searches_equal_single_ones(lake):
     texts = ["ring", "r%g", "small", "SMALL", "none of it"]
-    many = lookup.search_products_many(lake.products(), texts).collect()
+    many = search.search_products_many(lake.products(), texts).collect()
     for text in texts:
-        single = found(lookup.search_products(lake.products(), text))
+        single = found(search.search_products(lake.products(), text))
         batch = sorted((r.place, r.product_id) for r in many if r["query"] == text)
         assert [p for _, p in batch] == single
 
@@ -89,7 +91,7 @@ def test_sql_functions_equal_dataframe_functions(lake, spark):
         (f"get_customer_profile({user})", lookup.customer_profile(lake.features(), user)),
         (f"recommend_next_best_offer({user})", lookup.next_best_offer(lake.scores(), lake.features(), user)),
         ("get_top_prospects('Low', 3)", lookup.top_prospects(lake.scores(), "Low", 3)),
-        ("search_products('ring')", lookup.search_products(lake.products(), "ring")),
+        ("search_products('ring')", search.search_products(lake.products(), "ring")),
         ("get_category_performance('LARGE')", lookup.category_performance(lake.category_kpis(), "LARGE")),
     ]
     for call, df in pairs:
@@ -102,16 +104,91 @@ def test_searches_as_a_table_equal_single_searches(spark, lake):
     texts = ["ring", "r%g", "_", "%", "", "small", "50%", "nothing like it", "SM"]
     for literal in (False, True):
         searches = spark.createDataFrame([(t,) for t in [*texts, "ring", None]], "query string")
-        rows = lookup.search_products_asked(lake.products(), searches, literal=literal).collect()
+        rows = search.search_products_asked(lake.products(), searches, literal=literal).collect()
         for text in texts:
-            one = lookup.search_products(lake.products(), text, literal=literal).collect()
+            one = search.search_products(lake.products(), text, literal=literal).collect()
             got = [r for r in rows if r.query == text]
             assert [r.product_id for r in sorted(got, key=lambda r: r.place)] == [r.product_id for r in one], text
 
 
 def test_searches_as_a_table_join_by_key(lake, spark):
     searches = spark.createDataFrame([("ring",)], "query string")
-    plan = lookup.search_products_asked(lake.products(), searches)._jdf.queryExecution().executedPlan().toString()
+    plan = search.search_products_asked(lake.products(), searches)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+HARD = [
+    "10\\%", "100\\%", "100%", "d\\_r", "d_r", "\\", "\\\\", "b\\s", "b\\\\s", "\\%", "\\_", "a%\\_", "", "%", "_",
+    "____________", "_____________", "r", "Ri", "r%g", "r_n", "RING", "zz", "\n", "x\ny", "%%__", "öl", "ÖL", "ring finger",
+]
+
+
+@pytest.fixture(scope="module")
+def awkward_products(spark):
+    rows = [
+        ("A", "100% gold ring", "RING", None, 5, "plain", "x"),
+        ("B", "Diamond_ring", "RING", "Gold", 9, None, None),
+        ("C", "bangle", "BANGLE", "Gold", 9, "for a RING finger", "y"),
+        ("D", "b\\s", "X", None, 1, "10", "50\\%"),
+        ("E", None, None, None, None, None, None),
+        ("F", "", None, None, 3, "", ""),
+        ("G", "Öl", "X", None, 7, "x", "y"),
+        ("H", "long " * 5000, "X", None, 2, None, "zz"),
+    ]
+    return spark.createDataFrame(
+        rows, "product_id string, name string, category string, material string, price_inr int, description string, tags string"
+    )
+
+
+def plain_search(rows, query):
+    """By a regular expression made sign by sign."""
+    pattern, i = "", 0
+    while i < len(query):
+        if query[i] == "\\" and query[i + 1 : i + 2] in ("%", "_", "\\") and query[i + 1 : i + 2]:
+            i += 1
+            pattern += re.escape(query[i].lower())
+        else:
+            pattern += {"%": ".*", "_": "."}.get(query[i], re.escape(query[i].lower()))
+        i += 1
+    hits = [r for r in rows if any(v is not None and re.search(pattern, v.lower(), re.S) for v in (r.name, r.description, r.tags))]
+    hits.sort(key=lambda r: (-(r.price_inr if r.price_inr is not None else -1), r.product_id))
+    return [r.product_id for r in hits[:8]]
+
+
+def test_escapes_and_hard_searches(spark, awkward_products):
+    rows = awkward_products.collect()
+    searches = spark.createDataFrame([(t,) for t in HARD], "query string")
+    asked = search.search_products_asked(awkward_products, searches).collect()
+    many = search.search_products_many(awkward_products, HARD).collect()
+    lookup.register_sql_functions(spark, *[spark.createDataFrame([], s) for s in (
+        "user_id int, recency_days int, frequency bigint, monetary_total double, aov double, diamond_share double,"
+        " wishlist_count bigint, cart_adds bigint, days_to_anniversary int",
+        "user_id int, propensity_score double, segment string, decile int",
+    )], awkward_products, spark.createDataFrame([], "category string, units bigint, revenue bigint, avg_unit_price bigint, diamond_mix double"))
+    for text in HARD:
+        wanted = plain_search(rows, text)
+        for found_rows in (asked, many):
+            got = sorted((r.place, r.product_id) for r in found_rows if r["query"] == text)
+            assert [p for _, p in got] == wanted, text
+        assert found(search.search_products(awkward_products, text)) == wanted, text
+        call = spark.sql("SELECT product_id FROM search_products(:q)", {"q": text})
+        assert found(call) == wanted, text
+
+
+def test_a_common_trigram_costs_nothing(spark):
+    """All products hold "common"; a query with a rare word too meets only that one's products."""
+    rows = [(f"p{i:04}", f"common thing {'rare' if i % 400 == 0 else i}", "c", "m", i, None, None) for i in range(2000)]
+    products = spark.createDataFrame(
+        rows, "product_id string, name string, category string, material string, price_inr int, description string, tags string"
+    )
+    index = search.build_index(products)
+    asked = search._asked(spark.createDataFrame([("common%rare",), ("common zzz",)], "query string"), False)
+    (chosen,) = search.rarest_grams(asked, index.grams).collect()
+    assert chosen["query"] == "common%rare"
+    assert index.postings.where(F.col("gram") == chosen.gram).count() == 5
+    result = search.search_products_asked(products, spark.createDataFrame([("common%rare",)], "query string"), index=index)
+    assert [r.product_id for r in sorted(result.collect(), key=lambda r: r.place)] == ["p1600", "p1200", "p0800", "p0400", "p0000"]
+    plan = result._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 

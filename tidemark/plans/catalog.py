@@ -15,7 +15,7 @@ from tidemark.operators import curve, quality
 from tidemark.operators.ordered import equal_frequency_bucket, global_rank, top_n
 from tidemark.operators.profile import profile
 from tidemark.plans import features as feat
-from tidemark.plans import gateway, governance, kpis, lookup, model, propensity, publish, questions
+from tidemark.plans import gateway, governance, kpis, lookup, model, propensity, publish, questions, search
 from tidemark.plans.lakehouse import Lakehouse, open_lakehouse
 from tidemark.plans.views import register_views
 from tidemark.session import run_dir
@@ -366,17 +366,17 @@ def _(lake):
 
 @query("b15_search_products")
 def _(lake):
-    return lookup.search_products(lake.products(), "ring")
+    return search.search_products(lake.products(), "ring")
 
 
 @query("b15_search_many")
 def _(lake):
-    return lookup.search_products_many(lake.products(), SEARCHES)
+    return search.search_products_many(lake.products(), SEARCHES)
 
 
 @query("b15_search_many_literal")
 def _(lake):
-    return lookup.search_products_many(lake.products(), SEARCHES, literal=True)
+    return search.search_products_many(lake.products(), SEARCHES, literal=True)
 
 
 def _asked_searches(lake: Lakehouse) -> DataFrame:
@@ -389,12 +389,20 @@ def _asked_searches(lake: Lakehouse) -> DataFrame:
 
 @query("b15_search_table")
 def _(lake):
-    return lookup.search_products_asked(lake.products(), _asked_searches(lake))
+    return search.search_products_asked(lake.products(), _asked_searches(lake))
 
 
 @query("b15_search_table_literal")
 def _(lake):
-    return lookup.search_products_asked(lake.products(), _asked_searches(lake), literal=True)
+    return search.search_products_asked(lake.products(), _asked_searches(lake), literal=True)
+
+
+@query("b15_search_index")
+def _(lake):
+    """Searches of every kind by the stored index: long, short, wildcards alone, escaped."""
+    kinds = [*SEARCHES, "r", "SM", "_", "%", "", "r_d%s", "50\\%", "a\\_b", "\\", "nk_i%l\\", "_" * 30]
+    asked = lake.products().select(F.explode(F.array(*map(F.lit, kinds))).alias("query"))
+    return search.search_products_asked(lake.products(), asked, index=lake.search_index())
 
 
 @query("b16_golden_cohort")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.boosting import Ensemble
-from tidemark.plans import features, kpis, lookup, model, propensity
+from tidemark.plans import features, kpis, lookup, model, propensity, search
 from tidemark.session import run_dir
 from tidemark.sources import retail
 from tidemark.sources.tables import TableStore
@@ -139,6 +139,17 @@ class Lakehouse:
 
         return self._table(f"customer_nbo_scores_{self.scorer}", build, key="user_id")
 
+    def search_index(self) -> search.SearchIndex:
+        """The trigram index of the products, its postings stored by trigram."""
+
+        def postings() -> DataFrame:
+            found = search.build_index(self.products()).postings
+            return found.repartitionByRange("gram", "product_id").sortWithinPartitions("gram", "product_id")
+
+        stored = self._table("search_postings", postings)
+        grams = self._table("search_grams", lambda: stored.groupBy("gram").agg(F.count(F.lit(1)).alias("products")))
+        return search.SearchIndex(stored, grams)
+
     def c360(self) -> DataFrame:
         return lookup.customer_360(self.features(), self.scores())
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,9 +14,9 @@ from tidemark.functions.states import (
 )
 from tidemark.operators.ordered import global_rank, top_n, top_per_group
 from tidemark.operators.skew import lookup_join
+from tidemark.plans.search import SEARCH_RESULTS
 
-# Fixed values.
-SEARCH_RESULTS = 8
+# Fixed value.
 CARD_DRIVERS = 5
 
 
@@ -81,88 +79,6 @@ def top_prospects_by_segment(scores: DataFrame, n: int) -> DataFrame:
     return top_per_group(narrow, "segment", [F.col("propensity_score").desc(), F.col("user_id")], n)
 
 
-_SEARCHED = ("name", "description", "tags")
-_RESULT = ("product_id", "name", "category", "material", "price_inr")
-
-
-def _matches(query: Column | str, literal: bool) -> Column:
-    """Any searched column holds the query in any case.
-
-    ``%`` and ``_`` in the query are wildcards unless ``literal``.
-    """
-    found = F.lit(False)
-    for name in _SEARCHED:
-        if literal:
-            hit = F.contains(F.lower(name), F.lower(F.lit(query)))
-        else:
-            hit = F.ilike(F.col(name), F.concat(F.lit("%"), F.lit(query), F.lit("%")))
-        found = found | F.coalesce(hit, F.lit(False))
-    return found
-
-
-def search_products(
-    products: DataFrame, query: str | None, n: int = SEARCH_RESULTS, literal: bool = False
-) -> DataFrame:
-    """The dearest ``n`` products whose name, description or tags hold the query."""
-    hits = products.where(_matches(query, literal) if query is not None else F.lit(False))
-    return top_n(hits.select(*_RESULT), [F.col("price_inr").desc(), F.col("product_id")], n)
-
-
-def search_products_many(
-    products: DataFrame, queries: Sequence[str], n: int = SEARCH_RESULTS, literal: bool = False
-) -> DataFrame:
-    """The same search for a list of queries in one pass over the catalogue.
-
-    Each product is tested against every query text in place and repeated only for the
-    queries it matches; at most ``n`` rows per query and task are shuffled.
-    """
-    tests = [F.when(_matches(query, literal), F.lit(query)) for query in dict.fromkeys(queries)]
-    hits = products.select(*_RESULT, F.explode(F.array_compact(F.array(*tests))).alias("query"))
-    order = [F.col("price_inr").desc(), F.col("product_id")]
-    return top_per_group(hits, "query", order, n)
-
-
-_KEY_SIGNS = 3
-
-
-def _search_key(query: Column, literal: bool) -> Column:
-    """Up to three signs that every hit of the query must hold, in lower case.
-
-    They are the start of its longest part without wildcards; a query of wildcards alone
-    has the empty key, which every product holds.
-    """
-    lowered = F.lower(query)
-    if literal:
-        return F.substring(lowered, 1, _KEY_SIGNS)
-    parts = F.transform(F.split(lowered, "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
-    return F.substring(F.array_max(parts)["p"], 1, _KEY_SIGNS)
-
-
-def search_products_asked(
-    products: DataFrame, searches: DataFrame, n: int = SEARCH_RESULTS, literal: bool = False
-) -> DataFrame:
-    """The same search for a table of queries (column ``query``).
-
-    Products are joined to queries by a key of up to three signs that a hit must hold,
-    and each pair is then tested in full; a frequent key is split by adaptive execution.
-    Repeated queries are answered once, NULL is not.
-    """
-    asked = searches.select("query").where("query IS NOT NULL").distinct()
-    asked = asked.withColumn("key", _search_key(F.col("query"), literal))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-
-    def grams_of(size: int) -> Column:
-        return F.transform(starts, lambda at: F.substring(F.col("text"), at, F.lit(size)))
-
-    grams = map(grams_of, range(1, _KEY_SIGNS + 1))
-    texts = products.withColumn("text", F.lower(F.concat_ws("\n", *_SEARCHED)))
-    keyed = texts.withColumn(
-        "key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams)))
-    ).drop("text")
-    hits = keyed.join(asked, "key").where(_matches(F.col("query"), literal)).select(*_RESULT, "query")
-    return top_per_group(hits, "query", [F.col("price_inr").desc(), F.col("product_id")], n)
-
-
 def top_prospects_asked(scores: DataFrame, asks: DataFrame) -> DataFrame:
     """The best ``n`` customers of each segment of a table of asks (segment, n).
 
@@ -316,7 +232,8 @@ def register_sql_functions(
         "search_products",
         products,
         {"wanted_text": "STRING"},
-        "exists(array(name, description, tags), held -> held ILIKE concat('%', wanted_text, '%'))"
+        "exists(array(name, description, tags), held -> held ILIKE concat('%',"
+        r" regexp_replace(wanted_text, '(\\\\[%_\\\\])|(\\\\)', '$1$2$2'), '%'))"
         f" ORDER BY price_inr DESC, product_id LIMIT {SEARCH_RESULTS}",
     )
     _register_lookup(
