@@ -488,6 +488,60 @@ def _answers() -> str:
     )
 
 
+CATEGORIES = ["ECONOMY", "LARGE", "nothing"]
+
+
+def _json_answers() -> str:
+    """Answers to the JSON requests, by the kinds in which they are made."""
+
+    def pick(texts: list[str]) -> str:
+        return f"[{', '.join(repr(t) for t in texts)}][(c_custkey // 9) % {len(texts)} + 1]"
+
+    def part(kind: int, fn: str, found: str, columns: str, source: str) -> str:
+        return (
+            f"SELECT c_custkey AS request_id, '{fn}' AS fn, CASE WHEN {found} IS NULL THEN 'no rows' ELSE 'ok' END AS status,"
+            f" {columns} FROM customer {source} WHERE c_custkey % 9 = {kind}"
+        )
+
+    profile = ", ".join(
+        f"p.{c}::DOUBLE AS {c}"
+        for c in (
+            "recency_days frequency lifetime_value aov diamond_share wishlist_count cart_adds days_to_anniversary"
+        ).split()
+    )
+    parts = [
+        part(0, "get_customer_propensity", "s.user_id",
+             "CASE WHEN s.user_id IS NOT NULL THEN 1::DOUBLE END AS place, c_custkey::DOUBLE AS user_id,"
+             " s.propensity_score, s.segment, s.decile::DOUBLE AS decile",
+             "LEFT JOIN scores s ON s.user_id = c_custkey"),
+        part(1, "get_customer_profile", "p.user_id",
+             f"CASE WHEN p.user_id IS NOT NULL THEN 1::DOUBLE END AS place, c_custkey::DOUBLE AS user_id, {profile}",
+             "LEFT JOIN profiles p ON p.user_id = c_custkey"),
+        part(2, "recommend_next_best_offer", "o.user_id",
+             "CASE WHEN o.user_id IS NOT NULL THEN 1::DOUBLE END AS place, 2::DOUBLE AS user_id,"
+             " o.recommended_offer, o.rationale, o.propensity_score",
+             "LEFT JOIN offers o ON o.user_id = 2"),
+        part(3, "get_top_prospects", "s.user_id",
+             "s.place::DOUBLE AS place, s.user_id::DOUBLE AS user_id, s.propensity_score",
+             "LEFT JOIN (SELECT segment, user_id, propensity_score, row_number() OVER (PARTITION BY segment"
+             " ORDER BY propensity_score DESC, user_id) AS place FROM scores) s"
+             f" ON s.segment = {pick(['High', 'Low', 'None'])} AND s.place <= c_custkey % 7"),
+        part(4, "search_products", "h.product_id",
+             "h.place::DOUBLE AS place, h.product_id, h.name, h.category, h.material, h.price_inr::DOUBLE AS price_inr",
+             f"LEFT JOIN ({search_many(False)}) h ON h.query = {pick(SEARCHES)}"),
+        part(5, "get_category_performance", "k.category",
+             f"CASE WHEN k.category IS NOT NULL THEN 1::DOUBLE END AS place, {pick(CATEGORIES)} AS category,"
+             " k.units::DOUBLE AS units, k.revenue::DOUBLE AS revenue, k.avg_unit_price::DOUBLE AS avg_unit_price,"
+             " k.diamond_mix",
+             f"LEFT JOIN category_kpi k ON k.category = {pick(CATEGORIES)}"),
+        "SELECT c_custkey AS request_id, ['get_customer_profile', 'drop_everything', 'get_customer_propensity']"
+        "[c_custkey % 9 - 5] AS fn, CASE WHEN c_custkey % 9 = 6 THEN 'bad JSON' WHEN c_custkey % 9 = 7 THEN 'unknown function'"
+        " WHEN c_custkey % 2 = 0 THEN 'missing p_user_id' ELSE 'bad p_user_id' END AS status"
+        " FROM customer WHERE c_custkey % 9 >= 6",
+    ]
+    return " UNION ALL BY NAME ".join(parts)
+
+
 def _bodies() -> dict[str, str]:
     raw_bronze = f"SELECT {RAW_NULLABLE}, true AS has_source FROM m_raw"
     item_columns = (
@@ -641,6 +695,7 @@ def _bodies() -> dict[str, str]:
             f" (SELECT count(*) FROM m_raw WHERE ({GOOD}) IS NOT TRUE) AS orders_quarantined"
         ),
         "c07_answer_requests": _answers(),
+        "c07_json_requests": _json_answers(),
         "d01_as_of_date": "SELECT CAST(ref_date AS VARCHAR) AS ref_date FROM ref_day",
         "d02_order_features": f"""
             SELECT user_id, frequency, CAST(cents AS DOUBLE) / 100 AS monetary_total,

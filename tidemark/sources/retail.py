@@ -6,6 +6,8 @@ Customer keys are INT, since the keyed Murmur3 hash depends on the type.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,6 +159,35 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def json_requests(spark: SparkSession, folder: str, queries: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """One request per customer as it arrives: a function's name, and arguments as JSON text.
+
+    Six functions in turn, the third always for customer 2; then text that is no JSON, an
+    unknown function, and a missing or misfit argument.
+    """
+    key = F.col("c_custkey")
+
+    def pick(texts: Sequence[str]) -> Column:
+        return F.get(F.array(*map(F.lit, texts)), (F.floor(key / 9) % len(texts)).cast("int"))
+
+    def text(**values: Column) -> Column:
+        return F.to_json(F.struct(*[value.alias(name) for name, value in values.items()]))
+
+    kinds = [
+        ("get_customer_propensity", text(p_user_id=key)),
+        ("get_customer_profile", text(p_user_id=key.cast("string"), p_note=F.lit("x"))),
+        ("recommend_next_best_offer", text(p_user_id=F.lit(2))),
+        ("get_top_prospects", text(p_segment=pick(["High", "Low", "None"]), p_limit=key % 7)),
+        ("search_products", text(p_query=pick(queries))),
+        ("get_category_performance", text(p_category=pick(categories))),
+        ("get_customer_profile", F.concat(F.lit('{"p_user_id": '), key.cast("string"))),
+        ("drop_everything", F.lit("{}")),
+        ("get_customer_propensity", F.when(key % 2 == 0, F.lit("")).otherwise('{"p_user_id": "many"}')),
+    ]
+    chosen = F.get(F.array(*[F.struct(F.lit(fn).alias("fn"), a.alias("arguments")) for fn, a in kinds]), (key % 9).cast("int"))
+    return scan(spark, folder, "customer").select(key.cast("long").alias("request_id"), chosen.alias("r")).select("request_id", "r.*")
+
+
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "labels").select(
         F.col("doc_id").alias("case_id"),
