@@ -13,6 +13,7 @@ TABLE_ROW = ":table"
 _CELLS = {
     "row_count": "bigint",
     "null_count": "bigint",
+    "distinct_count": "bigint",
     "min_number": "double",
     "max_number": "double",
     "min_text": "string",
@@ -22,28 +23,14 @@ _CELLS = {
 }
 
 
-def _distinct_counts(df: DataFrame, unique: Collection[str]) -> DataFrame:
-    """Exact distinct values per column.
-
-    Each column is counted apart, in its own type, from a scan of it alone; equal values
-    meet in each task before they are shuffled. The values of a ``unique`` column are all
-    distinct, so they are only counted.
-    """
-    counts = None
-    for name in df.columns:
-        values = df.select(F.col(f"`{name}`").alias("value")).where(F.col("value").isNotNull())
-        values = values if name in unique else values.distinct()
-        row = values.agg(F.count(F.lit(1)).alias("distinct_count")).select(
-            F.lit(name).alias("column_name"), "distinct_count"
-        )
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
-
-
-def _summary(field: T.StructField) -> Column:
+def _summary(field: T.StructField, unique: bool) -> Column:
     """Counts, range and moments of one column, in the cells all columns share."""
-    column = F.col(field.name)
-    cells = {"row_count": F.count(F.lit(1)), "null_count": F.count_if(column.isNull())}
+    column = F.col(f"`{field.name}`")
+    cells = {
+        "row_count": F.count(F.lit(1)),
+        "null_count": F.count_if(column.isNull()),
+        "distinct_count": F.count(column) if unique else F.count_distinct(column),
+    }
     if isinstance(field.dataType, T.NumericType):
         number = column.cast("double")
         cells["min_number"], cells["max_number"] = F.min(number), F.max(number)
@@ -61,15 +48,14 @@ def _cells(known: dict[str, Column]) -> Column:
 def profile(df: DataFrame, unique: Collection[str] = ()) -> DataFrame:
     """Rows, NULLs, distinct values, range, mean and deviation of every column.
 
-    One aggregation measures all columns; its single row is unfolded to one row per
-    column and one for the table. ``unique`` names columns without repeated values.
+    One aggregation over one scan measures all columns. For the distinct counts each row
+    is repeated by column, in the column's own type, and equal values meet in each task
+    before they are shuffled. The values of a ``unique`` column are only counted.
     """
     table = _cells({"row_count": F.count(F.lit(1)), "null_count": F.lit(0)}).alias(TABLE_ROW)
     names = [*df.columns, TABLE_ROW]
-    measured = df.agg(*[_summary(field) for field in df.schema.fields], table)
+    measured = df.agg(*[_summary(field, field.name in unique) for field in df.schema.fields], table)
     summary = measured.unpivot([], [F.col(f"`{name}`") for name in names], "column_name", "cells")
-    # Both sides have one row per column of the table.
-    joined = summary.join(F.broadcast(_distinct_counts(df, unique)), "column_name", "left")
-    empty = F.when(F.col("column_name") != TABLE_ROW, F.lit(0))
-    counted = F.coalesce("distinct_count", empty).alias("distinct_count")
-    return joined.select("column_name", "cells.*", counted)
+    # The columns' counts are never NULL, which makes the table's a 0 among them.
+    counted = F.when(F.col("column_name") != TABLE_ROW, F.col("cells.distinct_count")).alias("distinct_count")
+    return summary.select("column_name", *[f"cells.{c}" for c in _CELLS if c != "distinct_count"], counted)

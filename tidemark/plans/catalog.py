@@ -210,7 +210,7 @@ def _synced(lake: Lakehouse) -> DataFrame:
 @query("a09_upsert_scores")
 def _(lake):
     store = _store(lake, "serving")
-    store.write_version("scores", 1, _old_serving(lake))
+    publish.first_serving(store, "scores", _old_serving(lake))
     table = publish.sync_serving(store, "scores", lake.scores())
     fresh = F.col("scored_at") > F.to_timestamp(F.lit(_OLD_STAMP))
     return table.withColumn("refreshed", fresh).drop("scored_at")

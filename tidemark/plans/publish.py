@@ -36,14 +36,21 @@ def sync_scores(existing: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def first_serving(store: TableStore, name: str, rows: DataFrame) -> DataFrame:
+    """Write the first version of a serving table, in buckets by customer."""
+    return store.replace_bucketed(name, rows, "user_id")
+
+
 def sync_serving(store: TableStore, name: str, scores: DataFrame) -> DataFrame:
     """Write the next version of a serving table from its newest complete one and new scores.
 
-    Readers keep the old version until the new one is complete. What a broken-off sync
-    left behind is passed over.
+    The old version lies in buckets by customer, so only the new scores are shuffled (not
+    even these, if they lie in the same buckets), and each task of the join writes the
+    buckets it holds. Readers keep the old version until the new one is complete; what a
+    broken-off sync left behind is passed over, and the last two versions stay.
     """
-    newest = store.read_version(name, store.latest_version(name))
-    return store.write_version(name, store.next_version(name), sync_scores(newest, scores))
+    newest = store.read_bucketed(name, "user_id")
+    return store.replace_bucketed(name, sync_scores(newest, scores), "user_id", deal=False)
 
 
 def sync_check(serving: DataFrame) -> DataFrame:

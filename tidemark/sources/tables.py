@@ -86,18 +86,19 @@ class TableStore:
     def _catalog_name(self, name: str, path: str) -> str:
         return f"{name}_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
 
-    def replace_bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+    def replace_bucketed(self, name: str, df: DataFrame, key: str, deal: bool = True) -> DataFrame:
         """Replace a table whose rows are unique by ``key``, in buckets by that key.
 
         Joins of two such tables on the key need no shuffle, and a lookup of one key
         reads one bucket. One file per bucket is written. Not for fact tables: a frequent
-        key would fill one bucket.
+        key would fill one bucket. ``deal=False`` leaves the rows where they are: right for
+        the result of a join of such tables, whose tasks hold whole buckets.
         """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         path = f"{self.path(name)}/version={self.next_version(name)}.buckets={buckets}"
         table = self._catalog_name(name, path)
         (
-            df.repartition(buckets, key)
+            (df.repartition(buckets, key) if deal else df)
             .write.bucketBy(buckets, key)
             .sortBy(key)
             .option("path", path)
