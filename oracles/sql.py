@@ -488,6 +488,14 @@ def _answers() -> str:
     )
 
 
+def rolling_limit(caller: str, seconds: int, limit: int) -> str:
+    return (
+        f"SELECT caller, count(*) AS calls, count(*) FILTER (WHERE n > {limit}) AS calls_over, max(n) AS most_in_span"
+        f" FROM (SELECT {caller} AS caller, count(*) OVER (PARTITION BY {caller} ORDER BY epoch_us(ts)"
+        f" RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY caller"
+    )
+
+
 CATEGORIES = ["ECONOMY", "LARGE", "nothing"]
 
 
@@ -820,6 +828,8 @@ def _bodies() -> dict[str, str]:
         "r01_user_calls_per_minute": f"SELECT *, calls > 60 AS over_limit FROM ({calls('user_id', 'minute')})",
         "r01_endpoint_calls_per_minute": f"SELECT *, calls > 2000 AS over_limit FROM ({calls('event_type', 'minute')})",
         "r01_users_over_daily_limit": daily_over,
+        "r01_rolling_user_limit": rolling_limit("user_id", 6 * 3600, 3),
+        "r01_rolling_endpoint_limit": rolling_limit("event_type", 60, 2000),
         "r01_stream_users_over_daily_limit": daily_over,
         "r01_stream_closed_windows": (
             f"SELECT * FROM ({calls('user_id', 'day')}) WHERE CAST(period_start AS TIMESTAMP) + INTERVAL 1 DAY"

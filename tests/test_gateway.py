@@ -1,6 +1,9 @@
+import random
 import re
+from bisect import bisect_right
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import gateway
 
@@ -64,3 +67,34 @@ def test_over_limit(spark):
     over = gateway.over_limit(events, F.col("user"), 3).collect()
     assert [(r.caller, r.calls) for r in over] == [(1, 4)]
     assert gateway.over_limit(events, F.col("user"), 4).count() == 0
+
+
+def test_rolling_limit(spark):
+    """Bursts across edges of minutes and slices, equal times, and one caller with most of all calls."""
+    rng = random.Random(4)
+    times = [("a", 59_000 + i * 20) for i in range(100)]  # 100 calls around the turn of a minute
+    times += [("hot", rng.randrange(0, 40 * 60_000)) for _ in range(4000)]
+    times += [("same", 16 * 60_000)] * 5 + [("same", 16 * 60_000 - 60_000), ("same", 16 * 60_000 - 59_999)]
+    rows = spark.createDataFrame([(c, t) for c, t in times] + [(None, 5), ("a", None)], "who string, ms long")
+    events = rows.select("who", F.timestamp_millis("ms").alias("ts"))
+    found = gateway.calls_in_span(events, F.col("who"), 60)
+    got = sorted((r.caller, r.ms, r.calls) for r in found.withColumn("ms", F.unix_millis("called_at")).collect())
+    by_caller = {c: sorted(t for d, t in times if d == c) for c in ("a", "hot", "same")}
+    wanted = sorted((c, t, bisect_right(by_caller[c], t) - bisect_right(by_caller[c], t - 60_000)) for c, t in times)
+    assert got == wanted
+    limits = {r.caller: r for r in gateway.callers_over_limit(events, F.col("who"), 60).collect()}
+    assert limits["a"].calls_over == 40 and limits["a"].most_in_span == 100 and limits["same"].calls_over == 0
+    fixed = gateway.over_limit(events.where("who = 'a'"), F.col("who"), 60)
+    assert fixed.count() == 0  # what fixed windows do not see
+
+
+def test_rolling_limit_spreads_a_hot_caller(spark):
+    who = F.when(F.col("id") >= 0, "hot")
+    events = spark.range(20_000).select(who.alias("who"), F.timestamp_millis(F.col("id") * 1000).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = gateway.calls_in_span(events, F.col("who"), 60).select(F.spark_partition_id().alias("task"))
+        tasks = [r["count"] for r in rows.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20_000 and max(tasks) < 10_000

@@ -807,6 +807,17 @@ def _(lake):
     return gateway.over_limit(_events(lake), F.col("user_id"), 5, "1 day")
 
 
+@query("r01_rolling_user_limit")
+def _(lake):
+    """Callers by their calls in any six hours, against a limit of three."""
+    return gateway.callers_over_limit(_events(lake), F.col("user_id"), 3, 6 * 3600)
+
+
+@query("r01_rolling_endpoint_limit")
+def _(lake):
+    return gateway.callers_over_limit(_events(lake), F.col("event_type"), gateway.ENDPOINT_CALLS_PER_MINUTE)
+
+
 @query("r01_stream_users_over_daily_limit")
 def _(lake):
     stream = gateway_streams.parquet_stream(lake.spark, lake.folder, "events")
