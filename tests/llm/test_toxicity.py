@@ -1,3 +1,4 @@
+import io
 import random
 
 import numpy as np
@@ -91,3 +92,49 @@ def test_awkward_rows(awkward, nothing, labels):
     # One label only, or none: nothing can be learned.
     assert {r.score for r in toxicity.toxicity(awkward, labels.filter("toxic = 0")).collect()} == {0.0}
     assert toxicity.toxicity(nothing, labels).collect() == []
+
+
+def plain_logit(vectors, weights):
+    """A window's logit, one word at a time."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    size, ways = toxicity.STATE, []
+    for way in "fb":
+        h, states = np.zeros(size), {}
+        order = range(len(vectors)) if way == "f" else reversed(range(len(vectors)))
+        for t in order:
+            a = vectors[t] @ weights[f"in_{way}"] + weights[f"in0_{way}"]
+            gates = sigmoid(a[: 2 * size] + h @ weights[f"gates_{way}"])
+            z, r = gates[:size], gates[size:]
+            n = np.tanh(a[2 * size :] + r * (h @ weights[f"new_{way}"]))
+            h = states[t] = (1 - z) * n + z * h
+        ways.append(states)
+    states = np.array([np.concatenate([ways[0][t], ways[1][t]]) for t in range(len(vectors))] or [np.zeros(2 * size)])
+    marks = np.tanh(states @ weights["look"]) @ weights["ask"]
+    share = np.exp(marks - marks.max())
+    return (share / share.sum()) @ states @ weights["out"] + float(np.ravel(weights["out0"])[0])
+
+
+def test_scores_against_a_plain_network():
+    texts, labels = made_up(60, 5)
+    model = dict(np.load(io.BytesIO(toxicity.train(texts, labels, 0.25, epochs=1))))
+    vocabulary = toxicity.Vocabulary(model.pop("vocabulary"))
+    asked = [*texts[:12], "", "?!", "one", "x " * 17, "Wörter wie diese " * 30]
+    expected = []
+    for text in asked:
+        words = toxicity.Words([text])
+        vectors = toxicity.word_inputs(words, vocabulary.numbers(words.hashes), model)[:-1].astype(float)
+        count = len(vectors)
+        starts = [0, *range(toxicity.STEP, max(count - toxicity.WINDOW + toxicity.STEP, 0), toxicity.STEP)]
+        found = sorted(plain_logit(vectors[a : a + toxicity.WINDOW], model) for a in starts)
+        x = np.array([1, found[-1], np.mean(found[-3:]), np.log(len(found))])
+        expected.append(1 / (1 + np.exp(-np.clip(x @ model["logistic"], -30, 30))))
+    assert toxicity.score(asked, vocabulary, model) == pytest.approx(np.array(expected), abs=2e-3)
+
+
+def test_any_seventeen_words_lie_in_one_window():
+    places, held, firsts = toxicity.Words(["x " * 200]).windows()
+    mine = [set(p[p < 200]) for p in places]
+    for start in range(200 - 16):
+        assert any(set(range(start, start + 17)) <= m for m in mine)

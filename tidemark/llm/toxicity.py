@@ -2,7 +2,7 @@
 
 A text is cut into words (lower-cased runs of letters, digits and non-ASCII signs) and
 these into windows of ``WINDOW`` words, each beginning ``STEP`` words after the last, so
-that windows overlap and every word is in one. A word enters as the vector of the word
+that every word is in up to three and any 17 words in a row are together in one. A word enters as the vector of the word
 itself, if it is among the ``MOST_WORDS`` commonest of the learning sample, beside the
 mean of the vectors of its byte trigrams. One gated recurrent layer reads the window
 forwards, one backwards; attention weighs their states, and a linear layer gives the
@@ -18,7 +18,8 @@ which the labels count by their share among all learning rows.
 Null and empty texts and texts without a word are one empty window. Where either label
 is missing from the learning rows nothing is learned and every score is 0. Documents with
 several labels count as toxic if one says so; repeated documents count once. A text's
-score depends on the text alone.
+score depends on the text alone; very long texts are scored whole, in slabs of windows.
+Extra columns are not read, an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, held_out, prepare
 
-WINDOW, STEP = 24, 16
+#: Words of a window, and from one window to the next: when scoring, and when learning.
+WINDOW, STEP, LEARNING_STEP = 24, 8, 16
 STATE = 8
 WORD_SIZE = TRIGRAM_SIZE = 8
 TRIGRAM_BUCKETS = 4096
@@ -91,13 +93,13 @@ class Words:
         found.trigrams = self.trigrams[np.arange(len(shift)) + shift]
         return found
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word places of each window, its number of words, first window of each text)."""
         sizes = np.diff(self.bounds)
-        counts = np.maximum(1, -(-np.maximum(sizes - (WINDOW - STEP), 0) // STEP))
+        counts = np.maximum(1, -(-np.maximum(sizes - (WINDOW - step), 0) // step))
         firsts = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(sizes)), counts)
-        begin = (np.arange(len(owner)) - firsts[owner]) * STEP
+        begin = (np.arange(len(owner)) - firsts[owner]) * step
         held = np.clip(sizes[owner] - begin, 0, WINDOW)
         places = (self.bounds[owner] + begin)[:, None] + np.arange(WINDOW)
         # Places behind the end point to an extra row of zeros.
@@ -194,9 +196,11 @@ def _attend(states: np.ndarray, held: np.ndarray, weights: Weights) -> tuple[np.
     return pooled @ weights["out"] + weights["out0"], pooled, share, seen
 
 
-def logits(words: Words, numbers: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+def logits(
+    words: Words, numbers: np.ndarray, weights: Weights, step: int = STEP
+) -> tuple[np.ndarray, np.ndarray]:
     """Logit of every window, and the first window of each text."""
-    places, held, firsts = words.windows()
+    places, held, firsts = words.windows(step)
     rows = word_inputs(words, numbers, weights)
     found = np.zeros(len(places), np.float32)
     for low in range(0, len(places), _SLAB):
@@ -311,14 +315,14 @@ def train(texts: list[str], toxic: np.ndarray, base_rate: float, epochs: int | N
     numbers = vocabulary.numbers(words.hashes)
     weights = new_weights(len(common))
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    places, held, firsts = words.windows()
+    places, held, firsts = words.windows(LEARNING_STEP)
     ends = np.append(firsts[1:], len(places))
     # About five windows of each document make an epoch.
     epochs = epochs or max(_EPOCHS, min(40, -(-_STEPS * _BATCH // (5 * max(len(learn), 1)))))
     steps = 0
     for epoch in range(epochs):
         if epoch % 2:
-            found = logits(words, numbers, weights)[0]
+            found = logits(words, numbers, weights, LEARNING_STEP)[0]
         elif not epoch:
             found = rng.random(len(places))
         chosen = []
