@@ -11,7 +11,8 @@ letters share 37 symbols by code point.
 
 Null or empty texts and texts without a letter get ``und`` and score 0, as does every
 text when nothing was learned. Equal cosines go to the language first in code point
-order. Repeated rows get the same answer each; extra columns pass through untouched.
+order. Very long texts are bundled whole. Repeated rows get the same answer each; extra
+columns pass through untouched. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from tidemark.llm.common import arrow_rows, held_out, prepare, row_struct
 UNKNOWN = "und"
 DIMENSIONS = 1024
 SEED = 20240917
+#: Least cosine of a text in a language, about three times what chance gives (1 / 32), and
+#: the letters from which on it is asked for.
+LIKENESS, FEW_LETTERS = 0.1, 30
 _SYMBOLS = 64
 _GRAMS = _SYMBOLS**3
 #: Trigrams whose vectors are held at a time.
@@ -207,12 +211,14 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, above: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, above: float = LIKENESS, letters: int = FEW_LETTERS) -> DataFrame:
     """The documents in a known language; those without letters or unlike any go.
 
-    By default only texts without any likeness to a language (no positive cosine) count
-    as unlike: a sound text of one word may be hardly like its own.
+    Unlike are texts whose best cosine is at most ``above``, or, of fewer than ``letters``
+    letters, at most 0: a sound text of a word or two may be hardly like its own language.
     """
     langs, prototypes = learn_prototypes(learning_rows(docs))
     judged = identify(docs, langs, prototypes)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > above)).select("row.*")
+    few = F.regexp_count("row.text", F.lit(r"\p{L}")) < letters
+    like = F.when(few, F.col("score") > 0).otherwise(F.col("score") > above)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & like).select("row.*")
