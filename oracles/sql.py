@@ -625,6 +625,14 @@ def _bodies() -> dict[str, str]:
               CASE WHEN k = 2 THEN substr('{"order_id":' || order_id || ',"user_id":' || user_id
                 || ',"total_amount":', 1, 30) END AS _unreadable
             FROM (SELECT *, order_id % 11 AS k FROM m_orders)""",
+        "a01_ingest_growing": """
+            SELECT CAST(order_id AS DOUBLE) AS order_id, CAST(user_id AS DOUBLE) AS user_id,
+              CASE WHEN NOT (late AND odd) THEN CAST(total_amount AS DOUBLE) END AS total_amount, status,
+              CASE WHEN late THEN CAST(order_id * 2 AS DOUBLE) END AS points,
+              CASE WHEN late THEN 'c' || (order_id % 5) END AS coupon,
+              CASE WHEN late AND odd THEN printf('%.2f', total_amount) || ' EUR' END AS total_amount_string,
+              CAST(NULL AS VARCHAR) AS _rescued
+            FROM (SELECT *, order_id % 3 <> 0 AS late, order_id % 4 = 1 AS odd FROM m_orders)""",
         "a02_ingest_order_items": f"SELECT {item_columns}, true AS has_source FROM m_items",
         "a03_ingest_users": f"SELECT user_id, first_name, last_name, email, mobile, {dates}, true AS has_source FROM m_users",
         "a04_stream_silver": f"SELECT {SILVER_COLUMNS} FROM m_raw WHERE {GOOD}",

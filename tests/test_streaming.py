@@ -4,6 +4,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import quality
 from tidemark.plans.features import customer_features
@@ -134,3 +135,34 @@ def test_streams_of_tables_of_several_files(spark, folder, tmp_path):
     events = gateway.parquet_stream(spark, str(tmp_path), "events").withColumn("ts", F.col("ts").cast("timestamp"))
     running = gateway.running_windows(events, F.col("user_id"), "1 day", "10 minutes", store, "running")
     assert running.agg(F.sum("calls")).first()[0] == scan(spark, folder, "events").count()
+
+
+def test_new_fields_become_columns_once_settled(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("size", T.LongType())])
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    medallion = Medallion(spark, str(tmp_path / "medallion"))
+
+    def land(name, *rows):
+        (landing / name).write_text("\n".join(json.dumps(r) for r in rows))
+        return {r.id: r for r in medallion.ingest_growing(str(landing), "bronze", schema).collect()}
+
+    land("a.json", {"id": 1, "size": 2})
+    rows = land("b.json", {"id": 2, "n": 5, "x": 1.5, "ok": True, "day": "2024-02-29", "t": "é", "none": None, "size": "big"})
+    assert "n" not in rows[2].asDict() and len(json.loads(rows[2]._rescued)) == 7
+    fields = medallion.promote_fields("bronze", schema)
+    assert fields == [
+        ("day", "date", "day"), ("n", "bigint", "n"), ("ok", "boolean", "ok"),
+        ("size_string", "string", "size"), ("t", "string", "t"), ("x", "double", "x"),
+    ]
+    rows = land("c.json", {"id": 3, "n": 7, "x": 2, "size": 4, "t": 9}, {"id": 4, "n": "many", "size": 1.5, "rare": 1})
+    assert (rows[1].n, rows[1].size, rows[1].size_string) == (None, 2, None)
+    assert (rows[2].n, rows[2].x, rows[2].ok, str(rows[2].day), rows[2].t, rows[2].size_string) == (5, 1.5, True, "2024-02-29", "é", "big")
+    assert [e["key"] for e in json.loads(rows[2]._rescued)] == ["none"]
+    assert (rows[3].n, rows[3].x, rows[3].t, rows[3].size, rows[3]._rescued) == (7, 2.0, "9", 4, None)
+    # What does not fit a settled type stays, as does a field of too few rows.
+    assert (rows[4].n, rows[4].size, rows[4].size_string) == (None, None, "1.5")
+    assert {e["key"]: e["value"] for e in json.loads(rows[4]._rescued)} == {"n": "many", "rare": "1"}
+    assert medallion.promote_fields("bronze", schema, share=0.5) == fields
+    again = {r.id: r for r in medallion.grown("bronze", schema).collect()}
+    assert again == rows and medallion.store.read("bronze").count() == 4

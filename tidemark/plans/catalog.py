@@ -119,6 +119,33 @@ def _(lake):
     return _nullable(table.select(*fields, RESCUED, UNREADABLE), *_RAW_KEYS)
 
 
+@query("a01_ingest_growing")
+def _(lake):
+    """Three landings; from the second on with two new fields and an amount that comes as text."""
+    fields = ["order_id", "user_id", "total_amount", "status"]
+    key = F.col("order_id")
+    plain = F.to_json(F.struct(*fields))
+    more = F.to_json(
+        F.struct(
+            *fields[:2],
+            F.when(key % 4 == 1, F.concat(F.col("total_amount").cast("string"), F.lit(" EUR")))
+            .otherwise(F.col("total_amount").cast("string"))
+            .alias("total_amount"),
+            "status",
+            (key * 2).alias("points"),
+            F.concat(F.lit("c"), key % 5).alias("coupon"),
+        )
+    )
+    lines = lake.orders().select(key, F.when(key % 3 == 0, plain).otherwise(more).alias("value"))
+    landing, medallion = run_dir(lake.spark, "landing"), _medallion(lake)
+    for part in range(3):
+        lines.where(key % 3 == part).select("value").write.mode("append").text(landing)
+        table = medallion.ingest_growing(landing, "bronze", retail.ORDERS_RAW_SCHEMA)
+        if part == 1:
+            medallion.promote_fields("bronze", retail.ORDERS_RAW_SCHEMA)
+    return _nullable(table.select(*fields, "points", "coupon", "total_amount_string", RESCUED), *_RAW_KEYS, "points")
+
+
 @query("a02_ingest_order_items")
 def _(lake):
     return _bronze(lake, lake.items(), retail.ORDER_ITEMS_SCHEMA)

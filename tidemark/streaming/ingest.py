@@ -125,6 +125,91 @@ class Medallion:
         append_stream(stream, path, self.store.path(f"_checkpoints/{table}")).awaitTermination()
         return self.store.read(table)
 
+    def _grown_fields(self, table: str) -> list[tuple[str, str, str]]:
+        """Columns promoted so far: (name, type, field of the landed records)."""
+        name = f"{table}_schema"
+        if not self.store.has(name):
+            return []
+        return [tuple(r) for r in self.store.read(name).orderBy("place").drop("place").collect()]
+
+    def ingest_growing(self, landing: str, table: str, schema: StructType) -> DataFrame:
+        """As ``ingest``; fields that ``promote_fields`` has settled arrive as columns."""
+        whole = StructType(list(schema.fields))
+        for name, kind, field in self._grown_fields(table):
+            if name == field:
+                whole = whole.add(name, DataType.fromDDL(kind))
+        self.ingest(landing, table, whole)
+        return self.grown(table, schema)
+
+    def grown(self, table: str, schema: StructType) -> DataFrame:
+        """The bronze table with all promoted columns, for rows landed before as well.
+
+        ``schema`` is the one the table began with. Rows of older files, and values that
+        did not fit, take a promoted column from ``_rescued``, which keeps the rest.
+        """
+        fields = self._grown_fields(table)
+        stored = StructType(list(schema.fields))
+        for name, kind, field in fields:
+            if name == field:
+                stored = stored.add(name, DataType.fromDDL(kind))
+        for name in (RESCUED, UNREADABLE, "_source_file"):
+            stored = stored.add(name, "string")
+        stored = stored.add("_bronze_ingested_at", "timestamp")
+        rows = self.spark.read.schema(stored).parquet(self.store.path(table))
+        entries = F.from_json(RESCUED, "array<struct<key:string,value:string>>")
+        rows = rows.withColumn("__left", entries)
+
+        def held(field: str) -> Column:
+            return F.get(F.filter("__left", lambda e: e["key"] == field), F.lit(0))["value"]
+
+        promoted, settled = {}, []
+        for name, kind, field in fields:
+            value = held(field).try_cast(kind)
+            promoted[name] = F.coalesce(F.col(name), value) if name == field else value
+            settled.append(F.when(value.isNotNull(), F.lit(field)))
+        if not fields:
+            return rows.drop("__left")
+        known = F.array_compact(F.array(*settled))
+        rest = F.filter("__left", lambda e: ~F.array_contains("__known", e["key"]))
+        grown = rows.withColumns({"__known": known, **promoted})
+        return grown.withColumn(RESCUED, F.when(F.size(rest) > 0, F.to_json(rest))).drop("__left", "__known")
+
+    def promote_fields(self, table: str, schema: StructType, share: float = 0.01) -> list[tuple[str, str, str]]:
+        """Make columns of the rescued fields that a ``share`` of all rows have.
+
+        The type is the first of whole number, number, truth value, date and text that
+        fits every value so far. A field of the schema whose values came in another type
+        becomes a column of its own, named for field and type; the old one stays as it
+        is. What arrives later and does not fit stays in ``_rescued``.
+        """
+        rows = self.grown(table, schema)
+        kinds = ["bigint", "double", "boolean", "date"]
+        total = rows.agg(F.count(F.lit(1))).scalar()
+        entries = F.explode(F.from_json(RESCUED, "array<struct<key:string,value:string>>"))
+        fits = [F.count(F.col("e.value").try_cast(kind)).alias(kind) for kind in kinds]
+        # A share of the rows bounds the number of fields that can have it.
+        found = (
+            rows.select(entries.alias("e"))
+            .groupBy("e.key")
+            .agg(F.count("e.value").alias("n"), *fits)
+            .where((F.col("n") > 0) & (F.col("n") >= total * share))
+            .orderBy("key")
+            .collect()
+        )
+        fields = self._grown_fields(table)
+        taken = {name for name, _, _ in fields} | set(schema.fieldNames())
+        for row in found:
+            kind = next((k for k in kinds if row[k] == row.n), "string")
+            name = row.key if row.key not in taken else f"{row.key}_{kind}"
+            if name not in taken:
+                taken.add(name)
+                fields.append((name, kind, row.key))
+        numbered = [(i, *field) for i, field in enumerate(fields)]
+        if numbered:
+            table_of = self.spark.createDataFrame(numbered, "place int, name string, kind string, field string")
+            self.store.replace(f"{table}_schema", table_of.coalesce(1))
+        return fields
+
     def stream_of(self, table: str) -> DataFrame:
         """The bronze table as a stream of its new rows."""
         schema = self.store.read(table).schema
