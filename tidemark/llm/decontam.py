@@ -15,7 +15,9 @@ all must agree.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. Null and empty
 texts hold nothing. Repeated items with equal words count as the one with the smallest
-id. Rows with one doc_id are told apart by a hash of the row.
+id. Rows with one doc_id are told apart by a hash of the row. Very long texts are hashed
+whole; ties and repeated documents get equal answers each. Extra columns pass through, an
+empty table of either kind finds nothing.
 """
 
 from __future__ import annotations

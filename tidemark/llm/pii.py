@@ -18,7 +18,8 @@ passport    1-2 capitals and 6-8 digits            context
 
 Places are code points, ends exclusive. Null and empty texts have no spans. Every pattern
 runs in time linear in the text, long runs of one sign included. Rows are independent:
-no shuffle, repeated rows get equal answers, extra columns are not read.
+no shuffle, repeated rows get equal answers, extra columns are not read, an empty table
+gives no row.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ tokens. ``parts/`` has each part's first id place in the whole.
 Documents are encoded whole with the ``tokenizers`` library and end with an end id.
 Special strings in a text get what the tokenizer file gives them. Null texts count as
 empty and hold the end id alone; null doc_ids come first. Rows with one doc_id stay
-apart, ordered by text; extra columns are not written.
+apart, ordered by text; extra columns are not written. Very long texts are encoded whole,
+piece by piece. An empty table gives files without rows.
 
 How a text is encoded: the pre-tokenizer never joins what stands on both sides of a
 blank that follows a character other than white space, so a text is cut there and each
