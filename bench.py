@@ -35,11 +35,13 @@ HEADLINE = [
     "b14_category_lookup",
     "b15_search_products",
     "b15_search_many",
+    "b15_search_index",
     "b16_golden_cohort",
     "b17_guard_documents",
     "c03_feature_star",
     "c04_customer_360",
     "c07_answer_requests",
+    "c07_json_requests",
     "d02_order_features",
     "d03_item_features",
     "d06_occasion_features",
@@ -65,16 +67,19 @@ HEADLINE = [
     "q06_top_customers_by_propensity",
     "q07_top_decile_revenue_share",
     "r01_user_calls_per_minute",
+    "r01_rolling_user_limit",
 ]
 ONCE = [
     "a01_ingest_orders",
     "a04_stream_silver",
     "a08_gold_refresh",
+    "a08_gold_merged",
     "a09_upsert_scores",
     "r01_stream_users_over_daily_limit",
     "h03_model_scores",
     "h08_model_metrics",
-    "h09_model_drivers",
+    "h09_model_contributions",
+    "h10_model_cards",
 ]
 REPEATS = 3
 
