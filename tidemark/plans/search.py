@@ -106,7 +106,8 @@ def _asked(searches: DataFrame, literal: bool) -> DataFrame:
     queries = searches.select("query").where("query IS NOT NULL").distinct()
     lowered = F.lower("query")
     if literal:
-        return queries.select("query", F.array(lowered).alias("parts"), F.lit(0).alias("signs"))
+        # Only an empty query is without a part, and it asks for no sign.
+        return queries.select("query", F.array(lowered).alias("parts"), F.length("query").alias("signs"))
     pattern = like_pattern(lowered)
     parts = F.transform(
         F.regexp_extract_all(pattern, F.lit(_PART), F.lit(1)),
