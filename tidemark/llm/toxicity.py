@@ -2,9 +2,9 @@
 
 A text is cut into words (lower-cased runs of letters, digits and non-ASCII signs) and
 these into windows of ``WINDOW`` words, each beginning ``STEP`` words after the last, so
-that every word is in up to three and any 17 words in a row are together in one. A word enters as the vector of the word
-itself, if it is among the ``MOST_WORDS`` commonest of the learning sample, beside the
-mean of the vectors of its byte trigrams. One gated recurrent layer reads the window
+that every word is in two, but at the ends, and any 13 words in a row lie in one. A word
+enters as the vector of the word itself, if it is among the ``MOST_WORDS`` commonest of
+the learning sample, beside the mean of the vectors of its byte trigrams. One gated recurrent layer reads the window
 forwards, one backwards; attention weighs their states, and a linear layer gives the
 window's logit. The document's score is a logistic function of its largest logit, the
 mean of its three largest, and the logarithm of the number of windows.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, held_out, prepare
 
 #: Words of a window, and from one window to the next: when scoring, and when learning.
-WINDOW, STEP, LEARNING_STEP = 24, 8, 16
+WINDOW, STEP, LEARNING_STEP = 24, 12, 16
 STATE = 8
 WORD_SIZE = TRIGRAM_SIZE = 8
 TRIGRAM_BUCKETS = 4096
