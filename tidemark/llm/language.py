@@ -219,6 +219,7 @@ def keep_identified(docs: DataFrame, above: float = LIKENESS, letters: int = FEW
     """
     langs, prototypes = learn_prototypes(learning_rows(docs))
     judged = identify(docs, langs, prototypes)
+    # Letters are counted in the few texts only that their cosine does not settle.
     few = F.regexp_count("row.text", F.lit(r"\p{L}")) < letters
-    like = F.when(few, F.col("score") > 0).otherwise(F.col("score") > above)
+    like = F.when(F.col("score") > above, True).when(F.col("score") > 0, few).otherwise(False)
     return judged.filter((F.col("lang_pred") != UNKNOWN) & like).select("row.*")
