@@ -200,3 +200,28 @@ def test_asked_prospects_equal_single_calls(spark, lake):
         one = lookup.top_prospects(lake.scores(), segment, n).collect()
         assert [r.user_id for r in got] == [r.user_id for r in one]
     assert len(rows) == 12
+
+
+def broadcast_parts(df):
+    """The subtrees of a plan, as text, that are sent to every task."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_rows_by_trigram_are_never_broadcast(lake, monkeypatch, literal):
+    products = lake.products()
+    texts = ["ring", "r%g", "sm", "b", "nothing like it", "%", ""]
+    wanted = F.get(F.array(*map(F.lit, texts)), F.pmod(F.xxhash64("product_id"), F.lit(len(texts))).cast("int"))
+    asked = products.select(wanted.alias("query"))
+    found = []
+    for few in (search._FEW_SIGNS, 0):
+        monkeypatch.setattr(search, "_FEW_SIGNS", few)
+        hits = search.search_products_asked(products, asked, literal=literal)
+        assert not [p for p in broadcast_parts(hits) if "Generate" in p and "p_name" in p]
+        found.append(sorted(hits.collect()))
+    assert found[0] == found[1] != []

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import top_n, top_per_group
+from tidemark.session import write_and_read
 
 # Fixed values.
 SEARCH_RESULTS = 8
@@ -28,6 +29,8 @@ _SEARCHED = ("name", "description", "tags")
 _RESULT = ("product_id", "name", "category", "material", "price_inr")
 
 _GRAM = 3
+#: Queries with up to so many signs in all are copied to every task.
+_FEW_SIGNS = 1 << 20
 #: An escaped wildcard or backslash as group 1, else a backslash that escapes nothing.
 _ESCAPES = r"(\\[%_\\])|(\\)"
 #: A part of a query without wildcards.
@@ -94,11 +97,29 @@ def _grams(text: Column, size: int) -> Column:
     return F.coalesce(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), F.array().cast("array<string>"))
 
 
+def _spread(products: DataFrame) -> DataFrame:
+    """The products dealt evenly over as many tasks as a shuffle has."""
+    return products.repartition(int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def build_index(products: DataFrame) -> SearchIndex:
-    held = products.select("product_id", _searched_text().alias("text"))
+    held = _spread(products.select("product_id", _searched_text().alias("text")))
     postings = held.select(F.explode(F.array_distinct(_grams(F.col("text"), _GRAM))).alias("gram"), "product_id")
-    grams = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("products"))
-    return SearchIndex(postings, grams)
+    return SearchIndex(postings, _gram_counts(postings))
+
+
+def _gram_counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("products"))
+
+
+def _are_few(asked: DataFrame) -> bool:
+    signs = asked.agg(F.coalesce(F.sum(F.length("query") + 1), F.lit(0)).alias("signs")).first().signs
+    return signs <= _FEW_SIGNS
+
+
+def _met(rows: DataFrame, asked: DataFrame, key: str, few: bool) -> DataFrame:
+    """Rows taken from products with the queries' rows of their key; the rows are never broadcast."""
+    return rows.join(F.broadcast(asked), key) if few else rows.hint("merge").join(asked, key)
 
 
 def _asked(searches: DataFrame, literal: bool) -> DataFrame:
@@ -117,29 +138,35 @@ def _asked(searches: DataFrame, literal: bool) -> DataFrame:
     return queries.select("query", parts.alias("parts"), F.regexp_count(bare, F.lit("_")).alias("signs"))
 
 
+def _wanted_grams(asked: DataFrame) -> DataFrame:
+    parts = F.transform("parts", lambda p: _grams(p, _GRAM))
+    return asked.select("query", F.explode(F.array_distinct(F.flatten(parts))).alias("gram"))
+
+
 def rarest_grams(asked: DataFrame, grams: DataFrame) -> DataFrame:
     """(query, gram) of the rarest trigram of each query; none for a query that no product can hold."""
-    wanted = asked.select(
-        "query", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: _grams(p, _GRAM))))).alias("gram")
-    )
-    known = wanted.join(grams, "gram", "left")
+    known = _wanted_grams(asked).join(grams, "gram", "left")
     rarest = F.min(F.struct(F.coalesce("products", F.lit(0)).alias("n"), F.col("gram"))).alias("rarest")
     chosen = known.groupBy("query").agg(rarest)
     return chosen.where("rarest.n > 0").select("query", F.col("rarest.gram").alias("gram"))
 
 
-def _by_index(products: DataFrame, asked: DataFrame, index: SearchIndex, literal: bool) -> DataFrame:
-    met = rarest_grams(asked, index.grams).join(index.postings, "gram").select("query", "product_id")
+def _by_index(products: DataFrame, asked: DataFrame, index: SearchIndex | None, literal: bool, few: bool) -> DataFrame:
+    if index is None:
+        # Only the trigrams asked for are counted, so there are no more of them than the queries have.
+        postings = build_index(products).postings
+        index = SearchIndex(postings, _gram_counts(_met(postings, _wanted_grams(asked).select("gram").distinct(), "gram", few)))
+    met = _met(index.postings, rarest_grams(asked, index.grams), "gram", few).select("query", "product_id")
     return met.join(products, "product_id").where(matches(F.col("query"), literal)).select(*_RESULT, "query")
 
 
-def _by_short_key(products: DataFrame, asked: DataFrame, literal: bool) -> DataFrame:
+def _by_short_key(products: DataFrame, asked: DataFrame, literal: bool, few: bool) -> DataFrame:
     """Queries of one or two signs between wildcards, met by their longest part."""
     longest = F.array_max(F.transform("parts", lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    keyed = products.withColumn("__text", _searched_text())
+    keyed = _spread(products).withColumn("__text", _searched_text())
     keys = F.array_distinct(F.concat(_grams(F.col("__text"), 1), _grams(F.col("__text"), 2)))
     keyed = keyed.withColumn("key", F.explode(keys)).drop("__text")
-    hits = keyed.join(asked.select("query", longest.alias("key")), "key")
+    hits = _met(keyed, asked.select("query", longest.alias("key")), "key", few)
     return hits.where(matches(F.col("query"), literal)).select(*_RESULT, "query")
 
 
@@ -174,12 +201,14 @@ def search_products_asked(
     asked = _asked(searches, literal).withColumn(
         "reach", F.coalesce(F.array_max(F.transform("parts", F.length)), F.lit(0))
     )
+    asked = write_and_read(asked, "queries")
+    few = _are_few(asked)
     long = asked.where(F.col("reach") >= _GRAM)
     short = asked.where((F.col("reach") > 0) & (F.col("reach") < _GRAM))
     bare = asked.where("reach = 0")
     hits = (
-        _by_index(products, long, index or build_index(products), literal)
-        .unionByName(_by_short_key(products, short, literal))
+        _by_index(products, long, index, literal, few)
+        .unionByName(_by_short_key(products, short, literal, few))
         .unionByName(_by_length(products, bare, n))
     )
     return top_per_group(hits, "query", _order(), n)
