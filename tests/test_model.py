@@ -1,8 +1,10 @@
 import math
+import pickle
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
@@ -159,6 +161,21 @@ def test_trees_do_not_depend_on_blocks_and_tasks(spark, monkeypatch, lake):
     assert len(rounds) == 2 and min(rounds) > 2
 
 
+def test_sums_of_many_tasks_stay_off_the_driver(spark, monkeypatch, lake):
+    training = lake.split().where("is_train").drop("is_train")
+    sizes = []
+    inner = RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sizes.append(inner(self)) or sizes[-1])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        model.fit(training, Settings(trees=2, least_rows=2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) > 2 and max(len(pickle.dumps(found)) for found in sizes) < 1 << 14
+
+
 def test_scores_are_those_of_the_table(lake, fitted):
     table, ensemble, _ = fitted
     base, trees = by_tree(table)

@@ -15,12 +15,13 @@ order of additions and the trees can be recomputed exactly.
 
 Passes. Rows lie as blocks of plain arrays (a byte a bin), some 35 bytes a row. A pass adds
 up its blocks in each task; partial sums, of a size set by nodes, features and bins alone,
-meet in the driver, beyond ``_FEW`` tasks over a tree of tasks. Hundreds of passes of a
-few milliseconds each are why they are RDD jobs: planning a query takes longer than such a
-pass. Where one partition holds all blocks (64 MB at Spark's setting) there is nothing to
-meet, and its task grows the trees of a round by the same code. Every ``ROUND`` trees the
-scores so far are written with the blocks to the shared folder; a lost executor costs its
-blocks of that round.
+are dealt by node and meet in tasks, which choose the nodes' splits. The driver gets one
+split a node, whatever the number of tasks; here every node is summed, since no task holds
+its parent's sums. Hundreds of passes of a few milliseconds each are why they are RDD jobs:
+planning a query takes longer than such a pass. Where one partition holds all blocks (64 MB
+at Spark's setting) there is nothing to meet, and its task grows the trees of a round by the
+same code. Every ``ROUND`` trees the scores so far are written with the blocks to the shared
+folder; a lost executor costs its blocks of that round.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import heapq
 from collections.abc import Iterable, Iterator, Sequence
 from copy import copy
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ from tidemark.session import ship_package, write_and_read
 BINS = 64
 ROUND = 20
 BLOCK_ROWS = 1 << 16
-_FEW = 64
+#: Partial sums of so many tasks meet in one.
+_FEW = 8
 _SCALE = 1 << 20
 #: Bits of a double below its cell: 52 of the fraction less eight.
 _BELOW = 44
@@ -263,39 +266,48 @@ def kept_splits(gains: dict[int, float], leaves: int) -> set[int]:
     return kept
 
 
-def grow(sum_up, number: int, features: int, settings: Settings) -> Tree:
-    """One tree; ``sum_up(grown, slots, columns)`` gives the sums by (slot, column, bin)."""
+class Choice(NamedTuple):
+    """A node's sums (gradient, curvature, rows), its best split if one gains, and the sums left of it."""
+
+    whole: np.ndarray
+    split: tuple[float, int, int] | None
+    left: np.ndarray | None
+
+
+def choice_of(sums: np.ndarray, least_rows: int) -> Choice:
+    """The choice for one node from its sums by (column, bin)."""
+    split = best_split(sums, least_rows)
+    left = None if split is None else sums[:, split[1], : split[2] + 1].sum(axis=1)
+    return Choice(sums[:, 0].sum(axis=1), split, left)
+
+
+def _slots(nodes: Sequence[int], depth: int) -> np.ndarray:
+    slots = np.full(2 ** (depth + 1) - 1, -1)
+    slots[list(nodes)] = np.arange(len(nodes))
+    return slots
+
+
+def grow(choose, number: int, features: int, settings: Settings) -> Tree:
+    """One tree; ``choose(grown, level, columns)`` gives the choice of each node of a level."""
     nodes = 2 ** (settings.depth + 1) - 1
     feature, bins = np.full(nodes, -1), np.zeros(nodes, np.int64)
     value, rows = np.zeros(nodes), np.zeros(nodes, np.int64)
     columns = columns_of(features, number, settings)
-    sums: dict[int, np.ndarray] = {}
     gains: dict[int, float] = {}
     level = [0]
-    for depth in range(settings.depth + 1):
+    for depth in range(settings.depth):
         if not level:
             break
-        if depth < settings.depth:
-            # One node of each pair of siblings is summed, the left one.
-            asked = [n for n in level if n == 0 or n % 2 == 1]
-            slots = np.full(nodes, -1)
-            slots[asked] = np.arange(len(asked))
-            found = sum_up(Tree(feature, bins, value, rows), slots, columns)
-            above, sums = sums, dict(zip(asked, found))
-            for node in level:
-                if node not in sums:
-                    sums[node] = above[(node - 1) // 2] - sums[node - 1]
-            if depth == 0:
-                value[0], rows[0] = _value(sums[0][:, 0].sum(axis=1), settings), sums[0][2, 0].sum()
+        choices = choose(Tree(feature, bins, value, rows), level, columns)
+        if depth == 0:
+            value[0], rows[0] = _value(choices[0].whole, settings), choices[0].whole[2]
         following = []
-        for node in level if depth < settings.depth else []:
-            split = best_split(sums[node], settings.least_rows)
+        for node in level:
+            whole, split, left = choices[node]
             if split is None:
                 continue
             gains[node], column, last = split
             feature[node], bins[node] = columns[column], last
-            left = sums[node][:, column, : last + 1].sum(axis=1)
-            whole = sums[node][:, column].sum(axis=1)
             for child, part in ((2 * node + 1, left), (2 * node + 2, whole - left)):
                 value[child], rows[child] = _value(part, settings), part[2]
                 following.append(child)
@@ -373,15 +385,26 @@ def _sums_of(blocks: Iterable[Block], grown: Tree, slots: np.ndarray, columns: n
 
 
 def _grown_in_task(blocks: list[Block], base: float, numbers: range, features: int, settings: Settings) -> Iterator[Tree]:
-    """The trees ``numbers`` where one task holds all blocks, so that no sums have to meet."""
+    """The trees ``numbers`` where one task holds all blocks, so that no sums have to meet.
+
+    One node of each pair of siblings is summed, the left one; the other is the parent less it.
+    """
     newest: list[Tree] = []
+    sums: dict[int, np.ndarray] = {}
     for number in numbers:
         blocks = [b.ready(base, newest, number, settings) for b in blocks]
 
-        def sum_up(grown: Tree, slots: np.ndarray, columns: np.ndarray, own=blocks) -> np.ndarray:
-            return _sums_of(own, grown, slots, columns, settings.depth)
+        def choose(grown: Tree, level: list[int], columns: np.ndarray, own=blocks) -> dict[int, Choice]:
+            nonlocal sums
+            asked = [n for n in level if n == 0 or n % 2 == 1]
+            found = _sums_of(own, grown, _slots(asked, settings.depth), columns, settings.depth)
+            above, sums = sums, dict(zip(asked, found))
+            for node in level:
+                if node not in sums:
+                    sums[node] = above[(node - 1) // 2] - sums[node - 1]
+            return {node: choice_of(sums[node], settings.least_rows) for node in level}
 
-        newest = [grow(sum_up, number, features, settings)]
+        newest = [grow(choose, number, features, settings)]
         yield newest[0]
 
 
@@ -397,18 +420,19 @@ def _round(state: DataFrame, base: float, numbers: range, features: int, setting
         blocks = blocks.map(lambda b, newest=newest, number=number: b.ready(base, newest, number, settings))
         held.append(blocks.persist(StorageLevel.MEMORY_AND_DISK))
 
-        def sum_up(grown: Tree, slots: np.ndarray, columns: np.ndarray, own=blocks) -> np.ndarray:
-            def part(block_of: Iterator[Block]) -> Iterator[np.ndarray]:
+        def choose(grown: Tree, level: list[int], columns: np.ndarray, own=blocks) -> dict[int, Choice]:
+            slots = _slots(level, settings.depth)
+
+            def part(block_of: Iterator[Block]) -> Iterator[tuple[int, np.ndarray]]:
                 total = _sums_of(block_of, grown, slots, columns, settings.depth)
                 if total is not None:
-                    yield total
+                    yield from zip(level, total)
 
-            partial = own.mapPartitions(part)
-            if own.getNumPartitions() <= _FEW:
-                return partial.reduce(np.add)
-            return partial.treeReduce(np.add, depth=3)
+            tasks = min(len(level), -(-own.getNumPartitions() // _FEW))
+            met = own.mapPartitions(part).reduceByKey(np.add, tasks)
+            return dict(met.mapValues(lambda sums: choice_of(sums, settings.least_rows)).collect())
 
-        made.append(grow(sum_up, number, features, settings))
+        made.append(grow(choose, number, features, settings))
         if len(held) > 1:
             held.pop(0).unpersist()
     held.pop().unpersist()
