@@ -27,3 +27,12 @@ def test_files_hold_separate_days(spark, folder, tmp_path):
     assert "PushedFilters: [IsNotNull(order_date), GreaterThan(order_date" in (
         half_year._jdf.queryExecution().executedPlan().toString()
     )
+
+
+def test_features_alone_store_no_order_items(spark, folder, lake, tmp_path):
+    """Until a job asks for the stored items, features join the few columns they need."""
+    own = Lakehouse(spark, folder, str(tmp_path / "lake"))
+    got = sorted(own.features().collect())
+    assert not own.store.has("fact_order_items")
+    own.items()
+    assert sorted(own.build_features().collect()) == got == sorted(lake.features().collect())

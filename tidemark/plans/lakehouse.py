@@ -85,9 +85,18 @@ class Lakehouse:
 
         return self._table("fact_order_items", build)
 
+    def _joined_items(self) -> DataFrame:
+        """Order items as stored, or as joined while no job has asked for the stored ones.
+
+        An aggregation needs few of their columns and no order of days.
+        """
+        with self._lock:
+            stored = "fact_order_items" in self._written or self.store.has("fact_order_items")
+            return self.items() if stored else retail.order_items(self.spark, self.folder)
+
     def build_features(self) -> DataFrame:
         return features.customer_features(
-            self.orders(), self.items(), self.users(), self.carts(), self.wishlists()
+            self.orders(), self._joined_items(), self.users(), self.carts(), self.wishlists()
         )
 
     def features(self) -> DataFrame:
