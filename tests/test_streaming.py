@@ -11,7 +11,7 @@ from tidemark.plans.features import customer_features
 from tidemark.sources import retail
 from tidemark.sources.tables import TableStore, scan
 from tidemark.streaming import gateway
-from tidemark.streaming.ingest import Medallion
+from tidemark.streaming.ingest import RESCUED, UNREADABLE, Medallion, typed_lines
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +166,26 @@ def test_new_fields_become_columns_once_settled(spark, tmp_path):
     assert medallion.promote_fields("bronze", schema, share=0.5) == fields
     again = {r.id: r for r in medallion.grown("bronze", schema).collect()}
     assert again == rows and medallion.store.read("bronze").count() == 4
+
+
+def test_lines_whose_entries_all_fit_are_not_searched(spark):
+    """Entries are compared one by one only where their number differs from that of the fitting values."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("d", T.DecimalType(18, 2))])
+    lines = {
+        '{"a":1,"d":2.5}': (1, "2.50", None, None),
+        '{"a":1}': (1, None, None, None),
+        "{}": (None, None, None, None),
+        '{"a":null,"d":1}': (None, "1.00", None, None),
+        '{"a":1,"a":1}': (1, None, None, None),
+        '{"a":1,"a":2}': (1, None, '[{"key":"a","value":"2"}]', None),
+        '{"a":"x","d":1.234}': (None, None, '[{"key":"a","value":"x"},{"key":"d","value":"1.234"}]', None),
+        '{"a":1,"b":2}': (1, None, '[{"key":"b","value":"2"}]', None),
+        '{"a":1': (None, None, None, '{"a":1'),
+    }
+    for text, wanted in lines.items():
+        row = typed_lines(spark.createDataFrame([(text,)], "value string"), schema).first()
+        got = (row.a, None if row.d is None else str(row.d), row[RESCUED], row[UNREADABLE])
+        assert got == wanted, text
+    plan = typed_lines(spark.createDataFrame([(t,) for t in lines], "value string"), schema)
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(__sound" in tree

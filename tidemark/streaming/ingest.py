@@ -28,13 +28,6 @@ EVERY_FILE = {"maxFilesPerTrigger": "1000", "maxFileAge": "36500d"}
 RESCUED, UNREADABLE = "_rescued", "_unreadable"
 
 
-def _fits(raw: Column, typed: Column, kind: DataType) -> Column:
-    """Whether the typed value says all that the text said."""
-    if isinstance(kind, DecimalType):
-        return typed == raw.try_cast("decimal(38,18)")
-    return typed.isNotNull()
-
-
 def typed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     """JSON lines (column ``value``) as typed columns that lose nothing.
 
@@ -44,16 +37,21 @@ def typed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     """
     fields = F.from_json("value", "map<string,string>")
     rows = lines.where(F.trim("value") != "").withColumn("__fields", fields)
-    typed, sound = {}, []
+    typed, sound, held = {}, [], F.lit(0)
     for field in schema.fields:
         raw = F.col("__fields").getItem(field.name)
         value = raw.try_cast(field.dataType)
-        fits = F.coalesce(_fits(raw, value, field.dataType), F.lit(False))
-        typed[field.name] = F.when(fits, value)
+        if isinstance(field.dataType, DecimalType):
+            value = F.when(value == raw.try_cast("decimal(38,18)"), value)
+        typed[field.name] = value
+        fits = F.col(field.name).isNotNull()
         sound.append(F.when(fits | raw.isNull(), F.lit(field.name)))
+        held = held + fits.cast("int")
+    # As many entries as values that fit: nothing is left, and the entries need no look.
+    whole = F.coalesce(F.size("__fields") == held, F.lit(False))
+    rows = rows.withColumns(typed).withColumn("__sound", F.when(~whole, F.array_compact(F.array(*sound))))
     # An entry stays behind if its name isn't among the sound fields, or if it is a
     # second one of its name.
-    rows = rows.withColumn("__sound", F.array_compact(F.array(*sound)))
     left = F.filter(
         F.map_entries("__fields"),
         lambda e: ~F.array_contains("__sound", e["key"])
@@ -61,9 +59,8 @@ def typed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     )
     return rows.withColumns(
         {
-            RESCUED: F.when(F.size(left) > 0, F.to_json(left)),
+            RESCUED: F.when(F.col("__sound").isNotNull() & (F.size(left) > 0), F.to_json(left)),
             UNREADABLE: F.when(F.col("__fields").isNull(), F.col("value")),
-            **typed,
         }
     ).drop("value", "__fields", "__sound")
 
