@@ -65,7 +65,7 @@ def _word_bytes() -> np.ndarray:
     return np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     found = []
@@ -89,7 +89,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = _word_bytes()[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
+    # Sizes of ordinary batches share one table; a very long text has one of its own.
+    size = 1 << max(20, int(len(data)).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
         summed = np.zeros(len(data) + 1, np.uint64)
@@ -214,7 +215,7 @@ def _segments(docs: DataFrame, filter_: np.ndarray, bits: int, masks: list[str])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch, texts in arrow_rows(batches):
+        for batch, texts in arrow_rows(batches, chars=1 << 18):
             words, begins = word_hashes(texts)
             at, value = [], []
             for _, h in seed_hashes(words, masks):

@@ -39,7 +39,9 @@ from tidemark.session import run_dir
 
 END_ID = 2
 #: Pieces whose ids a Python worker remembers, in about 50 bytes each.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
+#: Other texts it remembers, in about 250 bytes each.
+_CACHE_OTHERS = 1 << 16
 _ROW_GROUP_BYTES = 32 << 20
 _PAGE_BYTES = 256 << 10
 _PAGE_ROWS = 2000
@@ -121,7 +123,7 @@ class Encoder:
         found = self._others.get(text)
         if found is None:
             found = self._store(self._ids(text))
-            if len(text) < 64 and len(self._others) < self._pieces:
+            if len(text) < 64 and len(self._others) < _CACHE_OTHERS:
                 self._others[text] = found
         return found
 
